@@ -100,11 +100,13 @@ def extract_paths(rows: DataFrame, doc: str, paths: Iterable[str]) -> tuple[Data
     """Rows with each distinct path read into a column, and the lookup by path.
 
     Reading first and using later keeps the expressions behind it small, and the
-    document is walked once per path. Catalyst leaves the two projections apart
-    when a column is used more than once. `drop_paths` removes the columns.
+    document is walked once per path. The columns come out of a one-row `inline`:
+    a filter on them is not pushed below it, where every use would be replaced by
+    another walk. `drop_paths` removes the columns.
     """
     names = {path: f"{_PATH_PREFIX}{i}" for i, path in enumerate(dict.fromkeys(paths))}
-    read = rows.withColumns({n: path_get(F.col(doc), path) for path, n in names.items()})
+    values = [path_get(F.col(doc), path).alias(n) for path, n in names.items()]
+    read = rows.select("*", F.inline(F.array(F.struct(*values)))) if values else rows
     return read, lambda path: F.col(names[path])
 
 

@@ -48,7 +48,7 @@ def compare(spark, name: str, fn, sql: str | None, sf_dir: str) -> str:
     a, b = _norm(got), _norm(want)
     if len(a) != len(b):
         return f"FAIL rows {len(a)} vs {len(b)}\n{a.head(4).to_string()}\n{b.head(4).to_string()}"
-    if not a.equals(b):
+    if len(a) and not a.equals(b):
         bad = (a != b).any(axis=1)
         return (
             f"FAIL values in {int(bad.sum())} of {len(a)} rows\n"
