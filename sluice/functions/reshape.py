@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice import messages as M
 from sluice.functions.casts import cast_input, cast_result, json_literal, json_string
-from sluice.functions.variants import extract_paths, is_absent, is_object, parse_path
+from sluice.functions.variants import bind, extract_paths, is_absent, is_object, parse_path
 from sluice.spec import TransformRule
 
 
@@ -77,8 +77,7 @@ def apply_transform(
 
     Rules run in the given order; the first failing cast is reported. A member
     whose source is absent and has no default is left out, and so is an object
-    left without members. Values, cast inputs and fragments are columns of
-    projections of their own, so no expression grows with the rules before it.
+    left without members. Values, cast inputs and fragments are bound in turn.
     """
     sources = [rule.source for _, rule in rules if rule.source is not None]
     staged, value_of = extract_paths(rows, doc, sources)
@@ -88,7 +87,7 @@ def apply_transform(
             for name, column in cast_input(value_of(rule.source), rule.cast).items():
                 inputs[rule.source, name] = column
     labels = {key: f"_in_{i}" for i, key in enumerate(inputs)}
-    staged = staged.withColumns({labels[key]: column for key, column in inputs.items()})
+    staged = bind(staged, {labels[key]: column for key, column in inputs.items()})
 
     none = F.lit(None).cast("string")
     fragments: dict[str, Column] = {}
@@ -116,7 +115,7 @@ def apply_transform(
         for segment in parse_path(destination):
             node = node.members.setdefault(segment, _Node())
         node.leaves.append(F.col(f"_fragment_{i}"))
-    staged = staged.withColumns({**fragments, **problems})
+    staged = bind(staged, {**fragments, **problems})
     failed = F.coalesce(*[F.col(p) for p in problems]) if problems else none
     built = F.coalesce(_object(root), F.lit("{}")) if root.members else F.lit("{}")
     return staged.select(

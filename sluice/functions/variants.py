@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,17 +96,27 @@ def path_get(doc: Column, path: str) -> Column:
 ValueOf = Callable[[str], Column]
 
 
+def bind(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add computed columns that later operators use as plain attributes.
+
+    The columns come out of a one-row `inline`. Unlike a projection it is not
+    merged with what follows, and a filter on its output is not pushed below it
+    with every use replaced by the expression. So each value is computed once
+    and expressions do not grow layer by layer.
+    """
+    if not columns:
+        return rows
+    packed = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return rows.select("*", F.inline(F.array(packed)))
+
+
 def extract_paths(rows: DataFrame, doc: str, paths: Iterable[str]) -> tuple[DataFrame, ValueOf]:
-    """Rows with each distinct path read into a column, and the lookup by path.
+    """Rows with each distinct path bound to a column, and the lookup by path.
 
-    Reading first and using later keeps the expressions behind it small, and the
-    document is walked once per path. The columns come out of a one-row `inline`:
-    a filter on them is not pushed below it, where every use would be replaced by
-    another walk. `drop_paths` removes the columns.
+    The document is walked once per path. `drop_paths` removes the columns.
     """
     names = {path: f"{_PATH_PREFIX}{i}" for i, path in enumerate(dict.fromkeys(paths))}
-    values = [path_get(F.col(doc), path).alias(n) for path, n in names.items()]
-    read = rows.select("*", F.inline(F.array(F.struct(*values)))) if values else rows
+    read = bind(rows, {n: path_get(F.col(doc), path) for path, n in names.items()})
     return read, lambda path: F.col(names[path])
 
 

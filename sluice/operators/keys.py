@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import messages as M
-from sluice.functions.variants import ValueOf, drop_paths, extract_paths, item_hash, scalar_text
+from sluice.functions.variants import ValueOf, bind, drop_paths, extract_paths, item_hash, scalar_text
 from sluice.spec import DedupeSpec
 
 
@@ -18,30 +18,36 @@ def key_paths(spec: DedupeSpec) -> list[str]:
     return [name for parts in spec.alternatives for kind, name in parts if kind == "field"]
 
 
-def with_key_parts(
+Part = tuple[str, str]
+
+
+def key_parts(
     rows: DataFrame, spec: DedupeSpec, value_of: ValueOf
-) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
-    """Rows with the text of every key part as a column; NULL for a missing or empty part.
+) -> tuple[dict[str, Column], dict[Part, Column]]:
+    """Columns to bind for the text of every key part, and the lookup by part.
 
-    A header part only resolves for rows that came through an endpoint.
+    A part that is missing or empty is NULL. A header part only resolves for rows
+    that came through an endpoint.
     """
-    columns: dict[tuple[str, str], Column] = {}
-    added: dict[str, Column] = {}
-    for part in dict.fromkeys(p for parts in spec.alternatives for p in parts):
+    texts: dict[str, Column] = {}
+    parts: dict[Part, Column] = {}
+    for part in dict.fromkeys(p for alternative in spec.alternatives for p in alternative):
         kind, name = part
-        label = f"_part_{len(columns)}"
+        label = f"_part_{len(texts)}"
         if kind == "field":
-            added[label] = scalar_text(value_of(name))
+            texts[label] = scalar_text(value_of(name))
         elif "headers" in rows.columns:
             text = F.col("headers")[name]
-            added[label] = F.when(F.col("origin_kind") == "endpoint", text) if "origin_kind" in rows.columns else text
+            if "origin_kind" in rows.columns:
+                text = F.when(F.col("origin_kind") == "endpoint", text)
+            texts[label] = text
         else:
-            added[label] = F.lit(None).cast("string")
-        columns[part] = F.when(F.col(label) != "", F.col(label))
-    return rows.withColumns(added), columns
+            texts[label] = F.lit(None).cast("string")
+        parts[part] = F.when(F.col(label) != "", F.col(label))
+    return texts, parts
 
 
-def key_source(spec: DedupeSpec, parts: dict[tuple[str, str], Column], item: Column) -> Column:
+def key_source(spec: DedupeSpec, parts: dict[Part, Column], item: Column) -> Column:
     """Readable key material of the first alternative with all its parts.
 
     The part names belong to the material. With on_missing=generate the item's
@@ -75,8 +81,8 @@ def missing_detail(spec: DedupeSpec) -> str:
 def with_dedupe_key(items: DataFrame, spec: DedupeSpec, item: str = "item") -> DataFrame:
     """Add `dedupe_source` and `dedupe_key` (sha256 hex); both NULL when no key resolves."""
     read, value_of = extract_paths(items, item, key_paths(spec))
-    read, parts = with_key_parts(read, spec, value_of)
-    keyed = read.withColumn("dedupe_source", key_source(spec, parts, F.col(item)))
+    texts, parts = key_parts(read, spec, value_of)
+    keyed = bind(read, texts).withColumn("dedupe_source", key_source(spec, parts, F.col(item)))
     keyed = keyed.withColumn("dedupe_key", F.sha2("dedupe_source", 256))
     return drop_parts(drop_paths(keyed))
 

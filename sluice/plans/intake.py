@@ -10,18 +10,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import messages as M
 from sluice.functions.predicates import filter_paths, matches
 from sluice.functions.reshape import apply_transform
-from sluice.functions.variants import canonical_json, extract_paths
+from sluice.functions.variants import bind, canonical_json, drop_paths, extract_paths
 from sluice.operators import dedupe
 from sluice.operators.audit import item_outcomes
 from sluice.operators.fanout import fan_out, route_paths, routes
-from sluice.operators.keys import key_paths, key_source, missing_detail, with_key_parts
+from sluice.operators.keys import key_parts, key_paths, key_source, missing_detail
 from sluice.operators.split import split_entries
 from sluice.spec import FlowSpec
 
@@ -42,11 +43,10 @@ def entries(documents: DataFrame, spec: FlowSpec) -> DataFrame:
     item = F.col("item")
     paths = [*filter_paths(spec.filter_rules), *key_paths(spec.dedupe), *route_paths(spec.destinations)]
     read, value_of = extract_paths(split, "item", paths)
-    read, parts = with_key_parts(read, spec.dedupe, value_of)
-    passed = read.withColumn(
-        "_keep", (F.col("entry") == "item") & matches(spec.filter_rules, value_of)
-    )
-    keyed = passed.withColumn("_source", F.when(F.col("_keep"), key_source(spec.dedupe, parts, item)))
+    texts, parts = key_parts(read, spec.dedupe, value_of)
+    keep = (F.col("entry") == "item") & matches(spec.filter_rules, value_of)
+    passed = bind(read, {**texts, "_keep": keep})
+    keyed = bind(passed, {"_source": F.when(F.col("_keep"), key_source(spec.dedupe, parts, item))})
     has_key = F.col("_source").isNotNull()
     state = (
         F.when(F.col("error_code").isNotNull(), "failed")
@@ -82,13 +82,24 @@ def entries(documents: DataFrame, spec: FlowSpec) -> DataFrame:
 
 @dataclass(frozen=True)
 class Intake:
-    """Lazy outputs of one intake."""
+    """Outputs of one intake; each plan is built when it is asked for."""
 
+    spec: FlowSpec
+    now: datetime | Column
     entries: DataFrame
     resolved: DataFrame
-    events: DataFrame
-    deliveries: DataFrame
-    outcomes: DataFrame
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return dedupe.new_events(self.resolved)
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        return fan_out(self.events, self.spec, self.now)
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return item_outcomes(self.entries, self.resolved)
 
 
 def empty_ledger(documents: DataFrame) -> DataFrame:
@@ -101,26 +112,38 @@ def plan_intake(
     now: datetime | Column,
     ledger: DataFrame | None = None,
     route_on: str = "last",
+    stage: str | None = None,
 ) -> Intake:
+    """All outputs of an intake, lazily.
+
+    Outcomes need the entries and the resolved keys more than once. With a
+    `stage` folder both are written there first and read back, which cuts the
+    lineage and parses every body once; without one, Spark computes them anew
+    for every use.
+    """
     ledger = empty_ledger(documents) if ledger is None else ledger
     rows = entries(documents, spec)
-    return plan_resolution(rows, spec, now, ledger, route_on)
-
-
-def plan_resolution(
-    rows: DataFrame, spec: FlowSpec, now: datetime | Column, ledger: DataFrame, route_on: str = "last"
-) -> Intake:
-    """The part of the plan behind `entries`, for entries that were staged as a table."""
+    if stage is not None:
+        rows = staged(rows, f"{stage}/entries")
     firsts = dedupe.first_occurrences(rows.filter(F.col("state") == "keyed"), route_on)
     resolved = dedupe.resolve(firsts, ledger)
-    events = dedupe.new_events(resolved)
-    return Intake(
-        entries=rows,
-        resolved=resolved,
-        events=events,
-        deliveries=fan_out(events, spec, now),
-        outcomes=item_outcomes(rows, resolved),
-    )
+    if stage is not None:
+        resolved = staged(resolved, f"{stage}/resolved")
+    return Intake(spec, now, rows, resolved)
+
+
+def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
+    """The folder every executor reaches: `spark.checkpoint.dir`, else `fallback`."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return folder.rstrip("/")
+
+
+def staged(rows: DataFrame, path: str) -> DataFrame:
+    """Write rows once and go on from the files, with columns pruned per use."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def dry_run(documents: DataFrame, spec: FlowSpec) -> DataFrame:
@@ -133,14 +156,10 @@ def dry_run(documents: DataFrame, spec: FlowSpec) -> DataFrame:
     item = F.col("item")
     paths = [*filter_paths(spec.filter_rules), *key_paths(spec.dedupe)]
     read, value_of = extract_paths(split, "item", paths)
-    read, parts = with_key_parts(read, spec.dedupe, value_of)
-    staged = read.withColumns(
-        {
-            "_keep": matches(spec.filter_rules, value_of),
-            "dedupe_source": key_source(spec.dedupe, parts, item),
-        }
-    )
-    staged = apply_transform(staged, spec.transform_rules, "item", "_body", "_problem")
+    texts, parts = key_parts(read, spec.dedupe, value_of)
+    passed = bind(read, {**texts, "_keep": matches(spec.filter_rules, value_of)})
+    staged = bind(passed, {"dedupe_source": key_source(spec.dedupe, parts, item)})
+    staged = apply_transform(drop_paths(staged), spec.transform_rules, "item", "_body", "_problem")
     verdict = (
         F.when(F.col("entry") == "rejected", "unsplit")
         .when(~F.col("_keep"), "filtered")

@@ -128,9 +128,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def intake(spark: SparkSession, sf_dir: str, with_ledger: bool = True):
+def intake(spark: SparkSession, sf_dir: str, with_ledger: bool = True, stage: bool = False):
+    """The poll intake; queries that use its outcomes have it staged."""
+    docs = documents(spark, sf_dir)
     seen = ledger(spark, sf_dir) if with_ledger else None
-    return plan_intake(documents(spark, sf_dir), frames.poll_flow(), frames.NOW, seen)
+    folder = f"{frames.stage_folder(spark)}/poll" if stage else None
+    return plan_intake(docs, frames.poll_flow(), frames.NOW, seen, stage=folder)
 
 
 # --- sources ---------------------------------------------------------------
@@ -371,7 +374,7 @@ def dup3_resolve_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def dup4_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = intake(spark, sf_dir, with_ledger=False).outcomes
+    outcomes = intake(spark, sf_dir, with_ledger=False, stage=True).outcomes
     keyed = outcomes.filter(F.col("status").isin("accepted", "duplicate"))
     return keyed.groupBy("ingest_id", "page").agg(
         F.count_if(F.col("status") == "accepted").alias("accepted"),

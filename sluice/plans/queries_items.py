@@ -9,7 +9,7 @@ from sluice import messages as M
 from sluice.functions.casts import cast_input, cast_result
 from sluice.functions.predicates import matches_any
 from sluice.functions.reshape import apply_transform
-from sluice.functions.variants import canonical_json, item_hash, path_get, strip_nul, type_class
+from sluice.functions.variants import bind, canonical_json, item_hash, path_get, strip_nul, type_class
 from sluice.operators.filtering import filter_items
 from sluice.operators.keys import dedupe_key, with_dedupe_key
 from sluice.plans import frames
@@ -336,7 +336,7 @@ def _cast(spark: SparkSession, sf_dir: str, path: str, cast: str, mixed: bool =
         F.col("v").isNotNull() & ~F.is_variant_null("v")
     )
     given = cast_input(F.col("v"), cast)
-    staged = present.withColumns(given)
+    staged = bind(present, given)
     fragment, problem = cast_result(F.col("v"), cast, {name: F.col(name) for name in given})
     return staged.select("event_id", fragment.alias("fragment"), problem.alias("problem"))
 

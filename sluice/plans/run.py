@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from sluice.operators import dedupe
-from sluice.operators.audit import item_outcomes, run_rows
+from sluice.operators.audit import run_rows
 from sluice.operators.fanout import fan_out
-from sluice.plans.intake import entries
+from sluice.plans.intake import plan_intake, shared_folder
 from sluice.sinks.ledger import (
     Ledger,
     append_deliveries,
@@ -22,18 +20,6 @@ from sluice.sinks.ledger import (
 from sluice.spec import FlowSpec
 
 
-def shared_folder(spark: SparkSession, fallback: str) -> str:
-    """The folder every executor reaches: `spark.checkpoint.dir`, else `fallback`."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or fallback).rstrip("/")
-
-
-def staged(rows: DataFrame, path: str) -> DataFrame:
-    """Write rows once and go on from the files: bodies are parsed one time only."""
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def run_batch(
     documents: DataFrame,
     spec: FlowSpec,
@@ -51,14 +37,11 @@ def run_batch(
     """
     spark = documents.sparkSession
     folder = f"{shared_folder(spark, ledger.path('staging'))}/{ledger.name}-{batch_id}"
-    rows = staged(entries(documents, spec), f"{folder}/entries")
-    firsts = dedupe.first_occurrences(rows.filter(F.col("state") == "keyed"), route_on)
     seen = events_of(spark, ledger, before=batch_id)
-    resolved = staged(dedupe.resolve(firsts, seen), f"{folder}/resolved")
-    append_events(dedupe.new_events(resolved), ledger, batch_id)
+    plan = plan_intake(documents, spec, now, seen, route_on, stage=folder)
+    append_events(plan.events, ledger, batch_id)
     stored = batch_of(spark, ledger, "events", batch_id)
     append_deliveries(fan_out(stored, spec, now), ledger, batch_id)
-    outcomes = item_outcomes(rows, resolved)
     trigger = "POLL" if spec.source.origin == "poll" else "ENDPOINT"
-    append_runs(run_rows(outcomes, trigger), ledger, batch_id)
-    return outcomes
+    append_runs(run_rows(plan.outcomes, trigger), ledger, batch_id)
+    return plan.outcomes
