@@ -220,12 +220,13 @@ def _routing(rows: DataFrame, now: Column, specs: Sequence[FlowSpec], in_turn: C
 
     Adds `kind`, `why`, `next_status`, `delay_ms` and `owned`: the result came in turn
     and carries the lease the row has. A discard only asks for the token, the
-    other outcomes for the state as well.
+    other outcomes for the state as well. A destination the specs do not know
+    cannot be judged; its rows stay as they are.
     """
     r = F.col("r")
     rows = with_destination(rows, specs)
     verdict = retry.classify(r["net_code"], r["status"], F.col("success_statuses"))
-    rows = rows.withColumn("_class", F.when(r.isNotNull(), verdict))
+    rows = rows.withColumn("_class", F.when(r.isNotNull() & F.col("lease_seconds").isNotNull(), verdict))
     kind = F.col("_class.kind")
     spent = F.col("attempt_count") >= F.col("max_attempts")
     next_status = (
@@ -336,7 +337,7 @@ def attempt_results(
     rows = _routing(packed.join(state, "id"), instant(now), specs, F.col("_turn"))
     retryable = F.col("kind") == retry.RETRYABLE
     spent = F.col("next_status") == "DISCARDED"
-    return rows.select(
+    return rows.filter(F.col("kind").isNotNull()).select(
         F.col("id").alias("delivery_id"),
         F.col("r.lease_token").alias("lease_token"),
         "pipeline_id",

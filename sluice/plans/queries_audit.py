@@ -406,12 +406,35 @@ def red2_mask_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", mask_url(laden).alias("masked"))
 
 
-@query("red3_mask_body")
+@query(
+    "red3_mask_body",
+    """
+    SELECT conv_id, turn, '***[' || substr(sha256(text), 1, 8) || ']' AS password,
+           CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '...[truncado]' ELSE text END AS said, turn AS kept
+    FROM conversations
+    """,
+)
 def red3_mask_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = frames.table(spark, sf_dir, "conversations")
     text = F.to_json(F.col("text").cast("variant"))
-    raw = F.concat(F.lit('{"user":{"password":'), text, F.lit(',"said":['), text, F.lit("]}}"))
-    return turns.select("conv_id", "turn", mask_body(raw).alias("masked"))
+    raw = F.concat(
+        F.lit('{"user":{"password":'),
+        text,
+        F.lit(',"said":['),
+        text,
+        F.lit("]},"),
+        F.lit('"turn":'),
+        F.col("turn").cast("string"),
+        F.lit("}"),
+    )
+    masked = turns.select("conv_id", "turn", F.parse_json(mask_body(raw)).alias("m"))
+    return masked.select(
+        "conv_id",
+        "turn",
+        F.try_variant_get("m", "$.user.password", "string").alias("password"),
+        F.try_variant_get("m", "$.user.said[0]", "string").alias("said"),
+        F.try_variant_get("m", "$.turn", "bigint").alias("kept"),
+    )
 
 
 @query(
