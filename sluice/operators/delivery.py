@@ -235,7 +235,7 @@ def _routing(rows: DataFrame, now: Column, specs: Sequence[FlowSpec], in_turn: C
         .when(kind.isNotNull(), "FAILED")
     )
     token_fits = F.col("lease_token") == r["lease_token"]
-    owned = in_turn & token_fits & ((F.col("status") == "IN_FLIGHT") | (next_status == "DISCARDED"))
+    owned = in_turn & token_fits & kind.isNotNull() & ((F.col("status") == "IN_FLIGHT") | (next_status == "DISCARDED"))
     delay = retry.backoff_ms(
         F.col("attempt_count"),
         F.col("retry_initial_ms"),

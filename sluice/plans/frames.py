@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.session import configure
+from sluice.sources.spread import spread
 from sluice.spec import (
     DedupeSpec,
     DestinationSpec,
@@ -34,7 +35,7 @@ DELIVERY_NOW = datetime(2001, 8, 2)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def stage_folder(spark: SparkSession) -> str:

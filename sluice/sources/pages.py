@@ -21,6 +21,7 @@ from sluice.functions.variants import (
     wrap_body,
 )
 from sluice.operators.split import item_array
+from sluice.sources.spread import spread
 from sluice.spec import FlowSpec, PollSource
 
 PAGE_COLUMNS = ("cycle_id", "page", "fetched_at", "body", "http_status", "net_code")
@@ -42,7 +43,7 @@ DOCUMENT_COLUMNS = (
 def _load(source: DataFrame | str, spark: SparkSession | None, fmt: str) -> DataFrame:
     if isinstance(source, DataFrame):
         return source
-    return (spark or SparkSession.active()).read.format(fmt).load(source)
+    return spread((spark or SparkSession.active()).read.format(fmt).load(source))
 
 
 def page_error(net_code: Column, http_status: Column, doc: Column) -> Column:
