@@ -28,7 +28,7 @@ RUN_SCHEMA = (
     "deliveries_created int, error_code string, error_message string"
 )
 # Readers of single keys (find_events, find_deliveries) skip row groups by it.
-_BLOOM = {"parquet.bloom.filter.enabled#dedupe_key": "true"}
+_BLOOM = "'parquet.bloom.filter.enabled#dedupe_key' 'true'"
 
 
 @dataclass(frozen=True)
@@ -49,27 +49,28 @@ class Ledger:
 def open_ledger(spark: SparkSession, ledger: Ledger) -> Ledger:
     """Register the tables over their paths; safe to repeat, and in a new session."""
     columns = ", ".join(f"{c} {t}" for c, t in DELIVERY_COLUMNS.items())
+    by_key = f"CLUSTERED BY (dedupe_key) SORTED BY (dedupe_key) INTO {ledger.buckets} BUCKETS"
     definitions = {
-        "events": (
-            f"{EVENT_SCHEMA}, batch_id string",
-            "PARTITIONED BY (batch_id) CLUSTERED BY (dedupe_key) SORTED BY (dedupe_key) "
-            f"INTO {ledger.buckets} BUCKETS",
-        ),
+        "events": (f"{EVENT_SCHEMA}, batch_id string", ("batch_id",), by_key),
         "deliveries": (
             f"{columns}, created_month string, is_open boolean, batch_id string",
-            "PARTITIONED BY (created_month, is_open, batch_id)",
+            ("created_month", "is_open", "batch_id"),
+            "",
         ),
         "runs": (
             f"{RUN_SCHEMA}, created_month string, batch_id string",
-            "PARTITIONED BY (created_month, batch_id)",
+            ("created_month", "batch_id"),
+            "",
         ),
     }
-    for table, (schema, layout) in definitions.items():
-        options = ", ".join(f"'{k}' '{v}'" for k, v in _BLOOM.items()) if table != "runs" else ""
+    for table, (schema, partitions, clustering) in definitions.items():
+        # the folder has to be there before its partitions can be looked for
+        nothing = spark.createDataFrame([], schema)
+        nothing.write.mode("ignore").partitionBy(*partitions).parquet(ledger.path(table))
+        bloom = "" if table == "runs" else f"OPTIONS ({_BLOOM}) "
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {ledger.table(table)} ({schema}) USING parquet "
-            + (f"OPTIONS ({options}) " if options else "")
-            + f"{layout} LOCATION '{ledger.path(table)}'"
+            f"CREATE TABLE IF NOT EXISTS {ledger.table(table)} ({schema}) USING parquet {bloom}"
+            f"PARTITIONED BY ({', '.join(partitions)}) {clustering} LOCATION '{ledger.path(table)}'"
         )
     refresh(spark, ledger)
     return ledger
