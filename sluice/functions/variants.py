@@ -28,11 +28,27 @@ def parse_body(raw: Column) -> Column:
     is parsed as the first of two array members; the second is only found when
     nothing but the body stood before it.
     """
-    pair = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_END_MARK}"]')))
-    whole = (F.try_variant_get(pair, "$[1]", "string") == F.lit(_END_MARK)) & F.try_variant_get(
-        pair, "$[2]", "variant"
-    ).isNull()
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+    return _first_of_pair(_parse_pair(raw))
+
+
+def _parse_pair(raw: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_END_MARK}"]')))
+
+
+def _first_of_pair(pair: Column) -> Column:
+    closed = F.try_variant_get(pair, "$[1]", "string") == F.lit(_END_MARK)
+    alone = F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(closed & alone, F.try_variant_get(pair, "$[0]", "variant"))
+
+
+def with_document(rows: DataFrame, body: str) -> DataFrame:
+    """Add `parsed` (the body as sent, NUL stripped) and `doc` (an object in any case).
+
+    Both are NULL for a body that is not JSON.
+    """
+    read = bind(rows, {"_pair": _parse_pair(strip_nul(F.col(body)))})
+    read = bind(read, {"parsed": _first_of_pair(F.col("_pair"))}).drop("_pair")
+    return read.withColumn("doc", wrap_body(F.col("parsed")))
 
 
 def wrap_body(doc: Column) -> Column:
@@ -110,13 +126,16 @@ def bind(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(packed)))
 
 
-def extract_paths(rows: DataFrame, doc: str, paths: Iterable[str]) -> tuple[DataFrame, ValueOf]:
+def extract_paths(
+    rows: DataFrame, doc: str | Column, paths: Iterable[str], label: str = ""
+) -> tuple[DataFrame, ValueOf]:
     """Rows with each distinct path bound to a column, and the lookup by path.
 
     The document is walked once per path. `drop_paths` removes the columns.
     """
-    names = {path: f"{_PATH_PREFIX}{i}" for i, path in enumerate(dict.fromkeys(paths))}
-    read = bind(rows, {n: path_get(F.col(doc), path) for path, n in names.items()})
+    source = F.col(doc) if isinstance(doc, str) else doc
+    names = {path: f"{_PATH_PREFIX}{label}{i}" for i, path in enumerate(dict.fromkeys(paths))}
+    read = bind(rows, {n: path_get(source, path) for path, n in names.items()})
     return read, lambda path: F.col(names[path])
 
 
@@ -220,4 +239,5 @@ def strip_nul(raw: Column) -> Column:
     An escape counts only when its backslash is not itself escaped. A raw NUL
     is not valid JSON and stays, so that parsing reports the body.
     """
-    return F.regexp_replace(raw, r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
+    stripped = F.regexp_replace(raw, r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
+    return F.when(F.contains(raw, F.lit("\\u0000")), stripped).otherwise(raw)

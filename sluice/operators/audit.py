@@ -202,16 +202,16 @@ def metrics_counters(
     stream they run in update mode.
     """
     attributes = ("pipeline_id", "source_kind", "destination_id", "outcome", "reason")
-    empty = F.lit(None).cast("string")
-    parts = []
+    none = F.lit(None).cast("string")
 
-    def shaped(frame: DataFrame, metric: Column, value: Column, **given: Column) -> DataFrame:
-        return frame.select(
-            metric.alias("metric"),
-            *[given.get(a, empty).alias(a) for a in attributes],
+    def increment(name: str, value: Column, **given: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("metric"),
+            *[given.get(a, none).cast("string").alias(a) for a in attributes],
             value.cast("bigint").alias("value"),
         )
 
+    parts = []
     if counts is not None:
         names = {
             "items_received": "gateway.items.received",
@@ -219,51 +219,31 @@ def metrics_counters(
             "items_duplicate": "gateway.items.deduplicated",
             "items_new": "gateway.items.accepted",
         }
-        measures = F.explode(
-            F.array(*[F.struct(F.lit(n).alias("m"), F.col(c).alias("v")) for c, n in names.items()])
-        )
-        long = counts.select("pipeline_id", measures.alias("x"))
-        parts.append(
-            shaped(
-                long,
-                F.col("x.m"),
-                F.col("x.v"),
-                pipeline_id=F.col("pipeline_id"),
-                source_kind=F.lit(source_kind),
-            )
-        )
+        given = {"pipeline_id": F.col("pipeline_id"), "source_kind": F.lit(source_kind)}
+        steps = [increment(name, F.col(c), **given) for c, name in names.items()]
+        parts.append(counts.select(F.inline(F.array(*steps))))
     if gated is not None:
         refused = gated.filter(F.col("status").isNotNull())
-        parts.append(
-            shaped(
-                refused,
-                F.lit("gateway.ingress.rejected"),
-                F.lit(1),
-                pipeline_id=F.col("pipeline_id"),
-                reason=F.col("status").cast("string"),
-            )
+        step = increment(
+            "gateway.ingress.rejected",
+            F.lit(1),
+            pipeline_id=F.col("pipeline_id"),
+            reason=F.col("status"),
         )
+        parts.append(refused.select(F.inline(F.array(step))))
     if attempts is not None:
-        parts.append(
-            shaped(
-                attempts,
-                F.lit("gateway.deliveries"),
-                F.lit(1),
-                pipeline_id=F.col("pipeline_id"),
-                destination_id=F.col("destination_id"),
-                outcome=F.col("outcome"),
-                reason=F.col("reason"),
-            )
+        place = {"pipeline_id": F.col("pipeline_id"), "destination_id": F.col("destination_id")}
+        finished = increment(
+            "gateway.deliveries",
+            F.lit(1),
+            outcome=F.col("outcome"),
+            reason=F.col("reason"),
+            **place,
         )
-        lost = attempts.filter((F.col("outcome") == "ok") & ~F.col("owned"))
+        lost = (F.col("outcome") == "ok") & ~F.col("owned")
+        twice = increment("gateway.delivery.duplicate_detected", F.lit(1), **place)
         parts.append(
-            shaped(
-                lost,
-                F.lit("gateway.delivery.duplicate_detected"),
-                F.lit(1),
-                pipeline_id=F.col("pipeline_id"),
-                destination_id=F.col("destination_id"),
-            )
+            attempts.select(F.inline(F.array_compact(F.array(finished, F.when(lost, twice)))))
         )
     if not parts:
         raise ValueError("nothing to count")

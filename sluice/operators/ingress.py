@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.skew import within_first
+from sluice.operators.skew import attach_by_key, within_first
 from sluice.operators.tables import spec_table
 from sluice.spec import EndpointSource, FlowSpec
 
@@ -47,20 +47,36 @@ def rate_gate(
 ) -> DataFrame:
     """Add `within_rate`: is the request among the first `per_minute` of its flow and minute?
 
-    A NULL limit means no limit; such rows are not counted at all.
+    A NULL limit means no limit; such rows are not counted at all. Bodies stay
+    where they are: the last request that passes is found on the key columns,
+    for the minutes over their limit only, and then compared with.
     """
     limit = per_minute if isinstance(per_minute, Column) else F.lit(per_minute)
     counted = limit.isNotNull() if eligible is None else eligible & limit.isNotNull()
-    gated = within_first(
-        requests,
-        group=[F.col(by), F.date_trunc("minute", F.col(ts))],
-        order=[F.col(ts), F.col(request_id)],
-        limit=limit,
-        salt_by=F.col(request_id),
-        eligible=counted,
-        name="within_rate",
+    minute = F.date_format(F.col(ts), "yyyyMMddHHmm")
+    marked = requests.withColumns({"_counted": F.coalesce(counted, F.lit(False)), "_minute": minute})
+    keys = (by, "_minute")
+    narrow = marked.filter("_counted").select(
+        *keys, F.struct(F.col(ts).alias("ts"), F.col(request_id).alias("id")).alias("_at"), limit.alias("_limit")
     )
-    return gated.withColumn("within_rate", F.col("within_rate") | limit.isNull())
+    ranked = within_first(
+        narrow,
+        group=[F.col(k) for k in keys],
+        order=[F.col("_at")],
+        limit=F.col("_limit"),
+        salt_by=F.col("_at"),
+        name="_passes",
+    )
+    last = ranked.groupBy(*keys).agg(
+        F.max(F.when(F.col("_passes"), F.col("_at"))).alias("_last"),
+        F.count(F.lit(1)).alias("n_items"),
+        F.max("_limit").alias("_limit"),
+    )
+    over = last.filter(F.col("n_items") > F.col("_limit")).drop("_limit")
+    compared = attach_by_key(marked, over, keys, (request_id,))
+    here = F.struct(F.col(ts).alias("ts"), F.col(request_id).alias("id"))
+    passes = F.col("_counted") & (F.col("_last").isNull() | (here <= F.col("_last")))
+    return compared.withColumn("within_rate", passes | limit.isNull()).drop("_counted", "_minute", "_last")
 
 
 def ingress_gate(requests: DataFrame, specs: Sequence[FlowSpec]) -> DataFrame:

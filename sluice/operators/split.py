@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice import messages as M
-from sluice.functions.variants import as_array, is_absent, is_object, path_get
+from sluice.functions.variants import as_array, bind, is_absent, is_object, path_get
 
 
-def item_array(doc: Column, items_path: str | None) -> tuple[Column, Column]:
-    """(items, detail): array<variant> of the objects found, or why there are none."""
-    found = doc if items_path is None else path_get(doc, items_path)
-    members = as_array(found)
-    items = F.when(members.isNotNull(), F.filter(members, is_object)).when(
-        is_object(found), F.array(found)
-    )
+def with_items(docs: DataFrame, items_path: str | None, doc: str = "doc") -> DataFrame:
+    """Add `_items`, array<variant> of the objects found, and `detail`, why there are none."""
+    found = F.col(doc) if items_path is None else path_get(F.col(doc), items_path)
+    read = bind(docs, {"_found": found})
+    read = bind(read, {"_members": as_array(F.col("_found")), "_single": is_object(F.col("_found"))})
+    items = F.when(
+        F.col("_members").isNotNull(), F.filter(F.col("_members"), is_object)
+    ).when(F.col("_single"), F.array("_found"))
+    neither = F.col("_members").isNull() & ~F.col("_single")
     if items_path is None:
-        detail = F.when(items.isNull(), M.BODY_NOT_ITEMS)
+        detail = F.when(neither, M.BODY_NOT_ITEMS)
     else:
-        detail = F.when(is_absent(found), M.ITEMS_PATH_ABSENT.format(path=items_path)).when(
-            items.isNull(), M.ITEMS_PATH_NOT_ITEMS.format(path=items_path)
-        )
-    return items, detail
+        detail = F.when(
+            is_absent(F.col("_found")), M.ITEMS_PATH_ABSENT.format(path=items_path)
+        ).when(neither, M.ITEMS_PATH_NOT_ITEMS.format(path=items_path))
+    return read.withColumns({"_items": items, "detail": detail}).drop("_found", "_members", "_single")
 
 
 def split_entries(docs: DataFrame, items_path: str | None, doc: str = "doc") -> DataFrame:
@@ -33,8 +35,7 @@ def split_entries(docs: DataFrame, items_path: str | None, doc: str = "doc") ->
     is dense per document after members that are not objects were dropped. When
     several documents share a run (column `doc_idx`), it runs on through them.
     """
-    items, detail = item_array(F.col(doc), items_path)
-    staged = docs.withColumn("_items", items).withColumn("detail", detail).drop(doc)
+    staged = with_items(docs, items_path, doc).drop(doc)
     base = F.lit(0)
     if "doc_idx" in docs.columns:
         # Documents, not items, are ordered here: as many rows as one request has bodies.

@@ -41,12 +41,16 @@ def entries(documents: DataFrame, spec: FlowSpec) -> DataFrame:
     """
     split = split_entries(documents, spec.items_path)
     item = F.col("item")
-    paths = [*filter_paths(spec.filter_rules), *key_paths(spec.dedupe), *route_paths(spec.destinations)]
-    read, value_of = extract_paths(split, "item", paths)
+    # filter first: what a filter drops is neither keyed nor routed
+    read, tested = extract_paths(split, "item", filter_paths(spec.filter_rules))
+    keep = (F.col("entry") == "item") & matches(spec.filter_rules, tested)
+    read = drop_paths(bind(read, {"_keep": keep}))
+    paths = [*key_paths(spec.dedupe), *route_paths(spec.destinations)]
+    read, value_of = extract_paths(read, F.when(F.col("_keep"), item), paths)
     texts, parts = key_parts(read, spec.dedupe, value_of)
-    keep = (F.col("entry") == "item") & matches(spec.filter_rules, value_of)
-    passed = bind(read, {**texts, "_keep": keep})
-    keyed = bind(passed, {"_source": F.when(F.col("_keep"), key_source(spec.dedupe, parts, item))})
+    keyed = bind(
+        bind(read, texts), {"_source": F.when(F.col("_keep"), key_source(spec.dedupe, parts, item))}
+    )
     has_key = F.col("_source").isNotNull()
     state = (
         F.when(F.col("error_code").isNotNull(), "failed")

@@ -13,14 +13,8 @@ from pyspark.sql.window import Window
 
 from sluice import messages as M
 from sluice.functions.ids import uuid7_of
-from sluice.functions.variants import (
-    is_number,
-    parse_body,
-    path_get,
-    strip_nul,
-    wrap_body,
-)
-from sluice.operators.split import item_array
+from sluice.functions.variants import is_number, path_get, with_document
+from sluice.operators.split import with_items
 from sluice.sources.spread import spread
 from sluice.spec import FlowSpec, PollSource
 
@@ -76,9 +70,9 @@ def read_pages(
     for name, kind in (("http_status", "int"), ("net_code", "string")):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(200 if name == "http_status" else None).cast(kind))
-    parsed = pages.withColumn("parsed", parse_body(strip_nul(F.col("body")))).drop("body")
+    read = with_document(pages, "body").drop("body")
     code = page_error(F.col("net_code"), F.col("http_status"), F.col("parsed"))
-    return parsed.withColumn("error_code", code).withColumn("doc", wrap_body(F.col("parsed")))
+    return read.withColumn("error_code", code)
 
 
 def cut_failed_pages(pages: DataFrame, cycle: str = "cycle_id") -> DataFrame:
@@ -90,13 +84,14 @@ def cut_failed_pages(pages: DataFrame, cycle: str = "cycle_id") -> DataFrame:
 
 def with_page_totals(pages: DataFrame, source: PollSource) -> DataFrame:
     """Add `n_items` and `declared_total`, read from the body as it was sent."""
-    items, _ = item_array(F.col("doc"), source.items_path)
-    count = F.when(items.isNull(), F.lit(0)).otherwise(F.size(items))
+    counted = with_items(pages, source.items_path)
+    count = F.when(F.col("_items").isNull(), F.lit(0)).otherwise(F.size("_items"))
     total = F.lit(None).cast("double")
     if source.total_count_path is not None:
         found = path_get(F.col("parsed"), source.total_count_path)
         total = F.when(is_number(found), F.try_variant_get(found, "$", "double"))
-    return pages.withColumns({"n_items": count, "declared_total": total})
+    totals = counted.withColumns({"n_items": count, "declared_total": total})
+    return totals.drop("_items", "detail")
 
 
 def cut_pagination(pages: DataFrame, start: int, max_pages: int, cycle: str = "cycle_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sluice import messages as M
 from sluice.functions.ids import uuid7_of
 from sluice.functions.redact import lower_keys
-from sluice.functions.variants import parse_body, strip_nul, wrap_body
+from sluice.functions.variants import with_document
 from sluice.sources.pages import _load
 
 
@@ -26,9 +26,8 @@ def read_requests(
     requests = _load(source, spark, fmt)
     if "source_ip" not in requests.columns:
         requests = requests.withColumn("source_ip", F.lit(None).cast("string"))
-    return requests.select(
+    return with_document(requests, "body").drop("parsed").select(
         "*",
-        wrap_body(parse_body(strip_nul(F.col("body")))).alias("doc"),
         F.octet_length("body").alias("body_bytes"),
         F.sha2("body", 256).alias("body_sha256"),
         lower_keys(F.col("headers"))["content-type"].alias("content_type"),
