@@ -16,6 +16,7 @@ from sluice import messages as M
 from sluice.functions.variants import (
     double_text,
     finite,
+    is_blank,
     is_number,
     js_trim,
     number_of_text,
@@ -51,10 +52,10 @@ def parse_instant(text: Column) -> Column:
 def _number(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     text = F.try_variant_get(value, "$", "string")
-    read = number_of_text(text)
+    read = F.coalesce(number_of_text(text), F.when(is_blank(text), F.lit(0.0)))
     return (
         F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
-        .when(kind == "STRING", F.when(js_trim(text) == "", F.lit(0.0)).otherwise(read))
+        .when(kind == "STRING", read)
         .when(is_number(value), finite(F.try_variant_get(value, "$", "double")))
     )
 

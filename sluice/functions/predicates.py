@@ -16,7 +16,6 @@ from sluice.functions.variants import (
     is_absent,
     is_number,
     is_object,
-    js_trim,
     number_of_text,
 )
 from sluice.spec import FilterRule
@@ -80,7 +79,7 @@ def is_numeric(value: Column) -> Column:
     """A finite number, or non-blank text standing for one."""
     as_number = is_number(value) & finite(F.try_variant_get(value, "$", "double")).isNotNull()
     text = _text(value)
-    as_text = _is_string(value) & (js_trim(text) != "") & number_of_text(text).isNotNull()
+    as_text = _is_string(value) & number_of_text(text).isNotNull()
     return F.coalesce(as_number | as_text, F.lit(False))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice import messages as M
 from sluice.functions.casts import cast_input, cast_result, json_literal, json_string
-from sluice.functions.variants import bind, extract_paths, is_absent, is_object, parse_path
+from sluice.functions.variants import bind, extract_paths, fence, is_absent, is_object, parse_path
 from sluice.spec import TransformRule
 
 
@@ -118,6 +118,5 @@ def apply_transform(
     staged = bind(staged, {**fragments, **problems})
     failed = F.coalesce(*[F.col(p) for p in problems]) if problems else none
     built = F.coalesce(_object(root), F.lit("{}")) if root.members else F.lit("{}")
-    return staged.select(
-        *rows.columns, F.when(failed.isNull(), built).alias(body), failed.alias(problem)
-    )
+    done = fence(staged, {body: F.when(failed.isNull(), built), problem: failed})
+    return done.select(*rows.columns, body, problem)

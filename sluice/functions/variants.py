@@ -18,6 +18,7 @@ _PATH_PREFIX = "_path_"
 # The characters ECMAScript trims as white space.
 _SPACE = r"[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_PLAIN_TEXT = r"^-?[0-9]{1,300}(\.[0-9]{1,300})?$"
 _BASED_TEXT = "^0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)$"
 
 
@@ -47,7 +48,7 @@ def with_document(rows: DataFrame, body: str) -> DataFrame:
     Both are NULL for a body that is not JSON.
     """
     read = bind(rows, {"_pair": _parse_pair(strip_nul(F.col(body)))})
-    read = bind(read, {"parsed": _first_of_pair(F.col("_pair"))}).drop("_pair")
+    read = fence(read, {"parsed": _first_of_pair(F.col("_pair"))}).drop("_pair")
     return read.withColumn("doc", wrap_body(F.col("parsed")))
 
 
@@ -113,12 +114,19 @@ ValueOf = Callable[[str], Column]
 
 
 def bind(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    """Add computed columns that later operators use as plain attributes.
+    """Add columns that later layers build on.
 
-    The columns come out of a one-row `inline`. Unlike a projection it is not
-    merged with what follows, and a filter on its output is not pushed below it
-    with every use replaced by the expression. So each value is computed once
-    and expressions do not grow layer by layer.
+    Each layer is a projection of its own: Catalyst only merges two of them where
+    a column is used once, so a value used often is still computed once.
+    """
+    return rows.withColumns(dict(columns)) if columns else rows
+
+
+def fence(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that later operators use as plain attributes.
+
+    The columns come out of a one-row `inline`. Unlike with a projection, a filter
+    on them is not pushed below it with every use replaced by the expression.
     """
     if not columns:
         return rows
@@ -174,17 +182,25 @@ def number_of_text(text: Column) -> Column:
     """DOUBLE a JSON string stands for, NULL if none; blank text is left to the caller.
 
     Spark's own cast takes `1d`, `NaN` and `Infinity` and refuses hexadecimal,
-    hence the check of the shape first.
+    hence the check of the shape first. Plain digits go the short way.
     """
     t = js_trim(text)
     # the position of the letter is the base it stands for
     base = F.instr(F.lit(".b.....o.......x"), F.lower(F.substring(t, 2, 1)))
-    return F.when(t.rlike(_DECIMAL_TEXT), finite(t.try_cast("double"))).when(
-        t.rlike(_BASED_TEXT),
-        F.call_function("conv", F.substring(t, 3, 64), base, F.lit(10)).cast("double"),
+    return (
+        F.when(text.rlike(_PLAIN_TEXT), text.try_cast("double"))
+        .when(t.rlike(_DECIMAL_TEXT), finite(t.try_cast("double")))
+        .when(
+            t.rlike(_BASED_TEXT),
+            F.call_function("conv", F.substring(t, 3, 64), base, F.lit(10)).cast("double"),
+        )
     )
 
 
+def is_blank(text: Column) -> Column:
+    return text.rlike(f"^{_SPACE}*$")
+
+
 def _plain_decimal(text: Column, scale: int) -> Column:
     digits = text.cast(f"decimal(38,{scale})").cast("string")
     return F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
@@ -215,7 +231,8 @@ def scalar_text(doc: Column) -> Column:
     """
     kind = F.schema_of_variant(doc)
     text = F.try_variant_get(doc, "$", "string")
-    exact = (kind != "DOUBLE") & (F.length(text) <= 16) & ~text.rlike(r"^-?0\.000000")
+    tiny = text.startswith("0.000000") | text.startswith("-0.000000")
+    exact = (kind != "DOUBLE") & (F.length(text) <= 16) & ~tiny
     return (
         F.when(kind.isin("STRING", "BOOLEAN"), text)
         .when(kind.startswith("OBJECT<") | kind.startswith("ARRAY<") | (kind == "VOID"), None)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sluice import messages as M
 from sluice.functions.predicates import filter_paths, matches
 from sluice.functions.reshape import apply_transform
-from sluice.functions.variants import bind, canonical_json, drop_paths, extract_paths
+from sluice.functions.variants import bind, canonical_json, drop_paths, extract_paths, fence
 from sluice.operators import dedupe
 from sluice.operators.audit import item_outcomes
 from sluice.operators.fanout import fan_out, route_paths, routes
@@ -48,7 +48,7 @@ def entries(documents: DataFrame, spec: FlowSpec) -> DataFrame:
     paths = [*key_paths(spec.dedupe), *route_paths(spec.destinations)]
     read, value_of = extract_paths(read, F.when(F.col("_keep"), item), paths)
     texts, parts = key_parts(read, spec.dedupe, value_of)
-    keyed = bind(
+    keyed = fence(
         bind(read, texts), {"_source": F.when(F.col("_keep"), key_source(spec.dedupe, parts, item))}
     )
     has_key = F.col("_source").isNotNull()
@@ -162,7 +162,7 @@ def dry_run(documents: DataFrame, spec: FlowSpec) -> DataFrame:
     read, value_of = extract_paths(split, "item", paths)
     texts, parts = key_parts(read, spec.dedupe, value_of)
     passed = bind(read, {**texts, "_keep": matches(spec.filter_rules, value_of)})
-    staged = bind(passed, {"dedupe_source": key_source(spec.dedupe, parts, item)})
+    staged = fence(passed, {"dedupe_source": key_source(spec.dedupe, parts, item)})
     staged = apply_transform(drop_paths(staged), spec.transform_rules, "item", "_body", "_problem")
     verdict = (
         F.when(F.col("entry") == "rejected", "unsplit")

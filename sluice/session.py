@@ -12,6 +12,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile methods over 8000 bytes of bytecode. Beyond that,
+    # stages run operator by operator, which it does compile.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # A replayed batch replaces its own partition only.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Lets the event ledger, bucketed on dedupe_key, join on

@@ -13,9 +13,9 @@ from sluice.functions.dates import month_partition, resolve_date_template
 from sluice.functions.predicates import predicate
 from sluice.functions.reshape import apply_transform
 from sluice.functions.variants import (
-    bind,
     canonical_json,
     double_text,
+    fence,
     parse_body,
     parse_path,
     path_get,
@@ -143,9 +143,9 @@ def test_double_text(spark):
     assert values(df.withColumn("t", double_text(F.col("v"))), "t") == list(cases.values())
 
 
-def test_bind_evaluates_once_and_blocks_pushdown(spark):
+def test_filters_stay_above_a_fence(spark):
     df = docs(spark, {"a": 1}, {"a": 2})
-    bound = bind(df, {"x": path_get(F.col("doc"), "a")}).filter(F.to_json("x") == "1")
+    bound = fence(df, {"x": path_get(F.col("doc"), "a")}).filter(F.to_json("x") == "1")
     plan = bound._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Generate inline") and plan.count("Filter") == 1
     assert values(bound, "i") == [0]
