@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from sluice import messages as M
 from sluice.functions.variants import (
+    Value,
     double_text,
     finite,
     is_blank,
-    is_number,
     js_trim,
     number_of_text,
     scalar_text,
@@ -49,30 +49,29 @@ def parse_instant(text: Column) -> Column:
     return F.when(text.rlike(_ISO_DATE), F.try_to_timestamp(text))
 
 
-def _number(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
+def _number(value: Value) -> Column:
+    text = value.text
     read = F.coalesce(number_of_text(text), F.when(is_blank(text), F.lit(0.0)))
     return (
-        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
-        .when(kind == "STRING", read)
-        .when(is_number(value), finite(F.try_variant_get(value, "$", "double")))
+        F.when(value.kind == "BOOLEAN", (text == "true").cast("double"))
+        .when(value.kind == "STRING", read)
+        .otherwise(finite(text.try_cast("double")))
     )
 
 
-def _millis(value: Column) -> Column:
-    number = F.try_variant_get(value, "$", "double")
+def _millis(value: Value) -> Column:
+    number = value.text.try_cast("double")
     in_range = F.abs(number) <= F.lit(_MAX_EPOCH_MS)
     whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
-    parsed = F.unix_millis(parse_instant(F.try_variant_get(value, "$", "string")))
-    return F.when(is_number(value), F.when(in_range, whole.cast("bigint"))).otherwise(parsed)
+    parsed = F.unix_millis(parse_instant(value.text))
+    return F.when(value.is_number, F.when(in_range, whole.cast("bigint"))).otherwise(parsed)
 
 
 _BY_NUMBER = ("number", "integer")
 _BY_DATE = ("iso-date", "epoch-millis")
 
 
-def cast_input(value: Column, cast: str) -> dict[str, Column]:
+def cast_input(value: Value, cast: str) -> dict[str, Column]:
     """What a cast needs of the value, each to be put in a column: `text`, `number`, `millis`."""
     needed = {"text": scalar_text(value)}
     if cast in _BY_NUMBER:
@@ -82,7 +81,7 @@ def cast_input(value: Column, cast: str) -> dict[str, Column]:
     return needed
 
 
-def cast_result(value: Column, cast: str, given: dict[str, Column]) -> tuple[Column, Column]:
+def cast_result(value: Value, cast: str, given: dict[str, Column]) -> tuple[Column, Column]:
     """(fragment, problem) from the columns of `cast_input`."""
     text = given["text"]
     shown = F.concat(F.lit("valor '"), F.coalesce(text, F.lit(M.OBJECT_TEXT)), F.lit("' "))
@@ -95,7 +94,7 @@ def cast_result(value: Column, cast: str, given: dict[str, Column]) -> tuple[Col
         return json_string(shape(text)), F.when(text.isNull(), M.NOT_SCALAR.format(cast=cast))
     if cast in _BY_NUMBER:
         number = given["number"]
-        fragment = F.when(is_number(value), text).otherwise(double_text(number))
+        fragment = F.when(value.is_number, text).otherwise(double_text(number))
         problem = problem_if(number.isNull(), M.NOT_NUMBER)
         if cast == "integer":
             broken = F.floor(number) != number

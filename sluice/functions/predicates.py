@@ -9,31 +9,11 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.functions.variants import (
-    ValueOf,
-    as_array,
-    finite,
-    is_absent,
-    is_number,
-    is_object,
-    number_of_text,
-)
+from sluice.functions.variants import Value, ValueOf, finite, number_of_text
 from sluice.spec import FilterRule
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
-def _is_string(value: Column) -> Column:
-    return F.schema_of_variant(value) == "STRING"
-
-
-def _present_scalar(value: Column) -> Column:
-    return ~is_absent(value) & ~is_object(value) & as_array(value).isNull()
-
-
-def matches_any(value: Column, wanted: Iterable[Any]) -> Column:
+def matches_any(value: Value, wanted: Iterable[Any]) -> Column:
     """True when `value` is the same as one of the literals.
 
     Same means equal within one type, except that a number and a numeric string
@@ -44,20 +24,18 @@ def matches_any(value: Column, wanted: Iterable[Any]) -> Column:
     numbers = sorted({float(w) for w in wanted if isinstance(w, (int, float)) and not isinstance(w, bool)})
     texts = sorted({w for w in wanted if isinstance(w, str)})
 
+    # a numeric string among the literals also stands for its number
+    as_numbers = [n for n in map(_literal_number, texts) if n is not None]
+    is_string = value.kind == "STRING"
     tests = []
     if texts:
-        tests.append(_is_string(value) & _text(value).isin(texts))
+        tests.append(is_string & value.text.isin(texts))
+    if numbers or as_numbers:
+        tests.append(value.is_number & value.text.try_cast("double").isin(numbers + as_numbers))
     if numbers:
-        tests.append(is_number(value) & F.try_variant_get(value, "$", "double").isin(numbers))
-        tests.append(_is_string(value) & number_of_text(_text(value)).isin(numbers))
-    if texts:
-        # a number in the item against a numeric string among the literals
-        as_numbers = [n for n in map(_literal_number, texts) if n is not None]
-        if as_numbers:
-            tests.append(is_number(value) & F.try_variant_get(value, "$", "double").isin(as_numbers))
+        tests.append(is_string & number_of_text(value.text).isin(numbers))
     if flags:
-        boolean = F.schema_of_variant(value) == "BOOLEAN"
-        tests.append(boolean & F.try_variant_get(value, "$", "boolean").isin(flags))
+        tests.append((value.kind == "BOOLEAN") & value.text.isin([str(f).lower() for f in flags]))
     if not tests:
         return F.lit(False)
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
@@ -75,25 +53,25 @@ def _literal_number(text: str) -> float | None:
     return number if plain and abs(number) != float("inf") and number == number else None
 
 
-def is_numeric(value: Column) -> Column:
+def is_numeric(value: Value) -> Column:
     """A finite number, or non-blank text standing for one."""
-    as_number = is_number(value) & finite(F.try_variant_get(value, "$", "double")).isNotNull()
-    text = _text(value)
-    as_text = _is_string(value) & number_of_text(text).isNotNull()
+    as_number = value.is_number & finite(value.text.try_cast("double")).isNotNull()
+    as_text = (value.kind == "STRING") & number_of_text(value.text).isNotNull()
     return F.coalesce(as_number | as_text, F.lit(False))
 
 
-def predicate(value: Column, kind: str, argument: Any) -> Column:
+def predicate(value: Value, kind: str, argument: Any) -> Column:
+    present = F.coalesce(value.is_scalar, F.lit(False))
     if kind == "exists":
-        return ~is_absent(value) if argument else is_absent(value)
+        return ~value.absent if argument else value.absent
     if kind == "in":
         return matches_any(value, argument)
     if kind == "equals":
         return matches_any(value, [argument])
     if kind == "notIn":
-        return _present_scalar(value) & ~matches_any(value, argument)
+        return present & ~matches_any(value, argument)
     if kind == "notEquals":
-        return _present_scalar(value) & ~matches_any(value, [argument])
+        return present & ~matches_any(value, [argument])
     if kind == "numeric":
         return is_numeric(value)
     raise ValueError(f"unknown predicate '{kind}'")

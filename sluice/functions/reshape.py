@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice import messages as M
 from sluice.functions.casts import cast_input, cast_result, json_literal, json_string
-from sluice.functions.variants import bind, extract_paths, fence, is_absent, is_object, parse_path
+from sluice.functions.variants import bind, extract_paths, fence, is_object, parse_path
 from sluice.spec import TransformRule
 
 
@@ -98,9 +98,9 @@ def apply_transform(
             fragment = F.lit(json_literal(rule.const))
         else:
             value = value_of(rule.source)
-            absent = is_absent(value)
+            absent = value.absent
             if rule.cast is None:
-                fragment = F.to_json(value)
+                fragment = F.to_json(value.doc)
             else:
                 given = {
                     name: F.col(label) for (path, name), label in labels.items() if path == rule.source

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +111,50 @@ def path_get(doc: Column, path: str) -> Column:
     return F.try_variant_get(current, "$" + names, "variant") if names else current
 
 
-ValueOf = Callable[[str], Column]
+@dataclass(frozen=True)
+class Value:
+    """A JSON value taken apart: the VARIANT, its schema text, its text when scalar.
+
+    Reading type and text out of a VARIANT costs more than anything done with
+    them later, so both are columns of their own.
+    """
+
+    doc: Column
+    kind: Column
+    text: Column
+
+    @staticmethod
+    def of(doc: Column) -> Value:
+        kind = F.schema_of_variant(doc)
+        return Value(doc, kind, _text_of(doc, kind))
+
+    @property
+    def absent(self) -> Column:
+        """No such path, or JSON null."""
+        return self.kind.isNull() | (self.kind == "VOID")
+
+    @property
+    def is_number(self) -> Column:
+        return _is_number_kind(self.kind)
+
+    @property
+    def is_scalar(self) -> Column:
+        return _is_scalar_kind(self.kind)
+
+
+def _is_number_kind(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL(")
+
+
+def _is_scalar_kind(kind: Column) -> Column:
+    return kind.isin("STRING", "BOOLEAN") | _is_number_kind(kind)
+
+
+def _text_of(doc: Column, kind: Column) -> Column:
+    return F.when(_is_scalar_kind(kind), F.try_variant_get(doc, "$", "string"))
+
+
+ValueOf = Callable[[str], Value]
 
 
 def bind(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -135,16 +179,21 @@ def fence(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 
 
 def extract_paths(
-    rows: DataFrame, doc: str | Column, paths: Iterable[str], label: str = ""
+    rows: DataFrame, doc: str | Column, paths: Iterable[str]
 ) -> tuple[DataFrame, ValueOf]:
-    """Rows with each distinct path bound to a column, and the lookup by path.
+    """Rows with each distinct path read into columns, and the lookup by path.
 
     The document is walked once per path. `drop_paths` removes the columns.
     """
     source = F.col(doc) if isinstance(doc, str) else doc
-    names = {path: f"{_PATH_PREFIX}{label}{i}" for i, path in enumerate(dict.fromkeys(paths))}
+    names = {path: f"{_PATH_PREFIX}{i}" for i, path in enumerate(dict.fromkeys(paths))}
+    values = {
+        path: Value(F.col(n), F.col(f"{n}_kind"), F.col(f"{n}_text")) for path, n in names.items()
+    }
     read = bind(rows, {n: path_get(source, path) for path, n in names.items()})
-    return read, lambda path: F.col(names[path])
+    read = bind(read, {f"{n}_kind": F.schema_of_variant(n) for n in names.values()})
+    texts = {f"{n}_text": _text_of(F.col(n), F.col(f"{n}_kind")) for n in names.values()}
+    return bind(read, texts), values.__getitem__
 
 
 def drop_paths(rows: DataFrame) -> DataFrame:
@@ -166,8 +215,7 @@ def type_class(doc: Column) -> Column:
 
 
 def is_number(doc: Column) -> Column:
-    kind = F.schema_of_variant(doc)
-    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL(")
+    return _is_number_kind(F.schema_of_variant(doc))
 
 
 def js_trim(text: Column) -> Column:
@@ -223,21 +271,17 @@ def double_text(number: Column) -> Column:
     )
 
 
-def scalar_text(doc: Column) -> Column:
+def scalar_text(value: Value) -> Column:
     """String, number or boolean as text; NULL for everything else.
 
     Short numbers keep the exact text VARIANT holds; exponent forms and numbers
     beyond double precision are printed from the double.
     """
-    kind = F.schema_of_variant(doc)
-    text = F.try_variant_get(doc, "$", "string")
+    text = value.text
     tiny = text.startswith("0.000000") | text.startswith("-0.000000")
-    exact = (kind != "DOUBLE") & (F.length(text) <= 16) & ~tiny
-    return (
-        F.when(kind.isin("STRING", "BOOLEAN"), text)
-        .when(kind.startswith("OBJECT<") | kind.startswith("ARRAY<") | (kind == "VOID"), None)
-        .when(exact, text)
-        .otherwise(double_text(F.try_variant_get(doc, "$", "double")))
+    exact = (value.kind != "DOUBLE") & (F.length(text) <= 16) & ~tiny
+    return F.when(value.kind.isin("STRING", "BOOLEAN") | exact, text).otherwise(
+        double_text(text.try_cast("double"))
     )
 
 

@@ -9,7 +9,7 @@ from sluice import messages as M
 from sluice.functions.casts import cast_input, cast_result
 from sluice.functions.predicates import matches_any
 from sluice.functions.reshape import apply_transform
-from sluice.functions.variants import bind, canonical_json, item_hash, path_get, strip_nul, type_class
+from sluice.functions.variants import Value, bind, canonical_json, item_hash, path_get, strip_nul, type_class
 from sluice.operators.filtering import filter_items
 from sluice.operators.keys import dedupe_key, with_dedupe_key
 from sluice.plans import frames
@@ -154,7 +154,7 @@ def flt5_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def flt7_same_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     def same(value: object) -> Column:
-        return matches_any(F.col("m"), value if isinstance(value, list) else [value])
+        return matches_any(Value.of(F.col("m")), value if isinstance(value, list) else [value])
 
     values = _mixed(spark, sf_dir).withColumn("m", path_get(F.col("item"), "m"))
     return values.select(
@@ -335,9 +335,9 @@ def _cast(spark: SparkSession, sf_dir: str, path: str, cast: str, mixed: bool =
     present = items.select("event_id", value.alias("v")).filter(
         F.col("v").isNotNull() & ~F.is_variant_null("v")
     )
-    given = cast_input(F.col("v"), cast)
+    given = cast_input(Value.of(F.col("v")), cast)
     staged = bind(present, given)
-    fragment, problem = cast_result(F.col("v"), cast, {name: F.col(name) for name in given})
+    fragment, problem = cast_result(Value.of(F.col("v")), cast, {name: F.col(name) for name in given})
     return staged.select("event_id", fragment.alias("fragment"), problem.alias("problem"))
 
 

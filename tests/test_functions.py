@@ -13,6 +13,7 @@ from sluice.functions.dates import month_partition, resolve_date_template
 from sluice.functions.predicates import predicate
 from sluice.functions.reshape import apply_transform
 from sluice.functions.variants import (
+    Value,
     canonical_json,
     double_text,
     fence,
@@ -178,7 +179,7 @@ _X = object()
 )
 def test_predicates(spark, kind, argument, cases):
     df = docs(spark, *[{} if v is _X else {"f": v} for v, _ in cases])
-    got = values(df.withColumn("k", predicate(path_get(F.col("doc"), "f"), kind, argument)), "k")
+    got = values(df.withColumn("k", predicate(Value.of(path_get(F.col("doc"), "f")), kind, argument)), "k")
     assert got == [want for _, want in cases]
 
 
