@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import messages as M
-from sluice.functions.variants import ValueOf, bind, drop_paths, extract_paths, item_hash, scalar_text
+from sluice.functions.variants import ValueOf, bind, drop_paths, extract_paths, fence, item_hash, scalar_text
 from sluice.spec import DedupeSpec
 
 
@@ -82,7 +82,7 @@ def with_dedupe_key(items: DataFrame, spec: DedupeSpec, item: str = "item") -> D
     """Add `dedupe_source` and `dedupe_key` (sha256 hex); both NULL when no key resolves."""
     read, value_of = extract_paths(items, item, key_paths(spec))
     texts, parts = key_parts(read, spec, value_of)
-    keyed = bind(read, texts).withColumn("dedupe_source", key_source(spec, parts, F.col(item)))
+    keyed = fence(bind(read, texts), {"dedupe_source": key_source(spec, parts, F.col(item))})
     keyed = keyed.withColumn("dedupe_key", F.sha2("dedupe_source", 256))
     return drop_parts(drop_paths(keyed))
 

@@ -9,7 +9,15 @@ from sluice import messages as M
 from sluice.functions.casts import cast_input, cast_result
 from sluice.functions.predicates import matches_any
 from sluice.functions.reshape import apply_transform
-from sluice.functions.variants import Value, bind, canonical_json, item_hash, path_get, strip_nul, type_class
+from sluice.functions.variants import (
+    bind,
+    canonical_json,
+    extract_paths,
+    item_hash,
+    path_get,
+    strip_nul,
+    type_class,
+)
 from sluice.operators.filtering import filter_items
 from sluice.operators.keys import dedupe_key, with_dedupe_key
 from sluice.plans import frames
@@ -153,10 +161,11 @@ def flt5_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def flt7_same_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values, value_of = extract_paths(_mixed(spark, sf_dir), "item", ["m"])
+
     def same(value: object) -> Column:
-        return matches_any(Value.of(F.col("m")), value if isinstance(value, list) else [value])
+        return matches_any(value_of("m"), value if isinstance(value, list) else [value])
 
-    values = _mixed(spark, sf_dir).withColumn("m", path_get(F.col("item"), "m"))
     return values.select(
         "event_id",
         same(12).alias("number_12"),
@@ -331,13 +340,11 @@ def key6_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cast(spark: SparkSession, sf_dir: str, path: str, cast: str, mixed: bool = False) -> DataFrame:
     items = _mixed(spark, sf_dir) if mixed else frames.items(spark, sf_dir)
-    value = path_get(items["item"], path)
-    present = items.select("event_id", value.alias("v")).filter(
-        F.col("v").isNotNull() & ~F.is_variant_null("v")
-    )
-    given = cast_input(Value.of(F.col("v")), cast)
-    staged = bind(present, given)
-    fragment, problem = cast_result(Value.of(F.col("v")), cast, {name: F.col(name) for name in given})
+    read, value_of = extract_paths(items.select("event_id", "item"), "item", [path])
+    value = value_of(path)
+    given = cast_input(value, cast)
+    staged = bind(read.filter(~value.absent), given)
+    fragment, problem = cast_result(value, cast, {name: F.col(name) for name in given})
     return staged.select("event_id", fragment.alias("fragment"), problem.alias("problem"))
 
 
