@@ -136,7 +136,8 @@ def repeated_spans(
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     spans = anchor_spans(keyed, min_words, anchor_words)
-    seeds = (
+    # Written, so that the join has two plain exchanges and a hot anchor can be split between tasks.
+    seeds = written(
         spans.groupBy("anchor")
         .agg(
             F.min("id").alias("first"),
@@ -146,7 +147,8 @@ def repeated_spans(
             F.max("span").alias("other"),
         )
         .where("first < last")
-        .select("anchor", "first", "hub", (F.col("one") != F.col("other")).alias("differ"))
+        .select("anchor", "first", "hub", (F.col("one") != F.col("other")).alias("differ")),
+        "seeds",
     )
     joined = written(
         spans.join(seeds, "anchor")
@@ -155,8 +157,14 @@ def repeated_spans(
         "anchors",
     )
     windows = _windows(keyed, joined.where(~F.col("same")), min_words)
-    owners = windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    later = windows.join(owners.drop("last"), ["w1", "w2"]).where(F.col("first") < F.col("id"))
+    owners = written(
+        windows.groupBy("w1", "w2")
+        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        .where("first < last")
+        .drop("last"),
+        "owners",
+    )
+    later = windows.join(owners, ["w1", "w2"]).where(F.col("first") < F.col("id"))
     found = joined.where("same").select("id", "row", "start", "n").unionByName(
         later.select("id", "row", "start", F.lit(min_words).alias("n"))
     )
