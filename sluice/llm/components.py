@@ -16,7 +16,8 @@ def _by_minimum(links: DataFrame, keep: str) -> DataFrame:
     The minimum comes from an aggregate with map-side reduction and is joined back, so a node with very many neighbours
     is never gathered in one task.
     """
-    least = links.groupBy("u").agg(F.min("v").alias("least"))
+    # Written, so that the join has two plain exchanges and a hot node can be split between tasks.
+    least = written(links.groupBy("u").agg(F.min("v").alias("least")), "least")
     return (
         links.join(least, "u")
         .select("u", "v", F.least("u", "least").alias("least"))
@@ -39,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         # u > v always; star steps look at both directions, then at the smaller neighbours only.
         both = tree.unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _by_minimum(both, "v > u").where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("least"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("least")), "least")
         small = (
             large.join(least, "u")
             .select(F.col("v").alias("u"), F.col("least").alias("v"))

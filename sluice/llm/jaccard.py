@@ -179,8 +179,12 @@ def near_duplicates(
 def _groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """`node`-wise components over class numbers: columns number, component."""
     rows = sets.where("prefix is not null").select("number", "n", F.posexplode("prefix").alias("at", "gram"))
-    hubs = rows.groupBy("gram").agg(F.max("number").alias("hub"), F.min("number").alias("low")).where("low < hub")
-    members = written(rows.join(hubs.drop("low"), "gram"), "members")
+    # Written first, so that the join has two plain exchanges and a hot gram can be split between tasks.
+    hubs = written(
+        rows.groupBy("gram").agg(F.max("number").alias("hub"), F.min("number").alias("low")).where("low < hub").drop("low"),
+        "hubs",
+    )
+    members = written(rows.join(hubs, "gram"), "members")
     texts = written(_texts(docs, sets, members, id_col, text_col), "texts")
 
     # First join: one hub for each document, the one it shares most prefix grams with.
@@ -198,8 +202,15 @@ def _groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int
     labelled = members.select("gram", "number", "n", "at").distinct().join(
         star.select(F.col("node").alias("number"), "component"), "number", "left"
     ).withColumn("component", F.coalesce("component", "number"))
-    mixed = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_rows = written(labelled.join(mixed.select("gram"), "gram"), "open")
+    labelled = written(labelled, "labelled")
+    mixed = written(
+        labelled.groupBy("gram")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high")
+        .select("gram"),
+        "mixed",
+    )
+    open_rows = written(labelled.join(mixed, "gram"), "open")
     left = open_rows.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("number", "n", "at", "component")))
     right = open_rows.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("number", "n", "at", "component")))
     least_shared = F.ceil(F.expr(f"{percent} * (n_a + n_b) / {100 + percent}.0"))
@@ -221,7 +232,7 @@ def _groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int
         .select(F.col("number_a").alias("a"), F.col("number_b").alias("b"))
         .join(first, ["a", "b"], "left_anti")
     )
-    links = verified(bounded, texts, n, percent)
+    links = verified(written(bounded, "bounded"), texts, n, percent)
     return _merged(star, links.select("a", "b"))
 
 
@@ -243,8 +254,11 @@ def _merged(star: DataFrame, links: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, sets: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One text for each class in a bucket with others."""
     wanted = members.select("number").distinct()
+    of = [F.col("of.id").isNull().alias("no_id"), F.coalesce("of.id", F.lit(0)).alias("id"), F.col("of.row").alias("row")]
     one = sets.where("n > 0").groupBy("number", "s1", "s2").agg(F.min(F.struct("id", "row")).alias("of"))
-    one = one.join(wanted, "number").select("number", F.col("of.id").alias("id"), F.col("of.row").alias("row"))
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    same = keyed["id"].eqNullSafe(one["id"]) & (keyed["row"] == one["row"])
-    return keyed.join(one, same).groupBy(one["id"], one["row"], "number").agg(F.first("text").alias("text")).select("number", "text")
+    one = one.join(wanted, "number").select("number", *of)
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")).alias("of"), F.col(text_col).alias("text"))
+    keys = ["no_id", "id", "row"]
+    # Repeated rows give one text; the aggregate uses the partitioning of the join.
+    found = keyed.select(*of, "text").join(one, keys)
+    return found.groupBy(*keys, "number").agg(F.first("text").alias("text")).select("number", "text")

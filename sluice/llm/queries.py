@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm import fingerprints, mixture, pieces, secrets, urls
 from sluice.llm.jaccard import near_duplicates
+from sluice.llm.neighbours import nearest
 from sluice.llm.substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +25,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every text, its edited text and the likeness to that and to the next document."""
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest by inner product of each vector whose id is divisible by 20, against all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four best segmentations of every text, and whether decoding the best gives the text back."""
+    return pieces.encode(table(spark, sf_dir, "documents"), n_best=4)
+
+
+URL_RULES = (
+    urls.Rule("com", "/", True),
+    urls.Rule("example.com", "/en/", False),
+    urls.Rule("www.example.com", "/en/", True),
+    urls.Rule("net", "/es/", False),
+    urls.Rule("net", "/fr/", False),
+)
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules first, the ratio of two character models for the rest."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, Jaccard 0.85: each document's set size and group."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def mix_levels() -> dict[str, Column]:
+    """Domain by source, then language, then source."""
+    source = F.col("source")
+    domain = F.when(source == "src0", "crawl").when(source.rlike("^src[1-9]$"), "forum").when(source.isNotNull(), "press")
+    return {"domain": domain, "lang": F.col("lang"), "source": source}
+
+
+MIX_WEIGHTS = {
+    ("crawl",): 30,
+    ("forum",): 30,
+    ("press",): 40,
+    ("*", "en"): 50,
+    ("*", "de"): 20,
+    ("*", "fr"): 20,
+    ("*", "es"): 10,
+}
+
+
+@query
+def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budget of all tokens over domain, language and source by weight, at most three epochs of a leaf."""
+    planned = mixture.plan_mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, 1.0, 3)
+    return planned.select(F.col("id").alias("doc_id"), "domain", "lang", "source", "tokens", "copies")
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and linked weak parts of every text."""
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that a document of smaller id also has are removed."""

@@ -6,6 +6,7 @@ The folder is `spark.checkpoint.dir`; where a session has none (tests), `local_d
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,10 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     if app not in _made:
         atexit.register(clear, spark)
     _made.setdefault(app, []).append(path)
+    # Shuffle files of the job just done stay until the driver's JVM drops its plan. These jobs shuffle much and
+    # allocate little there, so ask for it.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 
