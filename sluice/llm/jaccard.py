@@ -150,7 +150,8 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85
 ) -> DataFrame:
-    """Every document with its set size `n_shingles` and `component_id`, the least id it is linked with over any chain.
+    """Every document with its set size `n_shingles` and `component_id`, the least id it is linked with over any chain;
+    also `row` (xxhash64 of the text) and `group` (a number for each group, null without words).
 
     Two documents are linked when 100 * shared >= percent * union over their sets of n-grams.
     """
@@ -163,46 +164,75 @@ def near_duplicates(
         .withColumn("component", F.coalesce("component", "number"))
         .select("s1", "s2", "component", "least")
     )
-    least = named.groupBy("component").agg(F.min("least").alias("least"))
-    named = named.drop("least").join(least, "component").select("s1", "s2", "least")
+    named = written(named, "named")
+    least = written(named.groupBy("component").agg(F.min("least").alias("least")), "least")
+    named = named.drop("least").join(least, "component").select("s1", "s2", "least", F.col("component").alias("group"))
     return (
-        sets.select("id", "n", "s1", "s2")
+        sets.select("id", "row", "n", "s1", "s2")
         .join(named, ["s1", "s2"], "left")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
             F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("least")).alias("component_id"),
+            "row",
+            "group",
         )
     )
 
 
+def _may_link(percent: int) -> str:
+    """Length and positional filter for a shared gram at places at_a and at_b of sets of n_a and n_b grams.
+
+    If the gram is the first shared one, all others come after it in both; that must leave enough of them.
+    """
+    return (
+        f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and "
+        f"least(n_a - at_a, n_b - at_b) >= ceil({percent} * (n_a + n_b) / {100 + percent}.0)"
+    )
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: pairs a, b whose grams, counted by hash range, can still overlap enough."""
+    spread = sets.where("spread is not null").groupBy("number").agg(F.first("spread").alias("spread"), F.first("n").alias("n"))
+    for side in ("a", "b"):
+        own = spread.select(F.col("number").alias(side), F.col("spread").alias(f"s_{side}"), F.col("n").alias(f"n_{side}"))
+        pairs = pairs.join(own, side)
+    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return pairs.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """`node`-wise components over class numbers: columns number, component."""
+    """Components over class numbers: columns number, component."""
     rows = sets.where("prefix is not null").select("number", "n", F.posexplode("prefix").alias("at", "gram"))
     # Written first, so that the join has two plain exchanges and a hot gram can be split between tasks.
     hubs = written(
         rows.groupBy("gram").agg(F.max("number").alias("hub"), F.min("number").alias("low")).where("low < hub").drop("low"),
         "hubs",
     )
-    members = written(rows.join(hubs, "gram"), "members")
-    texts = written(_texts(docs, sets, members, id_col, text_col), "texts")
+    members = written(rows.join(hubs, "gram").distinct(), "members")
 
-    # First join: one hub for each document, the one it shares most prefix grams with.
+    # First join: one hub for each document, of those it may be linked with the one it shares most prefix grams with.
+    own = members.where("number < hub").select("gram", "number", "hub", F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    hub = members.where("number = hub").select("gram", F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     first = (
-        members.where("number < hub")
+        own.join(hub, "gram")
+        .where(_may_link(percent))
         .groupBy("number", "hub")
         .count()
         .groupBy("number")
         .agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
         .select(F.col("number").alias("a"), F.col("hub").alias("b"))
     )
-    star = components(verified(first, texts, n, percent).select("a", "b"))
+    first = written(_bounded(first, sets, percent), "first")
+    star = components(verified(first, _texts(docs, sets, first, id_col, text_col), n, percent).select("a", "b"))
 
     # Second join: documents of one bucket that are in different groups so far.
-    labelled = members.select("gram", "number", "n", "at").distinct().join(
-        star.select(F.col("node").alias("number"), "component"), "number", "left"
-    ).withColumn("component", F.coalesce("component", "number"))
-    labelled = written(labelled, "labelled")
+    labelled = written(
+        members.select("gram", "number", "n", "at")
+        .join(star.select(F.col("node").alias("number"), "component"), "number", "left")
+        .withColumn("component", F.coalesce("component", "number")),
+        "labelled",
+    )
     mixed = written(
         labelled.groupBy("gram")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -211,28 +241,18 @@ def _groups(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str, n: int
         "mixed",
     )
     open_rows = written(labelled.join(mixed, "gram"), "open")
-    left = open_rows.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("number", "n", "at", "component")))
-    right = open_rows.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("number", "n", "at", "component")))
-    least_shared = F.ceil(F.expr(f"{percent} * (n_a + n_b) / {100 + percent}.0"))
+    side = lambda name: open_rows.select("gram", *(F.col(c).alias(f"{c}_{name}") for c in ("number", "n", "at", "component")))
     met = (
-        left.join(right, "gram")
+        side("a")
+        .join(side("b"), "gram")
         .where("number_a < number_b and component_a <> component_b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .groupBy("number_a", "number_b", "n_a", "n_b")
-        .agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
-        # The gram found first is the first shared one of both: all others come after it.
-        .where(F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")) >= least_shared)
-    )
-    spread = sets.where("spread is not null").groupBy("number").agg(F.first("spread").alias("spread"))
-    side = lambda name: spread.select(F.col("number").alias(f"number_{name}"), F.col("spread").alias(f"s_{name}"))
-    bounded = (
-        met.join(side("a"), "number_a")
-        .join(side("b"), "number_b")
-        .where(F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x) >= least_shared)
+        .where(_may_link(percent))
         .select(F.col("number_a").alias("a"), F.col("number_b").alias("b"))
+        .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    links = verified(written(bounded, "bounded"), texts, n, percent)
+    second = written(_bounded(met, sets, percent), "second")
+    links = verified(second, _texts(docs, sets, second, id_col, text_col), n, percent)
     return _merged(star, links.select("a", "b"))
 
 
@@ -251,14 +271,35 @@ def _merged(star: DataFrame, links: DataFrame) -> DataFrame:
     return known.unionByName(alone)
 
 
-def _texts(docs: DataFrame, sets: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One text for each class in a bucket with others."""
-    wanted = members.select("number").distinct()
+def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One text for each class number in the pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
     of = [F.col("of.id").isNull().alias("no_id"), F.coalesce("of.id", F.lit(0)).alias("id"), F.col("of.row").alias("row")]
     one = sets.where("n > 0").groupBy("number", "s1", "s2").agg(F.min(F.struct("id", "row")).alias("of"))
     one = one.join(wanted, "number").select("number", *of)
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")).alias("of"), F.col(text_col).alias("text"))
     keys = ["no_id", "id", "row"]
     # Repeated rows give one text; the aggregate uses the partitioning of the join.
-    found = keyed.select(*of, "text").join(one, keys)
-    return found.groupBy(*keys, "number").agg(F.first("text").alias("text")).select("number", "text")
+    found = keyed.select(*of, "text").join(one, keys).groupBy(*keys, "number").agg(F.first("text").alias("text"))
+    return written(found.select("number", "text"), "texts")
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80
+) -> DataFrame:
+    """The documents with all their columns, of each group of near copies only the one of least id.
+
+    Texts without words are in no group and stay. Rows of equal id and text are one document.
+    """
+    groups = near_duplicates(docs, id_col, text_col, n, percent)
+    named = F.struct(F.col(id_col).alias("id"), "row")
+    alone = groups.where("group is null").select(named.alias("of")).distinct()
+    first = groups.where("group is not null").groupBy("group").agg(F.min(named).alias("of")).select("of")
+    of = [F.col("of.id").isNull().alias("no_id"), F.coalesce("of.id", F.lit(0)).alias("id"), F.col("of.row").alias("row")]
+    kept = alone.unionByName(first).select(*of)
+    keyed = docs.select(
+        F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")).alias("of"), F.struct("*").alias("whole")
+    )
+    keys = ["no_id", "id", "row"]
+    found = keyed.select(*of, "whole").join(kept, keys).groupBy(*keys).agg(F.first("whole").alias("whole"))
+    return found.select("whole.*")

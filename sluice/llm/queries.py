@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, mixture, pieces, secrets, urls
+from sluice.llm import fingerprints, licenses, mixture, pieces, quality, secrets, urls
 from sluice.llm.jaccard import near_duplicates
 from sluice.llm.neighbours import nearest
 from sluice.llm.substrings import remove_repeats
@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and paragraphs of every text that are near a license template."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every text, its edited text and the likeness to that and to the next document."""
@@ -61,7 +67,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, Jaccard 0.85: each document's set size and group."""
-    return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85).drop("row", "group")
 
 
 def mix_levels() -> dict[str, Column]:
@@ -95,6 +101,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained chance of good quality of every document."""
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_content", "p_metadata", "p_quality", "keep")
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that a document of smaller id also has are removed."""
