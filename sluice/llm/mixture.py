@@ -148,14 +148,24 @@ def plan_mix(
     return inside.unionByName(outside).unionByName(edge).select("id", "row", *names, "tokens", F.col("copies").cast("bigint"))
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[str, ...], int], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:  # noqa: ANN003
+def mix(
+    docs: DataFrame,
+    levels: Mapping[str, Column],
+    weights: Mapping[tuple[str, ...], int],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **options: float,
+) -> DataFrame:
     """The documents of the mix with all their columns, each as often as `plan_mix` takes it."""
     plan = plan_mix(docs, levels, weights, id_col=id_col, text_col=text_col, **options).where("copies > 0")
     taken = plan.select(
-        F.col("id").alias("_id"), F.col("row").alias("_row"), "copies", *(F.col(n).alias(f"_{n}") for n in levels)
+        F.col("id").alias("_mix_id"),
+        F.col("row").alias("_mix_row"),
+        F.col("copies").alias("_mix_copies"),
+        *(F.col(n).alias(f"_mix_{n}") for n in levels),
     )
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_row"))
+    same = docs[id_col].eqNullSafe(F.col("_mix_id")) & (F.xxhash64(docs[text_col]) == F.col("_mix_row"))
     for name, column in levels.items():
-        same = same & (F.coalesce(column.cast("string"), F.lit("")) == F.col(f"_{name}"))
-    joined = docs.join(taken, same)
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+        same = same & (F.coalesce(column.cast("string"), F.lit("")) == F.col(f"_mix_{name}"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")
+    return docs.join(taken, same).select(*(docs[c] for c in docs.columns), copy).drop("_mix_copy")

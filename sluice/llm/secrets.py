@@ -198,14 +198,14 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = (
         find_secrets(docs, id_col, text_col, reach)
         .where(F.size("spans") > 0)
-        .select(F.col(id_col).alias("_id"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-        .dropDuplicates(["_id", "_row"])
+        .select(F.col(id_col).alias("_mask_id"), F.col("row").alias("_mask_row"), F.col("spans").alias("_mask_spans"))
+        .dropDuplicates(["_mask_id", "_mask_row"])
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_row"))
+    same = F.col(id_col).eqNullSafe(F.col("_mask_id")) & (F.xxhash64(text) == F.col("_mask_row"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(
-        "_spans",
+        "_mask_spans",
         start,
         lambda state, s: F.when(
             s["start"] >= state["at"],
@@ -218,7 +218,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     return docs.join(found, same, "left").select(
         *(
-            F.when(F.col("_spans").isNotNull(), masked).otherwise(docs[c]).alias(c) if c == text_col else docs[c]
+            F.when(F.col("_mask_spans").isNotNull(), masked).otherwise(docs[c]).alias(c) if c == text_col else docs[c]
             for c in docs.columns
         )
     )
