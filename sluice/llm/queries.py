@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, licenses, mixture, pieces, quality, secrets, urls
+from sluice.llm import fingerprints, licenses, mixture, oracles, pieces, quality, secrets, urls
 from sluice.llm.jaccard import near_duplicates
 from sluice.llm.neighbours import nearest
 from sluice.llm.substrings import remove_repeats
@@ -116,5 +116,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words",
         "n_removed",
         F.sha2("kept_text", 256).alias("kept_sha256"),
-        "repeats",
     )
+
+
+ORACLES |= {
+    "op1_license_scan": oracles.licenses(),
+    "op6_ngram_jaccard_join": oracles.jaccard(),
+    "op8_secret_scan": oracles.secrets(),
+    "op10_substring_dedup": oracles.substrings(),
+}
