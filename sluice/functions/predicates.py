@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.functions.variants import Value, ValueOf, finite, number_of_text
+from sluice.functions.variants import JS_SPACE, Value, ValueOf, finite, number_of_text
 from sluice.spec import FilterRule
 
 
@@ -42,7 +42,7 @@ def matches_any(value: Value, wanted: Iterable[Any]) -> Column:
 
 
 def _literal_number(text: str) -> float | None:
-    trimmed = text.strip()
+    trimmed = text.strip(JS_SPACE)
     try:
         if trimmed[:2].lower() in ("0x", "0o", "0b"):
             return float(int(trimmed, 0))

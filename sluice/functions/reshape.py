@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 
 from sluice import messages as M
 from sluice.functions.casts import cast_input, cast_result, json_literal, json_string
-from sluice.functions.variants import bind, extract_paths, fence, is_object, parse_path
+from sluice.functions.variants import (
+    bind,
+    canonical_json,
+    extract_paths,
+    fence,
+    is_object,
+    parse_path,
+    read_json,
+    scalar_text,
+)
 from sluice.spec import TransformRule
 
 
@@ -48,7 +57,7 @@ def _fragment(node: _Node) -> Column:
         return nested
     # A leaf and members on the same path: the members replace a scalar or array
     # and are added to an object.
-    as_doc = F.try_parse_json(leaf)
+    as_doc = read_json(leaf)
     kept = F.map_filter(
         F.try_variant_get(as_doc, "$", "map<string,variant>"),
         lambda key, _: ~key.isin(*node.members),
@@ -100,7 +109,8 @@ def apply_transform(
             value = value_of(rule.source)
             absent = value.absent
             if rule.cast is None:
-                fragment = F.to_json(value.doc)
+                number = F.when(value.is_number, scalar_text(value))
+                fragment = F.coalesce(number, canonical_json(value.doc))
             else:
                 given = {
                     name: F.col(label) for (path, name), label in labels.items() if path == rule.source

@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 
 from sluice.spec import RESERVED_SEGMENTS
 
-# Closing mark appended behind a body while parsing it (see parse_body).
-_END_MARK = "\u241e"
+# The JSON reader's own limits are lower than what senders may send, and it takes more than JSON.
+_READER = {
+    "maxStringLen": str(2**31 - 1),
+    "maxNumLen": "1000000",
+    "allowNonNumericNumbers": "false",
+    "allowSingleQuotes": "false",
+}
 
 _PATH_PREFIX = "_path_"
 
 # The characters ECMAScript trims as white space.
 _SPACE = r"[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+JS_SPACE = "".join(
+    map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+)
 _DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _PLAIN_TEXT = r"^-?[0-9]{1,300}(\.[0-9]{1,300})?$"
+# A double as Spark prints it: with an exponent, or whole. Tokens of JSON text: strings, numbers, what is between.
+_ODD_NUMBER = r"-?[0-9]+\.(?:[0-9]+E-?[0-9]+|0(?![0-9]))"
+_TOKEN = r"\"(?:[^\"\\]++|\\.)*+\"|-?[0-9][0-9.E+-]*|[^\"0-9-]+|-"
 _BASED_TEXT = "^0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)$"
 
 
@@ -28,17 +39,27 @@ def parse_body(raw: Column) -> Column:
 
     Spark stops reading after the first value, so `{} {}` would pass. The body
     is parsed as the first of two array members; the second is only found when
-    nothing but the body stood before it.
+    nothing but the body stood before it. It is a hash of the body, so no body
+    can hold it.
     """
-    return _first_of_pair(_parse_pair(raw))
+    return _first_of_pair(_parse_pair(raw), raw)
+
+
+def read_json(text: Column) -> Column:
+    """The first JSON value of a text as VARIANT, NULL if there is none.
+
+    Strings up to 2 GB and numbers up to a million digits are read. More than 1,000
+    levels count as not JSON: the reader recurses, and deeper ones end the executor.
+    """
+    return F.from_json(text, "variant", _READER)
 
 
 def _parse_pair(raw: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_END_MARK}"]')))
+    return read_json(F.concat(F.lit("["), raw, F.lit(',"'), F.md5(raw), F.lit('"]')))
 
 
-def _first_of_pair(pair: Column) -> Column:
-    closed = F.try_variant_get(pair, "$[1]", "string") == F.lit(_END_MARK)
+def _first_of_pair(pair: Column, raw: Column) -> Column:
+    closed = F.try_variant_get(pair, "$[1]", "string") == F.md5(raw)
     alone = F.try_variant_get(pair, "$[2]", "variant").isNull()
     return F.when(closed & alone, F.try_variant_get(pair, "$[0]", "variant"))
 
@@ -48,14 +69,15 @@ def with_document(rows: DataFrame, body: str) -> DataFrame:
 
     Both are NULL for a body that is not JSON.
     """
-    read = bind(rows, {"_pair": _parse_pair(strip_nul(F.col(body)))})
-    read = fence(read, {"parsed": _first_of_pair(F.col("_pair"))}).drop("_pair")
+    read = bind(rows, {"_raw": strip_nul(F.col(body))})
+    read = bind(read, {"_pair": _parse_pair(F.col("_raw"))})
+    read = fence(read, {"parsed": _first_of_pair(F.col("_pair"), F.col("_raw"))}).drop("_pair", "_raw")
     return read.withColumn("doc", wrap_body(F.col("parsed")))
 
 
 def wrap_body(doc: Column) -> Column:
     """A body that is not an object becomes the object `{"value": body}`."""
-    wrapped = F.try_parse_json(F.concat(F.lit('{"value":'), F.to_json(doc), F.lit("}")))
+    wrapped = read_json(F.concat(F.lit('{"value":'), F.to_json(doc), F.lit("}")))
     return F.when(doc.isNull() | is_object(doc), doc).otherwise(wrapped)
 
 
@@ -233,18 +255,31 @@ def number_of_text(text: Column) -> Column:
     hence the check of the shape first. Plain digits go the short way.
     """
     t = js_trim(text)
-    # the position of the letter is the base it stands for
-    base = F.instr(F.lit(".b.....o.......x"), F.lower(F.substring(t, 2, 1)))
     return (
         F.when(text.rlike(_PLAIN_TEXT), text.try_cast("double"))
         .when(t.rlike(_DECIMAL_TEXT), finite(t.try_cast("double")))
-        .when(
-            t.rlike(_BASED_TEXT),
-            F.call_function("conv", F.substring(t, 3, 64), base, F.lit(10)).cast("double"),
-        )
+        .when(t.rlike(_BASED_TEXT), finite(_based_number(t)))
     )
 
 
+def _based_number(text: Column) -> Column:
+    """Double of a text like 0x1f, 0o17 or 0b101 of any length, rounded once.
+
+    The first 60 bits are read as an integer; a set bit behind them goes into its
+    last one, which is too low to matter but decides ties. The rest is a power of two.
+    """
+    digits = F.regexp_replace(F.substring(text, 3, 2**30), "^0+", "")
+    value = F.lit(0.0)
+    for letter, base, bits in (("b", 2, 1), ("o", 8, 3), ("x", 16, 4)):
+        size = 60 // bits
+        head = F.call_function("conv", F.substring(digits, 1, size), F.lit(base), F.lit(10)).cast("bigint")
+        rest = F.substring(digits, size + 1, 2**30)
+        head = F.when(rest.rlike("[^0]"), head.bitwiseOR(F.lit(1).cast("bigint"))).otherwise(head)
+        whole = head.cast("double") * F.pow(F.lit(2.0), F.lit(bits) * F.length(rest))
+        value = F.when(F.lower(F.substring(text, 2, 1)) == letter, whole).otherwise(value)
+    return F.when(digits == "", F.lit(0.0)).otherwise(value)
+
+
 def is_blank(text: Column) -> Column:
     return text.rlike(f"^{_SPACE}*$")
 
@@ -286,8 +321,24 @@ def scalar_text(value: Value) -> Column:
 
 
 def canonical_json(doc: Column) -> Column:
-    """JSON text with the keys of every object sorted; array order kept."""
-    return F.to_json(doc)
+    """JSON text with the keys of every object sorted; array order kept.
+
+    Numbers print the ECMAScript way, so 1e3, 1000.0 and 1000 are the same text,
+    and control escapes are in lower case. Only texts that need it are rewritten.
+    """
+    text = F.to_json(doc)
+    exact = F.when(text.rlike(_ODD_NUMBER), _plain_numbers(text)).otherwise(text)
+    lower = exact
+    for escape in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u00{escape}", rf"$1\\u00{escape.lower()}")
+    return F.when(F.contains(text, F.lit("\\u00")), lower).otherwise(exact)
+
+
+def _plain_numbers(text: Column) -> Column:
+    """JSON text with doubles in the form `double_text` gives; strings stay."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    odd = lambda t: t.rlike(rf"^{_ODD_NUMBER}$")
+    return F.array_join(F.transform(tokens, lambda t: F.when(odd(t), double_text(t.try_cast("double"))).otherwise(t)), "")
 
 
 def item_hash(doc: Column) -> Column:

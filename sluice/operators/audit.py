@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,20 +65,27 @@ def _is(*states: str) -> Column:
 
 
 def run_counts(outcomes: DataFrame) -> DataFrame:
-    """One row per run. Duplicates and new items count keys, the rest counts items."""
-    return outcomes.groupBy(*RUN).agg(
-        F.first("http_status", ignorenulls=True).alias("http_status"),
-        F.first("total_record_count", ignorenulls=True).alias("total_record_count"),
-        F.first("error_code", ignorenulls=True).alias("error_code"),
-        F.first("error_message", ignorenulls=True).alias("error_message"),
-        F.count_if(_is("accepted", "duplicate", "filtered", "rejected")).alias("items_received"),
-        F.count_if(_is("filtered")).alias("items_filtered_out"),
-        F.count_distinct(F.when(_is("duplicate"), F.col("dedupe_key"))).alias("items_duplicate"),
-        F.count_if("is_first").alias("items_new"),
-        F.sum("n_deliveries").alias("deliveries_created"),
-        F.count_if(_is("rejected", "unsplit")).alias("items_rejected"),
-        F.count_if(_is("accepted", "duplicate")).alias("items_keyed"),
+    """One row per run. Duplicates and new items count keys, the rest counts items.
+
+    What a run says of itself is the same on all its rows and so part of the key.
+    Duplicate keys are counted by grouping on them first, so only numbers are aggregated.
+    """
+    of_run = (*RUN, "http_status", "total_record_count", "error_code", "error_message")
+    counts = {
+        "items_received": F.count_if(_is("accepted", "duplicate", "filtered", "rejected")),
+        "items_filtered_out": F.count_if(_is("filtered")),
+        "items_new": F.count_if("is_first"),
+        "deliveries_created": F.sum("n_deliveries"),
+        "items_rejected": F.count_if(_is("rejected", "unsplit")),
+        "items_keyed": F.count_if(_is("accepted", "duplicate")),
+    }
+    by_key = (
+        outcomes.groupBy(*of_run, F.when(_is("duplicate"), F.col("dedupe_key")).alias("_key"))
+        .agg(*(c.alias(name) for name, c in counts.items()))
+        .groupBy(*of_run)
+        .agg(F.count("_key").alias("items_duplicate"), *(F.sum(name).alias(name) for name in counts))
     )
+    return by_key.select(*of_run, "items_received", "items_filtered_out", "items_duplicate", *list(counts)[2:])
 
 
 def run_status(counts: DataFrame) -> DataFrame:
@@ -281,20 +288,17 @@ def metrics_histograms(
     )
 
 
-def double_delivery(specs: Sequence[FlowSpec]) -> list[dict[str, str]]:
-    """Polling flows that read the same origin and write to the same destination as an earlier one."""
-    seen: dict[tuple[str, str, str], str] = {}
-    found = []
-    for spec in specs:
-        if not isinstance(spec.source, PollSource):
-            continue
-        for destination in spec.destinations:
-            key = (spec.source.url, spec.items_path or "", destination.url)
-            if key in seen:
-                found.append({"pipeline_id": spec.id, "same_as": seen[key], "url": destination.url})
-            else:
-                seen[key] = spec.id
-    return found
+def double_delivery(spark: SparkSession, specs: Sequence[FlowSpec]) -> DataFrame:
+    """`double_delivery_rows` of what enabled polling flows are configured to do."""
+    rows = [
+        (spec.source.url, spec.items_path or "", d.url, spec.id)
+        for spec in specs
+        if spec.enabled and isinstance(spec.source, PollSource)
+        for d in spec.destinations
+    ]
+    return double_delivery_rows(
+        spark.createDataFrame(rows, "source_url string, items_path string, request_url string, pipeline_id string")
+    )
 
 
 def double_delivery_rows(deliveries: DataFrame) -> DataFrame:

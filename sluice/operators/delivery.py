@@ -19,8 +19,9 @@ from sluice.functions.dates import month_partition
 from sluice.functions.ids import uuid7_of
 from sluice.functions.redact import cut
 from sluice.functions.reshape import apply_transform
+from sluice.functions.variants import read_json
 from sluice.operators.skew import within_first
-from sluice.operators.tables import BROADCAST_ROWS, DESTINATION_SCHEMA, destination_rows, spec_table
+from sluice.operators.tables import DESTINATION_SCHEMA, destination_rows, keys_fit, spec_table
 from sluice.spec import FlowSpec
 
 # Column name and type of every delivery column, in table order.
@@ -403,7 +404,7 @@ def render_requests(
         F.col("id").alias("event_id"), "pipeline_id", "dedupe_key", F.col("payload").alias("_payload")
     )
     joined = wanted.join(stored, ["pipeline_id", "dedupe_key", "event_id"], "left")
-    shown = joined.withColumn("_doc", F.parse_json("_payload"))
+    shown = joined.withColumn("_doc", read_json(F.col("_payload")))
     for spec in specs:
         # a flow's own document is NULL in the rows of the others: nothing is read twice
         own = F.when(F.col("pipeline_id") == spec.id, F.col("_doc"))
@@ -509,7 +510,7 @@ def reap(
     """
     columns = deliveries.columns
     orphans = expired_leases(deliveries, now, lookback_days, limit).select("id").withColumn("_orphan", F.lit(True))
-    if limit <= BROADCAST_ROWS:
+    if keys_fit(limit):
         orphans = F.broadcast(orphans)
     now = instant(now)
     rows = deliveries.join(orphans, "id", "left").withColumn(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.variants import with_document
 from sluice.operators.skew import attach_by_key, within_first
 from sluice.operators.tables import spec_table
 from sluice.spec import EndpointSource, FlowSpec
@@ -17,10 +18,11 @@ ROUTE_SCHEMA = (
 
 
 def normalize_route(path: Column) -> Column:
-    """Configured path to its route: one `/in/` prefix, no doubled or trailing slashes, lower case."""
-    bare = F.regexp_replace(F.regexp_replace(path, "^/+", ""), "^in/", "")
-    trimmed = F.regexp_replace(F.regexp_replace(bare, "/+$", ""), "/{2,}", "/")
-    return F.concat(F.lit("/in/"), F.lower(trimmed))
+    """Configured path to its route: `/in/` and its segments in lower case; a leading `in/` is that same one."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    led = F.ltrim(path, F.lit("/")).startswith("in/")
+    own = F.when(led, F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1)))).otherwise(segments)
+    return F.concat(F.lit("/in/"), F.lower(F.array_join(own, "/")))
 
 
 def request_route(path: Column) -> Column:
@@ -33,7 +35,7 @@ def route_rows(specs: Sequence[FlowSpec]) -> list[tuple]:
     return [
         (s.source.route, s.id, list(s.source.methods), s.source.max_body_bytes, s.source.rate_per_minute)
         for s in specs
-        if isinstance(s.source, EndpointSource)
+        if s.enabled and isinstance(s.source, EndpointSource)
     ]
 
 
@@ -82,7 +84,8 @@ def rate_gate(
 def ingress_gate(requests: DataFrame, specs: Sequence[FlowSpec]) -> DataFrame:
     """Add `pipeline_id` and `status`: the refusal code, or NULL for an admitted request.
 
-    Needs `path`, `method`, `authorized`, `body_bytes`, `doc`, `received_at`, `request_id`.
+    Needs `path`, `method`, `authorized`, `body_bytes`, `received_at`, `request_id` and `doc`, or
+    `body`, which is then parsed behind the gates: for requests that passed them, and only once.
     The checks run in the order 404, 401, 405, 413, 429, 400, and only requests
     that got past the first four count against the rate.
     """
@@ -98,6 +101,9 @@ def ingress_gate(requests: DataFrame, specs: Sequence[FlowSpec]) -> DataFrame:
     )
     checked = looked_up.withColumn("_early", early)
     rated = rate_gate(checked, F.col("per_minute"), eligible=F.col("_early").isNull())
+    if "doc" not in requests.columns:
+        admitted = F.col("_early").isNull() & F.col("within_rate")
+        rated = with_document(rated.withColumn("_read", F.when(admitted, F.col("body"))), "_read").drop("_read", "parsed")
     status = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
         .when(~F.col("within_rate"), 429)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.dates import month_partition
 from sluice.operators.delivery import OPEN, instant
-from sluice.operators.tables import BROADCAST_ROWS
+from sluice.operators.tables import keys_fit
 
 POLICY_SCHEMA = "table_name string, months_ahead int, keep_months int"
 # The policy a new installation starts with.
@@ -37,7 +37,7 @@ def purge_candidates(
         .limit(batch_size)
     )
     ids = victims.select(F.col("id").alias("event_id"), F.col("created_at").alias("_born"))
-    small = batch_size <= BROADCAST_ROWS
+    small = keys_fit(batch_size)
     open_rows = deliveries.filter(F.col("status").isin(*OPEN)).select("event_id", "created_at")
     blocked = open_rows.join(F.broadcast(ids) if small else ids, "event_id").filter(
         (F.col("created_at") >= F.col("_born"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluice.spec import FlowSpec
 
-# Specs come from configuration; up to this many rows they are broadcast,
-# beyond it the join is left to the optimizer.
-BROADCAST_ROWS = 10_000
+# Up to this size a table is broadcast, beyond it the join is left to the optimizer.
+BROADCAST_BYTES = 8 << 20
+# A row of an id, an instant and a flag, as it is held in memory, with room to spare.
+KEY_ROW_BYTES = 256
 
 DESTINATION_SCHEMA = (
     "pipeline_id string, destination_id string, spec_method string, spec_url string, "
@@ -21,8 +22,14 @@ DESTINATION_SCHEMA = (
 
 
 def spec_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> tuple[DataFrame, bool]:
-    """(frame, small enough to broadcast)."""
-    return spark.createDataFrame(list(rows), schema), len(rows) <= BROADCAST_ROWS
+    """(frame, small enough to broadcast): specs carry headers and URLs, so their text is measured."""
+    size = sum(len(repr(row)) for row in rows)
+    return spark.createDataFrame(list(rows), schema), size <= BROADCAST_BYTES
+
+
+def keys_fit(rows: int) -> bool:
+    """Whether so many key rows may be broadcast."""
+    return rows * KEY_ROW_BYTES <= BROADCAST_BYTES
 
 
 def destination_rows(specs: Sequence[FlowSpec]) -> list[tuple]:

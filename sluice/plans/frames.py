@@ -6,8 +6,6 @@ Pages and requests are made of `events`, deliveries and attempt results of
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,14 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def stage_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; a temporary one only where none is set."""
-    from sluice.plans.intake import shared_folder
-
-    base = shared_folder(spark, fallback=f"{tempfile.gettempdir()}/sluice-stage")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def utc(column: str) -> Column:
     return F.col(column).cast("timestamp")
 

@@ -49,7 +49,7 @@ runs AS (
     + "SELECT CAST(cycle AS VARCHAR) AS ingest_id, page, idx, status, event_id, is_first, n_deliveries FROM outc",
 )
 def agg4_item_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = intake(spark, sf_dir, stage=True).outcomes
+    outcomes = intake(spark, sf_dir).outcomes
     items = outcomes.filter(F.col("status").isin("accepted", "duplicate", "filtered", "rejected"))
     return items.select("ingest_id", "page", "idx", "status", "event_id", "is_first", "n_deliveries")
 
@@ -67,7 +67,7 @@ def agg4_item_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def agg1_agg2_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audit.run_rows(intake(spark, sf_dir, stage=True).outcomes, "POLL")
+    rows = audit.run_rows(intake(spark, sf_dir).outcomes, "POLL")
     return rows.select(
         "run_group_id",
         "request_page",
@@ -97,7 +97,7 @@ def agg1_agg2_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def agg3_ingest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = audit.run_counts(intake(spark, sf_dir, stage=True).outcomes)
+    counts = audit.run_counts(intake(spark, sf_dir).outcomes)
     return audit.ingest_result(counts).drop("pipeline_id", "run_id")
 
 
@@ -113,7 +113,7 @@ def agg3_ingest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def agg8_counters_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = audit.run_counts(intake(spark, sf_dir, stage=True).outcomes)
+    counts = audit.run_counts(intake(spark, sf_dir).outcomes)
     counted = audit.metrics_counters(counts=counts, source_kind="http-poll")
     return counted.select("metric", "pipeline_id", "source_kind", "value")
 
@@ -129,7 +129,7 @@ def agg8_counters_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def agg9_page_items_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = audit.run_counts(intake(spark, sf_dir, stage=True).outcomes)
+    counts = audit.run_counts(intake(spark, sf_dir).outcomes)
     pages = counts.filter(F.col("error_code").isNull())
     return audit.metrics_histograms(pages, "items_received", ["pipeline_id"], [0, 50, 100])
 
@@ -177,9 +177,8 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     requests = read_requests(frames.landed_requests(spark, sf_dir))
     spec = frames.endpoint_flow()
-    folder = f"{frames.stage_folder(spark)}/requests"
     docs = request_documents(requests, spec.id)
-    return plan_intake(docs, spec, frames.NOW, stage=folder).outcomes
+    return plan_intake(docs, spec, frames.NOW).outcomes
 
 
 @query(

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+# Above this an input is left as its splits are: moving it would cost more than idle cores.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rebalance an input with fewer splits than cores, before its bodies are parsed.
+    """Rebalance a small input over the cores, before its bodies are parsed.
 
-    A large input has more splits than cores and passes through: no shuffle.
+    The size is what the files say; a larger input is never shuffled for this.
     """
     if rows.isStreaming:
         return rows
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions import redact, retry
+from sluice.functions import redact, retry, variants
 from sluice.functions.dates import month_partition, resolve_date_template
 from sluice.functions.predicates import predicate
 from sluice.functions.reshape import apply_transform
@@ -498,3 +498,40 @@ def test_uuid7_is_ordered_by_time(spark):
     import re
 
     assert all(re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", i) for i in ids)
+
+
+def test_bodies_beyond_the_readers_own_limits(spark):
+    bodies = [
+        '{"a":"' + "x" * 21_000_000 + '"}',
+        '{"a":' + "1" * 1_100 + "}",
+        "[" * 990 + "]" * 990,
+        "[" * 1_500 + "]" * 1_500,
+        '1,"␞"],[',
+        '{"a":1} {}',
+        "[1],",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, raw string")
+    got = [r.ok for r in df.select("i", variants.parse_body(F.col("raw")).isNotNull().alias("ok")).orderBy("i").collect()]
+    assert got == [True, True, True] + [False] * 6
+
+
+def test_numbers_in_other_bases_of_any_length(spark):
+    digits = ["f" * n for n in (1, 13, 14, 15, 16, 17, 40, 100, 250)] + ["8" + "0" * 13 + "1", "2" + "0" * 12 + "1" + "0" * 30, "00" * 30 + "a"]
+    texts = [f"0x{d}" for d in digits]
+    texts += [f"0b{d}" for d in ("1" * 53, "1" * 54, "1" + "0" * 52 + "1", "1" + "0" * 52 + "11", "1" * 70, "0" * 99 + "1")]
+    texts += [f"0o{d}" for d in ("7" * 17, "7" * 18, "7" * 25, "1" + "0" * 40 + "1", "0")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.n for r in df.select(variants.number_of_text(F.col("t")).alias("n")).collect()]
+    assert got == [float(int(t, 0)) for t in texts]
+    over = spark.createDataFrame([("0x" + "f" * 257,)], "t string")
+    assert over.select(variants.number_of_text(F.col("t")).alias("n")).first().n is None
+
+
+def test_canonical_numbers_and_escapes(spark):
+    raw = ['{"b":1e3,"a":[5e-7,1.5e7,1e21,-2.0,0.1,12]}', '{"b":1000,"a":[5E-7,15000000.0,1e21,-2,0.1,12]}', '{"s":"1.0E7 \\" 2.0","t":"\\u001f\\u000B\\\\u001F"}']
+    df = spark.createDataFrame([(r,) for r in raw], "raw string").withColumn("doc", F.parse_json("raw"))
+    texts = [r.t for r in df.select(variants.canonical_json(F.col("doc")).alias("t")).collect()]
+    assert texts[0] == texts[1] == '{"a":[5e-7,15000000,1e+21,-2,0.1,12],"b":1000}'
+    assert texts[2] == '{"s":"1.0E7 \\" 2.0","t":"\\u001f\\u000b\\\\u001F"}'

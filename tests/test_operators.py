@@ -595,7 +595,7 @@ def test_bad_specs(build):
         build()
 
 
-def test_spec_forms():
+def test_spec_forms(spark):
     assert compile_filter({"a": [1]}) == compile_filter({"a": {"in": [1]}})
     assert compile_filter({"a": {"numeric": False}})[0].predicates == ()
     kinds = [k for k, _ in compile_filter({"a": {"exists": True, "in": [1], "numeric": True}})[0].predicates]
@@ -604,4 +604,5 @@ def test_spec_forms():
     assert DestinationSpec(id="a", url="u", timeout_ms=5_000).lease_seconds == 45
     assert EndpointSource(path="/in/a-b/").route == "/in/a-b"
     twins = [poll(id="one"), poll(id="two")]
-    assert audit.double_delivery(twins) == [{"pipeline_id": "two", "same_as": "one", "url": "https://d.example/a"}]
+    found = audit.double_delivery(spark, [*twins, poll(id="three", enabled=False)]).collect()
+    assert [(r.request_url, r.n_pipelines) for r in found] == [("https://d.example/a", 2)]
