@@ -14,6 +14,8 @@ from sluice.functions.variants import (
     canonical_json,
     extract_paths,
     item_hash,
+    number_of_text,
+    parse_body,
     path_get,
     strip_nul,
     type_class,
@@ -493,3 +495,37 @@ def trf6_first_failing_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
         "a": {"from": "event_id"},
     }
     return _transformed(spark, sf_dir, rules)
+
+
+@query(
+    "cst2_long_based_texts",
+    "SELECT event_id, power(16.0, event_id % 90 + 1) - 1 AS as_number, event_id % 90 > 0 AS kept FROM events",
+)
+def cst2_long_based_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hexadecimal texts of 1 to 90 digits as numbers, and through a filter: none of them ends the job."""
+    n = F.col("event_id") % 90
+    text = F.concat(F.lit("0x"), F.repeat(F.lit("f"), (n + 1).cast("int")))
+    raw = F.concat(F.lit('{"m":"'), text, F.lit('"}'))
+    items = frames.table(spark, sf_dir, "events").select("event_id", text.alias("t"), F.parse_json(raw).alias("item"))
+    kept = filter_items(items, {"m": {"numeric": True, "notEquals": 15}}).select(F.col("event_id").alias("k"))
+    return items.join(kept, F.col("event_id") == F.col("k"), "left").select(
+        "event_id", number_of_text(F.col("t")).alias("as_number"), F.col("k").isNotNull().alias("kept")
+    )
+
+
+@query(
+    "src1_bodies_past_reader_limits",
+    "SELECT event_id, event_id % 5 IN (0, 1, 4) AS has_doc FROM events",
+)
+def src1_bodies_past_reader_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long numbers and deep nesting are read; a body that plays the end of the text is not."""
+    n = F.col("event_id") % 5
+    body = (
+        F.when(n == 0, F.concat(F.lit('{"a":'), F.repeat(F.lit("1"), 1_100), F.lit("}")))
+        .when(n == 1, F.concat(F.repeat(F.lit("["), 900), F.repeat(F.lit("]"), 900)))
+        .when(n == 2, F.lit('1,"\u241e"],['))
+        .when(n == 3, F.concat("props", F.lit(" {}")))
+        .otherwise(F.col("props"))
+    )
+    events = frames.table(spark, sf_dir, "events")
+    return events.select("event_id", parse_body(body).isNotNull().alias("has_doc"))
