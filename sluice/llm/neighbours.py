@@ -199,9 +199,11 @@ def nearest(
                 scores[queries[at : at + 256, None] == ids] = -np.inf
                 for i, row in enumerate(scores):
                     cut = max(best[at + i], np.partition(row, -k)[-k] if len(row) > k else -np.inf)
-                    found = np.flatnonzero((row >= cut) & (row > -np.inf))
-                    found = found[np.argsort(-row[found], kind="stable")[:k]]
-                    out.append((np.repeat(queries[at + i], len(found)), ids[found], row[found]))
+                    # Products of a matrix may round by place: what is near the cut is summed again, row by row alike.
+                    found = np.flatnonzero((row >= cut - 1e-9 * (1 + abs(cut))) & (row > -np.inf))
+                    exact = (table[found] * matrix[at + i]).sum(1)
+                    first = np.argsort(-exact, kind="stable")[:k]
+                    out.append((np.repeat(queries[at + i], len(first)), ids[found[first]], exact[first]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         id_type = left.schema.field("query").type
         return pa.table({"query": pa.array(columns[0], id_type), "id": pa.array(columns[1], id_type), "score": pa.array(columns[2], pa.float64())})
