@@ -24,6 +24,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,7 +37,7 @@ from sluice.llm.words import chunks, small_batches
 N_BEST = 4
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_PARTS = 400_000
+CACHE_PARTS = 1_000_000
 INF = math.inf
 
 
@@ -46,13 +47,9 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@dataclass
-class Part:
-    """Best ids (as int32 bytes), their score and the loss of the second segmentation."""
-
-    ids: bytes
-    score: float
-    loss: float
+# Best ids (as int32 bytes), their score and the loss of the second segmentation. A plain tuple of such values is not
+# followed by the garbage collector, which matters with a million of them.
+Part = tuple[bytes, float, float]
 
 
 @dataclass
@@ -90,10 +87,10 @@ class Pieces:
             score = {i: lib.get_score(i) for i in plain}
         self.pieces = {names[i]: (i, score[i]) for i in plain}
         self.unknown = min(score.values()) - UNKNOWN_PENALTY
-        self.reach: dict[str, int] = {}
-        for name in self.pieces:
-            self.reach[name[0]] = max(self.reach.get(name[0], 0), len(name))
-        self.longest = max(self.reach.values())
+        # Every start of a piece, with the piece's score; -inf where it only goes on to longer ones.
+        self.starts = {name[:n]: -INF for name in self.pieces for n in range(1, len(name))}
+        self.starts |= {name: score for name, (_, score) in self.pieces.items()}
+        self.longest = max(map(len, self.pieces))
         self.splitter = self._splitter()
 
     def _splitter(self) -> re.Pattern[str]:
@@ -117,37 +114,70 @@ class Pieces:
 
     def forward(self, part: str) -> tuple[list[float], list[int], list[float]]:
         """Per end position: best score, start of the last piece, and loss of the second best last piece."""
-        n, pieces, reach, unknown = len(part), self.pieces, self.reach, self.unknown
-        best, back, loss = [0.0] + [-INF] * n, [0] * (n + 1), [INF] * (n + 1)
+        n, known, lowest = len(part), self.starts.get, -INF
+        best, back, loss = [0.0] + [lowest] * n, list(range(-1, n)), [INF] * (n + 1)
         for start in range(n):
             at = best[start]
-            longest = reach.get(part[start], 1)
-            for end in range(start + 1, min(n, start + longest) + 1):
-                known = pieces.get(part[start:end])
-                if known is not None:
-                    score = at + known[1]
-                elif end == start + 1:
-                    score = at + unknown
-                else:
+            end = start + 1
+            step = known(part[start])
+            score = at + (self.unknown if step is None or step == lowest else step)
+            before = best[end]
+            if score > before:
+                loss[end] = score - before
+                best[end], back[end] = score, start
+            elif before - score < loss[end]:
+                loss[end] = before - score
+            if step is None:
+                continue
+            for end in range(start + 2, n + 1):
+                step = known(part[start:end])
+                if step is None:
+                    break
+                if step == lowest:
                     continue
-                if score > best[end]:
-                    loss[end] = score - best[end]
+                score = at + step
+                before = best[end]
+                if score > before:
+                    loss[end] = score - before
                     best[end], back[end] = score, start
-                elif best[end] - score < loss[end]:
-                    loss[end] = best[end] - score
+                elif before - score < loss[end]:
+                    loss[end] = before - score
         return best, back, loss
 
+    def lattice(self, part: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
+        """Per end position the best score of what is before it, and all pieces that end there: start and score."""
+        n = len(part)
+        best, edges = [0.0] + [-INF] * n, [[] for _ in range(n + 1)]
+        for start in range(n):
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                step = self.starts.get(part[start:end])
+                if end == start + 1 and (step is None or step == -INF):
+                    step = self.unknown
+                elif step is None:
+                    break
+                if step > -INF:
+                    edges[end].append((start, step))
+                    best[end] = max(best[end], best[start] + step)
+        return best, edges
+
     def part(self, text: str) -> Part:
         found = self.cache.get(text)
         if found is None:
             best, back, loss = self.forward(text)
-            ids: list[int] = []
+            ids, known = array("i"), self.pieces.get
             end, least = len(text), INF
             while end:
-                least = min(least, loss[end])
-                ids[:0] = self.units_of(text[back[end] : end])
-                end = back[end]
-            found = Part(np.array(ids, np.int32).tobytes(), best[-1], least)
+                if loss[end] < least:
+                    least = loss[end]
+                start = back[end]
+                piece = known(text[start:end])
+                if piece is not None:
+                    ids.append(piece[0])
+                else:
+                    ids.extend(reversed(self.units_of(text[start:end])))
+                end = start
+            ids.reverse()
+            found = (ids.tobytes(), best[-1], least)
             if len(self.cache) >= CACHE_PARTS:
                 self.cache.clear()
             self.cache[text] = found
@@ -157,7 +187,7 @@ class Pieces:
         """The n best segmentations of a part, best first."""
         if (text, n) in self.ranked:
             return self.ranked[text, n]
-        best, _, _ = self.forward(text)
+        best, edges = self.lattice(text)
         out: list[tuple[float, list[int]]] = []
         queue: list[tuple[float, int, int, float, tuple]] = [(-best[-1], 0, len(text), 0.0, ())]
         count = 0
@@ -170,14 +200,10 @@ class Pieces:
                     ids += self.units_of(piece)
                 out.append((done, ids))
                 continue
-            for start in range(max(0, end - self.longest), end):
-                piece = text[start:end]
-                known = self.pieces.get(piece)
-                if known is None and start != end - 1:
-                    continue
-                score = done + (known[1] if known else self.unknown)
+            for start, step in edges[end]:
                 count += 1
-                heapq.heappush(queue, (-(best[start] + score), count, start, score, (piece, path)))
+                score = done + step
+                heapq.heappush(queue, (-(best[start] + score), count, start, score, (text[start:end], path)))
         if len(self.ranked) >= CACHE_PARTS // 20:
             self.ranked.clear()
         self.ranked[text, n] = out
@@ -199,18 +225,20 @@ class Pieces:
         if not text:
             return np.zeros(0, np.int32), 0.0, []
         names = self.parts(text)
-        own = Part(np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes(), self.unknown, INF)
+        own = (np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes(), self.unknown, INF)
         cache = self.cache
         parts = [cache.get(p) or (self.part(p) if p else own) for p in names]
-        ids = np.frombuffer(b"".join([p.ids for p in parts]), np.int32)
-        score = math.fsum([p.score for p in parts])
+        coded, scores, lost = zip(*parts, strict=True)
+        ids = np.frombuffer(b"".join(coded), np.int32)
+        score = math.fsum(scores)
         if n < 2:
             return ids, score, []
-        losses = np.array([p.loss for p in parts])
+        losses = np.array(lost)
         few = min(n - 1, len(losses))
         open_at = np.sort(np.argsort(losses, kind="stable")[:few]) if len(losses) <= 64 else self._smallest(losses, few)
         open_at = [int(i) for i in open_at if losses[i] < INF]
-        starts = np.cumsum([0] + [len(p.ids) // 4 for p in parts])
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts = np.cumsum(sizes) - sizes
         choices = [self.n_best(names[i], n) for i in open_at]
         best = [c[0][0] for c in choices]
         queue: list[tuple[float, tuple[int, ...]]] = [(0.0, (0,) * len(choices))]
@@ -221,7 +249,7 @@ class Pieces:
                 {
                     "score": score - lost,
                     "changes": [
-                        {"at": int(starts[i]), "n": len(parts[i].ids) // 4, "ids": choices[j][t][1]}
+                        {"at": int(starts[i]), "n": int(sizes[i]), "ids": choices[j][t][1]}
                         for j, (i, t) in enumerate(zip(open_at, taken, strict=True))
                         if t
                     ],
