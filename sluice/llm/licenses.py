@@ -3,8 +3,9 @@
 Texts and templates are normalised (A-Z lower-cased, anything but letters, digits and dots between digits a blank) and
 compared by the Dice coefficient of their sets of word bigrams. Compared are the lines of a text and its paragraphs (runs
 of lines between blank ones) of several lines. A template of n bigrams can only reach the threshold t with a unit of
-n t / (2 - t) to n (2 - t) / t bigrams; units outside the bounds of all templates are dropped before their bigrams are
-listed, and each bigram meets only templates whose bounds its unit is in.
+n t / (2 - t) to n (2 - t) / t bigrams, and such a unit holds n t / (2 - t) of its bigrams at least. So a few words, chosen from the
+templates, must be in any matching text: texts and units without them are ruled out first. Units outside the bounds of all
+templates are dropped before their bigrams are listed, and each bigram meets only templates whose bounds its unit is in.
 
 Templates are a small table by nature; its rows are checked against MAX_TEMPLATE_BIGRAMS before it may be broadcast.
 
@@ -15,7 +16,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -96,6 +97,28 @@ def template_grams(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return sized.select("license", "size", F.explode("grams").alias("gram"))
 
 
+def signature(grams: list[Row], reach: float) -> list[str]:
+    """Words of which every unit within the threshold of a template holds at least one.
+
+    Such a unit has at least size / reach of the template's bigrams, so it misses fewer than are left. Words are taken,
+    those in most bigrams not covered yet first and long ones before short ones, until they cover more than that.
+    """
+    templates: dict[str, list[str]] = {}
+    for row in grams:
+        templates.setdefault(row.license, []).append(row.gram)
+    chosen: set[str] = set()
+    for _, own in sorted(templates.items()):
+        may_miss = len(own) * (1 - 1 / reach) + 1e-9
+        open_ = [set(g.split(" ")) for g in own]
+        open_ = [g for g in open_ if not g & chosen]
+        while open_ and len(own) - len(open_) <= may_miss:
+            words = sorted(set().union(*open_))
+            best = max(words, key=lambda w: (sum(w in g for g in open_) * min(len(w), 8) ** 2, w))
+            chosen.add(best)
+            open_ = [g for g in open_ if best not in g]
+    return sorted(chosen)
+
+
 def scan(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
@@ -113,6 +136,9 @@ def scan(
     if count > MAX_TEMPLATE_BIGRAMS:
         raise ValueError(f"{count} template bigrams; at most {MAX_TEMPLATE_BIGRAMS} are sent to every task")
     reach = (2 - threshold) / threshold
+    # Only texts, and then units, with a word of the signature can match: one pass over the text rules out the others.
+    words = "|".join(rf"\Q{w}\E" for w in signature(grams.collect(), reach))
+    some_word = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
     text = F.coalesce(F.col(text_col), F.lit(""))
     numbered = lambda parts, unit: F.transform(
         parts, lambda part, i: F.struct(F.lit(unit).alias("unit"), (i + 1).alias("nth"), part.alias("part"))
@@ -122,7 +148,9 @@ def scan(
         numbered(F.split(text, r"\n(?:[ \t\r]*\n)+"), "paragraph"), lambda p: F.trim(p["part"], F.lit("\n")).contains("\n")
     )
     units = (
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.inline(F.concat(lines, paragraphs)))
+        docs.where(text.rlike(some_word))
+        .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.inline(F.concat(lines, paragraphs)))
+        .where(F.col("part").rlike(some_word))
         .select("id", "row", "unit", "nth", normal_words(F.col("part")).alias("words"))
         .select("id", "row", "unit", "nth", bigrams(F.col("words")).alias("grams"))
         .withColumn("n", F.size("grams"))

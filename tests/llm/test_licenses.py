@@ -63,3 +63,23 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert scan(frame(spark, [])).collect() == []
+
+
+def test_any_two_thirds_of_a_template_hold_a_word_of_the_signature(spark):
+    import random
+
+    from sluice.llm.licenses import signature, template_grams
+
+    rows = template_grams(spark, TEMPLATES).collect()
+    reach = (2 - THRESHOLD) / THRESHOLD
+    words = set(signature(rows, reach))
+    assert len(words) < 60
+    rng = random.Random(1)
+    for name in TEMPLATES:
+        own = [set(r.gram.split(" ")) for r in rows if r.license == name]
+        hit = lambda g: any(w in x for w in words for x in g)
+        covered = sum(map(hit, own))
+        assert covered > len(own) * (1 - 1 / reach)
+        least = -(-len(own) * 2 // 3)
+        for _ in range(20):
+            assert any(map(hit, rng.sample(own, least)))
