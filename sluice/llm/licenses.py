@@ -7,6 +7,11 @@ n t / (2 - t) to n (2 - t) / t bigrams, and such a unit holds n t / (2 - t) of i
 templates, must be in any matching text: texts and units without them are ruled out first. Units outside the bounds of all
 templates are dropped before their bigrams are listed, and each bigram meets only templates whose bounds its unit is in.
 
+`passages` finds templates wherever they stand: any stretch of consecutive words of a text is compared, whatever lines and
+paragraphs it runs over or lies in. Trimming a stretch at an end to the next bigram of the template never lowers its
+score, and so does ending it where a new bigram of the template comes up; so the stretches from each bigram of the
+template to each later one are all that matter, up to n (2 - t) / t distinct bigrams.
+
 Templates are a small table by nature; its rows are checked against MAX_TEMPLATE_BIGRAMS before it may be broadcast.
 
 Defined cases: null and empty texts have no units; units and templates of one word have the one-word gram; equal scores of
@@ -83,10 +88,15 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.trim(plain), " "), lambda w: w != "")
 
 
-def bigrams(words: Column) -> Column:
-    """Distinct pairs of neighbouring words; a single word is its own gram, no words give none."""
+def bigrams_in_order(words: Column) -> Column:
+    """Pairs of neighbouring words; a single word is its own gram, no words give none."""
     pairs = F.arrays_zip(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))).alias("x"), F.slice(words, 2, F.size(words)).alias("y"))
-    return F.array_distinct(F.transform(pairs, lambda p: F.concat_ws(" ", p["x"], p["y"])))
+    return F.transform(pairs, lambda p: F.concat_ws(" ", p["x"], p["y"]))
+
+
+def bigrams(words: Column) -> Column:
+    """Distinct pairs of neighbouring words."""
+    return F.array_distinct(bigrams_in_order(words))
 
 
 def template_grams(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -119,6 +129,19 @@ def signature(grams: list[Row], reach: float) -> list[str]:
     return sorted(chosen)
 
 
+def checked(grams: DataFrame) -> tuple[int | None, int | None]:
+    """Sizes of the smallest and largest template, if the table is small enough for every task."""
+    count, smallest, largest = grams.agg(F.count("*"), F.min("size"), F.max("size")).first()
+    if count > MAX_TEMPLATE_BIGRAMS:
+        raise ValueError(f"{count} template bigrams; at most {MAX_TEMPLATE_BIGRAMS} are sent to every task")
+    return smallest, largest
+
+
+def signature_pattern(grams: DataFrame, reach: float) -> str:
+    words = "|".join(rf"\Q{w}\E" for w in signature(grams.collect(), reach))
+    return rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
+
+
 def scan(
     docs: DataFrame,
     templates: dict[str, str] | None = None,
@@ -132,13 +155,10 @@ def scan(
     dice. A paragraph of a single line is left out, as the line says the same.
     """
     grams = template_grams(docs.sparkSession, templates or TEMPLATES)
-    count, smallest, largest = grams.agg(F.count("*"), F.min("size"), F.max("size")).first()
-    if count > MAX_TEMPLATE_BIGRAMS:
-        raise ValueError(f"{count} template bigrams; at most {MAX_TEMPLATE_BIGRAMS} are sent to every task")
+    smallest, largest = checked(grams)
     reach = (2 - threshold) / threshold
     # Only texts, and then units, with a word of the signature can match: one pass over the text rules out the others.
-    words = "|".join(rf"\Q{w}\E" for w in signature(grams.collect(), reach))
-    some_word = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
+    some_word = signature_pattern(grams, reach)
     text = F.coalesce(F.col(text_col), F.lit(""))
     numbered = lambda parts, unit: F.transform(
         parts, lambda part, i: F.struct(F.lit(unit).alias("unit"), (i + 1).alias("nth"), part.alias("part"))
@@ -172,3 +192,75 @@ def scan(
     return best.select(
         F.col("id").alias(id_col), "unit", "nth", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("dice")
     )
+
+
+def passages(
+    docs: DataFrame,
+    templates: dict[str, str] | None = None,
+    threshold: float = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Every template in a text, as the stretches of words within its threshold.
+
+    Columns: the id, license, first_word and last_word (numbers of words of the normalised text, from 1), dice. Stretches of
+    one template that overlap are the same find: the best goes first, then the shortest, then the earliest, and what
+    overlaps it is left out. Templates do not displace each other.
+    """
+    grams = template_grams(docs.sparkSession, templates or TEMPLATES)
+    checked(grams)
+    reach = (2 - threshold) / threshold
+    some_word = signature_pattern(grams, reach)
+    wanted = grams.groupBy("license", "size").agg(F.collect_list("gram").alias("wanted"))
+    wanted = wanted.withColumn("step", F.when(F.element_at("wanted", 1).contains(" "), 1).otherwise(0))
+    texts = (
+        docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(some_word))
+        .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), normal_words(F.col(text_col)).alias("words"))
+        .select("id", "row", F.explode(F.array(F.struct("words", bigrams_in_order(F.col("words")).alias("pairs")))).alias("own"))
+        .select("id", "row", "own.words", "own.pairs")
+    )
+    # A template of one word is looked for among the words themselves.
+    at = F.when(F.col("step") == 0, F.col("words")).otherwise(F.col("pairs"))
+    held = texts.join(
+        F.broadcast(wanted), F.size(F.array_intersect(at, F.col("wanted"))) >= F.col("size") / reach - 1e-9
+    ).withColumn("at", at)
+    begun = held.select(
+        "id", "row", "license", "size", "wanted", "step", "at",
+        F.explode(
+            F.filter(F.sequence(F.lit(1), F.size("at")), lambda p: F.array_contains(F.col("wanted"), F.element_at(F.col("at"), p)))
+        ).alias("first"),
+    )
+    # Distinct grams from there on, in the order of their first places: the i-th ends a stretch of i distinct grams. A
+    # window of twice the bound holds enough of them, unless the text repeats itself; then the rest of the text is taken.
+    most = F.floor(F.col("size") * reach + 1e-9).cast("int")
+    window = F.slice("at", F.col("first"), 2 * F.col("most"))
+    near, rest = F.array_distinct(window), F.array_distinct(F.slice("at", F.col("first"), F.size("at")))
+    ahead = begun.withColumn("most", most).withColumn(
+        "ahead", F.slice(F.when(F.size(near) >= F.col("most"), near).otherwise(rest), 1, F.col("most"))
+    )
+    hits = ahead.withColumn("hit", F.filter(F.sequence(F.lit(1), F.size("ahead")), lambda i: F.array_contains(F.col("wanted"), F.element_at(F.col("ahead"), i))))
+    ends = hits.select(
+        "id", "row", "license", "size", "step", "at", "ahead", "first", F.posexplode("hit").alias("before", "n")
+    ).withColumn("dice", 2.0 * (F.col("before") + 1) / (F.col("n") + F.col("size")))
+    last = F.col("first") - 1 + F.array_position(F.slice("at", F.col("first"), F.size("at")), F.element_at("ahead", F.col("n")))
+    found = (
+        ends.where(F.col("dice") >= threshold)
+        .select("id", "row", "license", "dice", "first", (last + F.col("step")).cast("int").alias("last"))
+        .groupBy("id", "row", "license")
+        .agg(
+            F.array_sort(
+                F.collect_set(F.struct((-F.col("dice")).alias("minus"), (F.col("last") - F.col("first")).alias("long"), "first", "last"))
+            ).alias("found")
+        )
+    )
+    none = F.slice("found", 1, 0)
+    apart = F.aggregate(
+        "found",
+        none,
+        lambda kept, x: F.when(
+            F.exists(kept, lambda k: (k["first"] <= x["last"]) & (x["first"] <= k["last"])), kept
+        ).otherwise(F.concat(kept, F.array(x))),
+    )
+    return found.select("id", "license", F.inline(apart)).select(
+        F.col("id").alias(id_col), "license", F.col("first").alias("first_word"), F.col("last").alias("last_word"), (-F.col("minus")).alias("dice")
+    )

@@ -31,6 +31,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of words of every text that are near a license template, over and inside lines and paragraphs."""
+    return licenses.passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of every text, its edited text and the likeness to that and to the next document."""
