@@ -2,12 +2,14 @@
 
 Two logistic classifiers look at different sides of a document: its content (shares of bytes and of byte class changes,
 how varied its words are) and its page metadata (language, source, declared length, layout of lines). Each is fitted on
-the labelled rows; in every round each labels the rows of an unlabelled pool it is most sure of for the other, in the
-proportion of the labels. At the end each view is calibrated on labelled rows that took no part in fitting, the two
+the labelled rows; in every round each scores all unlabelled documents and labels those it is most sure of for the other,
+in the proportion of the labels. At the end each view is calibrated on labelled rows that took no part in fitting, the two
 calibrated log-odds are combined by a third fit on these rows, and all documents are scored.
 
-Fitting uses at most LABELLED_ROWS labelled and POOL_ROWS unlabelled documents, picked by a hash of their id; only their
-ids and features (a fixed number of numbers each) come to the driver. Everything else is one pass over the documents.
+Fitting uses at most LABELLED_ROWS labelled documents, picked by a hash of their id, and the surest unlabelled ones: in
+round r each view gives PER_ROUND * r, so POOL_ROWS in all at most. Only the ids and features (a fixed number of numbers
+each) of these come to the driver. A round is one pass over the documents that writes two numbers for each, a top-n per
+view and class over these, and a second read of the texts just chosen; the final scores are one more pass.
 
 Defined cases: null and empty texts have features of zero; null metadata is a value of its own; labels of unknown
 documents, null labels and repeated labels that disagree are left out; without labels of both classes every document
@@ -17,7 +19,7 @@ gets the share of good labels (1.0 without any) and is kept; equal rows get equa
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sluice.llm.scratch import written
 from sluice.llm.words import buffers, chunks, small_batches, words
 
 LABELLED_ROWS = 6_000
 POOL_ROWS = 6_000
 ROUNDS = 4
 PER_ROUND = 200
+SURE_ODDS = 1.5
 HELD_OUT = 4
 META_SLOTS = 256
 KEEP_FROM = 0.5
@@ -119,6 +123,11 @@ class Logistic:
         return np.clip((x - self.center) / self.scale @ self.weights[:-1] + self.weights[-1], -30, 30)
 
 
+#: From both views and how many rows of bad and of good quality to find: for each view the rows it is surest of, as id,
+#: label and both feature vectors.
+Surest = Callable[[tuple[Logistic, Logistic], int, int], list[list[tuple[object, float, tuple[np.ndarray, np.ndarray]]]]]
+
+
 @dataclass
 class CoTrained:
     """Both views, their calibrations, and how they are combined."""
@@ -139,38 +148,32 @@ def co_train(
     content: np.ndarray,
     metadata: np.ndarray,
     y: np.ndarray,
-    pool_content: np.ndarray,
-    pool_metadata: np.ndarray,
+    surest: Surest,
     rounds: int = ROUNDS,
     per_round: int = PER_ROUND,
 ) -> CoTrained:
-    """Fit on labelled rows, exchange sure labels of the pool over rounds, calibrate on every HELD_OUT-th labelled row."""
+    """Fit on labelled rows, exchange sure labels of unlabelled rows over rounds, calibrate on every HELD_OUT-th labelled row."""
     held = np.arange(len(y)) % HELD_OUT == HELD_OUT - 1
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     check = held if held.any() else ~held
     sides = [content, metadata]
-    pools = [pool_content, pool_metadata]
-    taken: list[dict[int, float]] = [{}, {}]
+    # By side: the rows the other one has labelled, in the order of their ids.
+    taken: list[dict[object, tuple[np.ndarray, float]]] = [{}, {}]
     good = y[~held].mean()
+    few = max(1, round(per_round * (1 - good)))
+    many = max(1, per_round - few)
     for turn in range(rounds + 1):
         models = []
         for side in (0, 1):
-            extra = np.array(sorted(taken[side]), int)
-            x = np.concatenate([sides[side][~held], pools[side][extra]])
-            models.append(Logistic.fit(x, np.concatenate([y[~held], [taken[side][i] for i in extra]])))
-        if turn == rounds or not len(pools[0]):
+            extra = [taken[side][i] for i in sorted(taken[side])]
+            x = np.concatenate([sides[side][~held], *(v[None, :] for v, _ in extra)])
+            models.append(Logistic.fit(x, np.concatenate([y[~held], [label for _, label in extra]])))
+        if turn == rounds or per_round < 2:
             break
-        for side in (0, 1):
-            odds = models[side].odds(pools[side])
-            order = np.argsort(odds, kind="stable")
-            few = max(1, round(per_round * (1 - good)))
-            many = max(1, per_round - few)
-            other = taken[1 - side]
-            for rows, label in ((order[: few * (turn + 1)], 0.0), (order[-many * (turn + 1) :], 1.0)):
-                for i in rows:
-                    if (odds[i] > 0) == (label > 0) and abs(odds[i]) > 1.5:
-                        other.setdefault(int(i), label)
+        for side, found in enumerate(surest((models[0], models[1]), few * (turn + 1), many * (turn + 1))):
+            for i, label, views in found:
+                taken[1 - side].setdefault(i, (views[1 - side], label))
     views = [m.odds(s[check])[:, None] for m, s in zip(models, sides, strict=True)]
     calibrated = tuple(Logistic.fit(v, y[check]) for v in views)
     stacked = np.column_stack([c.odds(v) for c, v in zip(calibrated, views, strict=True)])
@@ -189,12 +192,52 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, content array<double>, metadata array<double>")
 
 
-def _first_by_hash(ids: DataFrame, n: int) -> list:
-    return [r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
+def _vectors(table: pa.Table, name: str) -> np.ndarray:
+    return np.stack(table.column(name).to_numpy()) if table.num_rows else np.zeros((0, 1))
+
+
+def surest_rows(rows: DataFrame, labels: DataFrame) -> Surest:
+    """Search of all documents without a label. Of rows with equal id one counts, the same in each round."""
+    rows = rows.where("id is not null").withColumn("row", F.xxhash64("text", "lang", "source", "n_chars"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    known = labels.select("id").distinct()
+    features: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+
+    def surest(models: tuple[Logistic, Logistic], few: int, many: int) -> list[list[tuple]]:
+        def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, "text"):
+                texts, *meta = (batch.column(c) for c in ("text", "lang", "source", "n_chars"))
+                odds = models[0].odds(content_features(texts)), models[1].odds(metadata_features(texts, *meta))
+                own = [batch.column("id"), batch.column("row")]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, odds)], names=["id", "row", "odds0", "odds1"])
+
+        scored = rows.mapInArrow(per_batch, f"id {id_type}, row bigint, odds0 double, odds1 double")
+        one = scored.groupBy("id").agg(F.min(F.struct("row", "odds0", "odds1")).alias("one")).select("id", "one.*")
+        odds = written(one.join(known, "id", "left_anti"), "odds")
+        found, keys = [[], []], {}
+        for side in (0, 1):
+            score = F.col(f"odds{side}")
+            for n, label, sure, order in ((few, 0.0, score < -SURE_ODDS, score), (many, 1.0, score > SURE_ODDS, -score)):
+                for r in odds.where(sure).orderBy(order, F.xxhash64("id"), "id").limit(n).select("id", "row").collect():
+                    found[side].append((r.id, label))
+                    keys[r.id] = r.row
+        new = [(i, row) for i, row in keys.items() if i not in features]
+        if new:
+            wanted = rows.sparkSession.createDataFrame(new, odds.select("id", "row").schema)
+            # A bounded number of ids: small enough for every task, so texts are not shuffled.
+            table = _features(rows.join(F.broadcast(wanted), ["id", "row"]).dropDuplicates(["id"])).toArrow()
+            vectors = zip(_vectors(table, "content"), _vectors(table, "metadata"), strict=True)
+            features.update(zip(table.column("id").to_pylist(), vectors, strict=True))
+        return [[(i, label, features[i]) for i, label in side] for side in found]
+
+    return surest
 
 
 def train(rows: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int) -> tuple[CoTrained | None, float]:
-    """The model, or none and the share of good labels. `rows` has id, text, lang, source, n_chars; `labels` id, y."""
+    """The model, or none and the share of good labels. `rows` has id, text, lang, source, n_chars; `labels` id, y.
+
+    At most `labelled_rows` labelled rows and, over all rounds, `pool_rows` unlabelled ones reach the fit.
+    """
     clear = labels.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high").drop("high")
     ids = rows.select("id").where("id is not null").distinct()
     usable = clear.join(ids, "id")
@@ -202,19 +245,17 @@ def train(rows: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int
     share = float(np.mean(list(y_of.values()))) if y_of else 1.0
     if len(set(y_of.values())) < 2:
         return None, share
-    pool = _first_by_hash(ids.join(labels.select("id"), "id", "left_anti"), pool_rows)
-    wanted = rows.sparkSession.createDataFrame([(i,) for i in [*y_of, *pool]], rows.select("id").schema)
-    # At most labelled_rows + pool_rows ids: small enough for every task, so texts are not shuffled.
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in y_of], rows.select("id").schema)
+    # At most labelled_rows ids: small enough for every task, so texts are not shuffled.
     table = _features(rows.join(F.broadcast(wanted), "id").dropDuplicates(["id"])).toArrow()
     ids_found = np.array(table.column("id").to_pylist(), object)
-    content, metadata = (np.stack(table.column(c).to_numpy()) if table.num_rows else np.zeros((0, 1)) for c in ("content", "metadata"))
-    order = np.argsort(ids_found, kind="stable")
-    known = np.array([i for i in order if ids_found[i] in y_of], int)
-    rest = np.array([i for i in order if ids_found[i] not in y_of], int)
     # In the order of ids, labels may come in runs: deal them out anew, the same way each time.
-    known = np.random.Generator(np.random.PCG64(1)).permutation(known)
+    known = np.random.Generator(np.random.PCG64(1)).permutation(np.argsort(ids_found, kind="stable"))
     y = np.array([y_of[ids_found[i]] for i in known])
-    return co_train(content[known], metadata[known], y, content[rest], metadata[rest]), share
+    # Over the rounds both views give 2 * (1 + 2 + ... + ROUNDS) times as many rows at most.
+    per_round = min(PER_ROUND, pool_rows // (ROUNDS * (ROUNDS + 1)))
+    search = surest_rows(rows, labels)
+    return co_train(_vectors(table, "content")[known], _vectors(table, "metadata")[known], y, search, per_round=per_round), share
 
 
 def classify(

@@ -65,3 +65,43 @@ def test_without_both_classes_all_are_kept(spark):
     assert classify(frame(spark, []), labels(spark, [])).collect() == []
     with pytest.raises(ValueError):
         classify(docs.withColumnRenamed("n", "keep"), labels(spark, []))
+
+
+def test_every_unlabelled_document_can_give_a_sure_label(spark):
+    """The surest documents are found among all, not in a sample of the size that reaches the fit."""
+    import numpy as np
+
+    from sluice.llm.quality import Logistic, content_features, surest_rows
+    import pyarrow as pa
+
+    rows, truth = corpus()
+    narrow = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + [(0, "again")]], "id long, text string, lang string, source string, n_chars long")
+    given = spark.createDataFrame([(i, truth[i]) for i in truth if i % 5 == 1], "id long, y int")
+    x = content_features(pa.array([t for _, t in rows]))
+    model = Logistic.fit(x, np.array([float(truth[i]) for i, _ in rows]))
+    none = Logistic(np.zeros(256), np.ones(256), np.zeros(257))
+    odds = {i: o for (i, _), o in zip(rows, model.odds(x), strict=True) if i % 5 != 1 and i}
+    by_content, by_metadata = surest_rows(narrow, given)((model, none), 7, 20)
+    assert by_metadata == []
+    for label, n, sign in ((0.0, 7, 1), (1.0, 20, -1)):
+        got = sorted(round(sign * odds[i], 6) for i, y, _ in by_content if y == label and i)
+        assert got == sorted(round(sign * o, 6) for o in odds.values())[: len(got)] and n - 1 <= len(got) <= n
+    assert all(np.allclose(v[0], x[i]) for i, _, v in by_content if i)
+
+
+def test_kinds_outside_a_sample_are_learned(spark, monkeypatch):
+    """A pool of few rows gives the pseudo-labels of the whole table: each round sees every unlabelled document."""
+    from sluice.llm import quality
+
+    seen, made = [], quality.surest_rows
+
+    def watched(rows, labels):
+        search = made(rows, labels)
+        return lambda *a: seen.append(search(*a)) or seen[-1]
+
+    monkeypatch.setattr(quality, "surest_rows", watched)
+    rows, truth = corpus()
+    given = labels(spark, [(i, truth[i], "t", "i") for i in truth if i % 3])
+    classify(frame(spark, rows), given, labelled_rows=120, pool_rows=60).collect()
+    chosen = {i for found in seen for side in found for i, _, _ in side}
+    assert len(seen) == quality.ROUNDS and 0 < len(chosen) <= 60 and all(i % 3 == 0 for i in chosen)
