@@ -6,7 +6,8 @@ the labelled rows; in every round each scores all unlabelled documents and label
 in the proportion of the labels. At the end each view is calibrated on labelled rows that took no part in fitting, the two
 calibrated log-odds are combined by a third fit on these rows, and all documents are scored.
 
-Fitting uses at most LABELLED_ROWS labelled documents, picked by a hash of their id, and the surest unlabelled ones: in
+Fitting uses at most LABELLED_ROWS labelled documents, half of them of each class as far as there are so many, picked by
+a hash of their id and weighted so that each class counts as in the whole table; and the surest unlabelled ones: in
 round r each view gives PER_ROUND * r, so POOL_ROWS in all at most. Only the ids and features (a fixed number of numbers
 each) of these come to the driver. A round is one pass over the documents that writes two numbers for each, a top-n per
 view and class over these, and a second read of the texts just chosen; the final scores are one more pass.
@@ -104,7 +105,7 @@ class Logistic:
     weights: np.ndarray
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
+    def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 1.0) -> Logistic:
         center, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         z = np.column_stack([(x - center) / scale, np.ones(len(x))])
         penalty = np.full(z.shape[1], ridge)
@@ -112,8 +113,8 @@ class Logistic:
         w = np.zeros(z.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            gradient = z.T @ (y - p) - penalty * w
-            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(penalty), gradient)
+            gradient = z.T @ (weight * (y - p)) - penalty * w
+            step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty), gradient)
             w += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -148,6 +149,7 @@ def co_train(
     content: np.ndarray,
     metadata: np.ndarray,
     y: np.ndarray,
+    weight: np.ndarray,
     surest: Surest,
     rounds: int = ROUNDS,
     per_round: int = PER_ROUND,
@@ -160,7 +162,7 @@ def co_train(
     sides = [content, metadata]
     # By side: the rows the other one has labelled, in the order of their ids.
     taken: list[dict[object, tuple[np.ndarray, float]]] = [{}, {}]
-    good = y[~held].mean()
+    good = np.average(y[~held], weights=weight[~held])
     few = max(1, round(per_round * (1 - good)))
     many = max(1, per_round - few)
     for turn in range(rounds + 1):
@@ -168,16 +170,17 @@ def co_train(
         for side in (0, 1):
             extra = [taken[side][i] for i in sorted(taken[side])]
             x = np.concatenate([sides[side][~held], *(v[None, :] for v, _ in extra)])
-            models.append(Logistic.fit(x, np.concatenate([y[~held], [label for _, label in extra]])))
+            labels = np.concatenate([y[~held], [label for _, label in extra]])
+            models.append(Logistic.fit(x, labels, np.concatenate([weight[~held], np.ones(len(extra))])))
         if turn == rounds or per_round < 2:
             break
         for side, found in enumerate(surest((models[0], models[1]), few * (turn + 1), many * (turn + 1))):
             for i, label, views in found:
                 taken[1 - side].setdefault(i, (views[1 - side], label))
     views = [m.odds(s[check])[:, None] for m, s in zip(models, sides, strict=True)]
-    calibrated = tuple(Logistic.fit(v, y[check]) for v in views)
+    calibrated = tuple(Logistic.fit(v, y[check], weight[check]) for v in views)
     stacked = np.column_stack([c.odds(v) for c, v in zip(calibrated, views, strict=True)])
-    return CoTrained(*models, calibrated, Logistic.fit(stacked, y[check]))
+    return CoTrained(*models, calibrated, Logistic.fit(stacked, y[check], weight[check]))
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -233,6 +236,13 @@ def surest_rows(rows: DataFrame, labels: DataFrame) -> Surest:
     return surest
 
 
+def quotas(known: dict[int, int], most: int) -> dict[int, int]:
+    """How many labels of each of two classes to take: half of `most`, and what one class lacks of that from the other."""
+    if sum(known.values()) <= most:
+        return known
+    return {c: max(1, min(n, max(most // 2, most - (sum(known.values()) - n)))) for c, n in known.items()}
+
+
 def train(rows: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int) -> tuple[CoTrained | None, float]:
     """The model, or none and the share of good labels. `rows` has id, text, lang, source, n_chars; `labels` id, y.
 
@@ -240,11 +250,16 @@ def train(rows: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int
     """
     clear = labels.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("high")).where("y = high").drop("high")
     ids = rows.select("id").where("id is not null").distinct()
-    usable = clear.join(ids, "id")
-    y_of = {r.id: float(r.y) for r in usable.orderBy(F.xxhash64("id"), "id").limit(labelled_rows).collect()}
-    share = float(np.mean(list(y_of.values()))) if y_of else 1.0
-    if len(set(y_of.values())) < 2:
+    usable = written(clear.join(ids, "id"), "labelled")
+    known_of = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
+    share = known_of.get(1, 0) / sum(known_of.values()) if known_of else 1.0
+    if len(known_of) < 2:
         return None, share
+    y_of, weight_of = {}, {}
+    for label, n in quotas(known_of, labelled_rows).items():
+        few = usable.where(F.col("y") == label).orderBy(F.xxhash64("id"), "id").limit(n).collect()
+        y_of |= {r.id: float(label) for r in few}
+        weight_of[float(label)] = known_of[label] / n
     wanted = rows.sparkSession.createDataFrame([(i,) for i in y_of], rows.select("id").schema)
     # At most labelled_rows ids: small enough for every task, so texts are not shuffled.
     table = _features(rows.join(F.broadcast(wanted), "id").dropDuplicates(["id"])).toArrow()
@@ -252,10 +267,13 @@ def train(rows: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int
     # In the order of ids, labels may come in runs: deal them out anew, the same way each time.
     known = np.random.Generator(np.random.PCG64(1)).permutation(np.argsort(ids_found, kind="stable"))
     y = np.array([y_of[ids_found[i]] for i in known])
+    weight = np.array([weight_of[v] for v in y])
+    weight /= weight.mean()
     # Over the rounds both views give 2 * (1 + 2 + ... + ROUNDS) times as many rows at most.
     per_round = min(PER_ROUND, pool_rows // (ROUNDS * (ROUNDS + 1)))
     search = surest_rows(rows, labels)
-    return co_train(_vectors(table, "content")[known], _vectors(table, "metadata")[known], y, search, per_round=per_round), share
+    views = _vectors(table, "content")[known], _vectors(table, "metadata")[known]
+    return co_train(*views, y, weight, search, per_round=per_round), share
 
 
 def classify(

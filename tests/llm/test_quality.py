@@ -105,3 +105,17 @@ def test_kinds_outside_a_sample_are_learned(spark, monkeypatch):
     classify(frame(spark, rows), given, labelled_rows=120, pool_rows=60).collect()
     chosen = {i for found in seen for side in found for i, _, _ in side}
     assert len(seen) == quality.ROUNDS and 0 < len(chosen) <= 60 and all(i % 3 == 0 for i in chosen)
+
+
+def test_a_rare_class_is_in_the_sample(spark):
+    """One bad label among 400, a sample of 10: the class is neither missed nor the stage switched off."""
+    from sluice.llm.quality import quotas, train
+
+    rows, truth = corpus()
+    narrow = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "id long, text string, lang string, source string, n_chars long")
+    for bad in (0, 4, 8):
+        given = spark.createDataFrame([(i, int(i != bad)) for i, y in truth.items() if y or i == bad], "id long, y int")
+        model, share = train(narrow, given, 10, 0)
+        assert model is not None and share == 300 / 301
+    assert quotas({0: 1, 1: 300}, 10) == {0: 1, 1: 9} and quotas({0: 50, 1: 300}, 10) == {0: 5, 1: 5}
+    assert quotas({0: 3, 1: 4}, 10) == {0: 3, 1: 4}
