@@ -3,7 +3,7 @@
 A token budget goes down a tree of columns (say domain, language, source). At each node the children get shares by their
 weights; a child that cannot use its share, even with `max_epochs` passes over its data, gets what it can use, and the
 rest is shared among its siblings. Only what all siblings together cannot use is left to the node's own siblings, since a
-node's capacity is the sum of its children's. Shares are whole tokens, rounded down.
+node's capacity is the sum of its children's, those of weight 0 left out. Shares are whole tokens, rounded down.
 
 Each leaf is read in epochs. Full epochs take all of it; the last one takes the documents in the order of a hash seeded
 with the epoch, as long as their tokens fit. The order is by the hash, so a prefix is found without sorting a leaf:
@@ -52,7 +52,8 @@ def budgets(
     wide = "decimal(38,0)"
     capacity = {len(levels): leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast(wide))}
     for depth in range(len(levels) - 1, 0, -1):
-        capacity[depth] = capacity[depth + 1].groupBy(*levels[:depth]).agg(F.sum("capacity").cast(wide).alias("capacity"))
+        used = F.when(_weight(levels[: depth + 1], weights) > 0, F.col("capacity")).otherwise(0)
+        capacity[depth] = capacity[depth + 1].groupBy(*levels[:depth]).agg(F.sum(used).cast(wide).alias("capacity"))
     above = None
     for depth in range(1, len(levels) + 1):
         names = list(levels[:depth])

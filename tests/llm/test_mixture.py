@@ -123,3 +123,15 @@ def test_empty_table_and_bad_weights(spark):
     assert mix(frame(spark, []), levels(), WEIGHTS).collect() == []
     with pytest.raises(ValueError):
         plan_mix(frame(spark, corpus()), levels(), {("a",): -1})
+
+
+def test_what_an_unweighted_child_leaves_goes_to_the_siblings_of_its_parent(spark):
+    """Half of domain b may not be used: its share beyond the other half goes to a, on every level."""
+    from sluice.llm.mixture import budgets
+
+    leaves = [("a", "en", "x", 100), ("b", "en", "x", 10), ("b", "en", "y", 40), ("b", "fr", "x", 50)]
+    frame = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    got = budgets(frame, ["domain", "lang", "source"], {("b", "fr"): 0, ("b", "en", "y"): 0}, 100, 1).collect()
+    assert {(r.domain, r.lang, r.source): r.budget for r in got} == {
+        ("a", "en", "x"): 90, ("b", "en", "x"): 10, ("b", "en", "y"): 0, ("b", "fr", "x"): 0,
+    }
