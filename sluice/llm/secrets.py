@@ -117,8 +117,9 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Weak parts (id, row, start, rank, end) with a completing part in reach.
+def linked(parts: DataFrame, reach: int = REACH, beyond: bool = False) -> DataFrame:
+    """Weak parts (id, row, start, rank, end) with a completing part in reach, but for those that overlap a base span; with
+    `beyond` only those that one base span covers whole are left out.
 
     The sweep keeps, per role, the furthest end before and the nearest start behind each part of the same text.
     """
@@ -139,6 +140,9 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     inside = F.coalesce(F.col("end_strong") > F.col("start"), F.lit(False)) | F.coalesce(
         F.col("start_strong") < F.col("end"), F.lit(False)
     )
+    if beyond:
+        # Of equal starts base spans come first, so a span that covers a part is before it.
+        inside = F.coalesce(F.col("end_strong") >= F.col("end"), F.lit(False))
     name = {k.name: F.col("rank") == RANK[k.name] for k in KINDS}
     sure = {role: F.coalesce(test, F.lit(False)) for role, test in near.items()}
     completes = (
@@ -149,9 +153,11 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     return rows.where(~strong & ~inside & completes).select("id", "row", "start", "rank", "end")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, beyond: bool = False
+) -> DataFrame:
     """Every document with its spans: the id, `row` (xxhash64 of the text), `base` and `spans`, arrays of
-    struct(start, rank, end) where rank counts in KINDS; `spans` holds base spans and linked weak parts."""
+    struct(start, rank, end) where rank counts in KINDS; `spans` holds base spans and linked weak parts (see `linked`)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = [k for k in KINDS if not k.weak]
     weak = [k for k in KINDS if k.weak]
@@ -171,7 +177,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("id", "row", F.inline(F.concat("base", "weak")))
     )
     more = (
-        linked(parts, reach)
+        linked(parts, reach, beyond)
         .groupBy("id", "row")
         .agg(F.collect_list(F.struct("start", "rank", "end")).alias("more"))
         .select(F.col("id").alias("id_more"), F.col("row").alias("row_more"), "more")
@@ -194,9 +200,10 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """The documents with every reported span replaced by MASK; texts without spans and other columns stay."""
+    """The documents with every base span and linked part, also one that reaches beyond a base span, replaced by MASK (one
+    for spans that overlap); texts without spans and other columns stay."""
     found = (
-        find_secrets(docs, id_col, text_col, reach)
+        find_secrets(docs, id_col, text_col, reach, beyond=True)
         .where(F.size("spans") > 0)
         .select(F.col(id_col).alias("_mask_id"), F.col("row").alias("_mask_row"), F.col("spans").alias("_mask_spans"))
         .dropDuplicates(["_mask_id", "_mask_row"])

@@ -68,3 +68,15 @@ def test_mask_keeps_columns_rows_and_clean_texts(spark):
 
 def test_empty_table(spark):
     assert report(find_secrets(frame(spark, []))).collect() == mask_secrets(frame(spark, [])).collect() == []
+
+
+def test_masks_reach_beyond_base_spans(spark):
+    """Of a part that overlaps a base span, nothing stays in the text; one that the span covers changes nothing."""
+    mixed = "Ab" + "0" * 24 + "Zz9"
+    texts = [
+        (1, "see https://db.example.com/x?password=abc12345 now"),
+        (2, f"client_id=abc12 {mixed} end"),
+        (3, f"api_key='{BLOB}' end"),
+    ]
+    got = {r.doc_id: r.text for r in mask_secrets(frame(spark, texts)).collect()}
+    assert got == {1: "see <secret> now", 2: "<secret> <secret> end", 3: "<secret>' end"}
