@@ -140,3 +140,69 @@ def substrings() -> str:
            sha256(coalesce(text, '')) AS kept_sha256
     FROM w LEFT JOIN kept USING (doc_id)
     """
+
+
+def negatives() -> str:
+    return """
+    WITH good AS (
+      SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    pairs AS (
+      SELECT a.id AS a, b.id AS b, a.label = b.label AS same,
+             CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+      FROM good a JOIN good b ON a.id <> b.id WHERE a.id % 100 = 0
+    ),
+    pos AS (SELECT a, b, score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+    SELECT pos.a AS anchor_id, pos.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.b AS negative_id,
+           pos.score AS positive_score, n.score AS negative_score
+    FROM pos JOIN pairs n ON n.a = pos.a AND NOT n.same AND 80 * pos.score <= 100 * n.score AND n.score <= pos.score
+    WINDOW w AS (PARTITION BY pos.a, pos.b ORDER BY n.score DESC, n.b)
+    QUALIFY row_number() OVER w <= 5
+    """
+
+
+def prefixes() -> str:
+    """A node is the string of its turns' hashes; the CRC is taken bit by bit from its polynomial."""
+    key = "md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+    bits = "list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    bytes_of = "list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_of}), lambda crc, byte: {bits}), 4294967295)"
+    return f"""
+    WITH own AS (
+      SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {key}) AS i, {key} AS k,
+             strlen(coalesce(text, '')) AS b
+      FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    size AS (SELECT c, max(i) AS n FROM own GROUP BY c),
+    plan AS (
+      SELECT s.c, s.c - s.c % 5 AS base, {crc.replace("(c AS", "(s.c AS")} % 9 AS h, coalesce(d.n, 0) AS given
+      FROM size s LEFT JOIN size d ON d.c = s.c - s.c % 5
+    ),
+    turn AS (
+      SELECT c, i - h + least(h, given) AS pos, k, b FROM own JOIN plan USING (c) WHERE i > h
+      UNION ALL SELECT plan.c, i, k, b FROM plan JOIN own ON own.c = plan.base WHERE i <= h
+    ),
+    path AS (
+      SELECT c, pos AS depth, string_agg(k, '') OVER (PARTITION BY c ORDER BY pos) AS p, b FROM turn
+      UNION ALL SELECT c, 0, '', 0 FROM plan
+    ),
+    full_length AS (SELECT c, max(depth) AS last FROM path GROUP BY c),
+    node AS (
+      SELECT p, any_value(depth) AS depth, min(c) AS conv, count(*) AS n, any_value(b) AS b,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (depth = last), '')) AS ends
+      FROM path JOIN full_length USING (c) GROUP BY p
+    ),
+    kid AS (SELECT left(p, 32 * (depth - 1)) AS p, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+    tree AS (
+      SELECT node.p, count(*) FILTER (kid.n IS NULL) AS leaves, sum((x.n - 1) * x.b) AS saved
+      FROM node JOIN node x ON x.depth >= node.depth AND left(x.p, 32 * node.depth) = node.p LEFT JOIN kid ON kid.p = x.p GROUP BY node.p
+    )
+    SELECT CAST(node.conv AS BIGINT) AS conv_id, CAST(node.depth AS BIGINT) AS depth, CAST(up.conv AS BIGINT) AS parent_conv_id,
+           CAST(node.n AS BIGINT) AS n_convs, CAST(coalesce(kid.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+           CAST(saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+    FROM node JOIN tree USING (p) LEFT JOIN kid USING (p)
+    LEFT JOIN node up ON node.depth > 0 AND up.depth = node.depth - 1 AND up.p = left(node.p, 32 * (node.depth - 1))
+    """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, licenses, mixture, oracles, pieces, quality, secrets, urls
+from sluice.llm import fingerprints, licenses, mixture, negatives, oracles, pieces, prefixes, quality, secrets, suffixes, urls
 from sluice.llm.jaccard import near_duplicates
 from sluice.llm.neighbours import nearest
 from sluice.llm.substrings import remove_repeats
@@ -125,7 +125,42 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hardest negatives for each of the five best positives of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=5)
+    return mined.select(
+        *(F.col(c).cast("bigint").alias(c) for c in ("anchor_id", "positive_id")),
+        "rank",
+        *(F.col(c).cast("bigint").alias(c) for c in ("negative_id", "positive_score", "negative_score")),
+    )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt with the first turns of the one its id rounds down to."""
+    conv = F.col("conv")
+    head = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefixes.shared_heads(table(spark, sf_dir, "conversations"), conv - conv % 5, head)
+
+
+@query
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 200 that start anywhere else are removed."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), min_bytes=200).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 ORACLES |= {
+    "op11_hard_negatives": oracles.negatives(),
+    "op12_prefix_trie": oracles.prefixes(),
     "op1_license_scan": oracles.licenses(),
     "op6_ngram_jaccard_join": oracles.jaccard(),
     "op8_secret_scan": oracles.secrets(),
