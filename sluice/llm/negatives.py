@@ -12,7 +12,7 @@ strictly below the k-th score of every window, or below the window itself. Each
 and window, of which the k best over all shards are the answer.
 
 Scores are exact: products of integers, in double precision while they stay below 2**53, else as whole numbers of any
-length (a score beyond 64 bits is reported as the largest or smallest long).
+length; beyond 64 bits a score counts as the largest or smallest long.
 
 Defined cases: rows with a null id, label or vector, with null or non-finite components (also after scaling) or with
 another length than most vectors take no part; rows equal in id, label and vector count once; no row is a partner of an
@@ -77,7 +77,7 @@ class Lists:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> int:
-    return sum(int(x) * int(y) for x, y in zip(a, b, strict=True))
+    return max(-_LONG - 1, min(_LONG, sum(int(x) * int(y) for x, y in zip(a, b, strict=True))))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -134,7 +134,7 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def _longs(values: list) -> pa.Array:
-    return pa.array([max(-_LONG - 1, min(_LONG, int(v))) for v in values], pa.int64())
+    return pa.array([int(v) for v in values], pa.int64())
 
 
 def mine(

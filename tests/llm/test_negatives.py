@@ -67,9 +67,12 @@ def test_few_rows_one_label_zeros_and_empty_tables(spark):
     assert run(spark, [(3, 1, [1.0, 2.0])]) == run(spark, []) == run(spark, [(10, 1, None)]) == []
 
 
-def test_scores_beyond_double_precision_are_exact(spark):
-    rows = [(i, i % 2, [2.0**33 * (i + 1), float(2 * i + 1), -(2.0**20)]) for i in range(24)]
-    assert run(spark, rows) == [r for r in brute(rows, lambda i: i % 10 == 0)]
+def test_scores_beyond_double_precision_are_exact_and_saturate(spark):
+    rows = [(i, i % 2, [2.0**17 * (i + 1), float(2 * i + 1), -(2.0**10)]) for i in range(24)]
+    want = brute(rows, lambda i: i % 10 == 0)
+    assert max(r[4] for r in want) > 2**57 and run(spark, rows) == want
+    huge = run(spark, [(i, i % 2, [2.0**60, float(i)]) for i in range(14)])
+    assert huge and {r[4:] for r in huge} == {(2**63 - 1, 2**63 - 1)}
 
 
 def test_the_walk_stops_early_on_peaked_rows():
