@@ -6,12 +6,17 @@ Pages and requests are made of `events`, deliveries and attempt results of
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.plans.intake import shared_folder
 from sluice.session import configure
+from sluice.sinks import files
 from sluice.sources.spread import spread
 from sluice.spec import (
     DedupeSpec,
@@ -36,6 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for the tables of one query, below `spark.checkpoint.dir`; removed when Python ends."""
+    local = f"file://{tempfile.gettempdir()}/sluice-work" if spark.sparkContext.master.startswith("local[") else None
+    folder = f"{shared_folder(spark, local)}/{name}-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            files.remove(spark, folder)
+
+    atexit.register(clean)
+    return folder
+
+
 def utc(column: str) -> Column:
     return F.col(column).cast("timestamp")
 

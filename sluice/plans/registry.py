@@ -31,4 +31,5 @@ def load() -> None:
         queries_delivery,
         queries_intake,
         queries_items,
+        queries_stored,
     )
