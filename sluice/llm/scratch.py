@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back: lineage ends there.
 
-    The tables of a session go when Python ends; `clear` removes them earlier.
+    The tables of a session go when Python ends; `drop` and `clear` remove them earlier.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -42,7 +42,24 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     # allocate little there, so ask for it.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of `written` that nothing reads any more; frames derived from them must not be used afterwards."""
+    for table in tables:
+        spark, path = table.sparkSession, table.scratch_path
+        made = _made.get(spark.sparkContext.applicationId, [])
+        if path in made:
+            made.remove(path)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def clear(spark: SparkSession) -> None:
@@ -51,5 +68,4 @@ def clear(spark: SparkSession) -> None:
     if context._jsc is None or context._jsc.sc().isStopped():
         return
     for path in _made.pop(context.applicationId, []):
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)

@@ -3,9 +3,9 @@
 Seeds are winnowed word grams: of the grams in a window of `min_words` words the one with the smallest hash (the
 rightmost of equal ones) is its anchor, so equal windows have equal anchors. Anchors are joined across documents. An
 anchor is extended both ways over all windows that chose it, at most `min_words` each way; its extension counts as
-repeated when the smallest document with that anchor has the same words around it. Where the words differ somewhere in
-the extension, only the windows of these anchors are compared one by one. Touching and overlapping repeats are united
-into maximal ones.
+repeated when a smaller document has the same words around that anchor. The first documents with an extension are
+compared window by window, if their anchor has other extensions too. Touching and overlapping repeats are united into
+maximal ones.
 
 Nothing is paired within a group: each step is an aggregate by anchor or by window, with map-side reduction, and a join
 back that the optimizer may split when a key is hot.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.scratch import written
+from sluice.llm.scratch import drop, written
 from sluice.llm.words import (
     SPAN_POWERS,
     WORD_POWERS,
@@ -136,39 +136,31 @@ def repeated_spans(
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     spans = anchor_spans(keyed, min_words, anchor_words)
-    # Written, so that the join has two plain exchanges and a hot anchor can be split between tasks.
-    seeds = written(
-        spans.groupBy("anchor")
-        .agg(
-            F.min("id").alias("first"),
-            F.max("id").alias("last"),
-            F.min_by("span", F.struct("id", "start")).alias("hub"),
-            F.min("span").alias("one"),
-            F.max("span").alias("other"),
-        )
-        .where("first < last")
-        .select("anchor", "first", "hub", (F.col("one") != F.col("other")).alias("differ")),
-        "seeds",
-    )
+    # Written, so that the joins have plain exchanges and a hot anchor can be split between tasks.
+    kinds = written(spans.groupBy("anchor", "span").agg(F.min("id").alias("first"), F.max("id").alias("last")), "kinds")
+    anchors = kinds.groupBy("anchor").agg(F.min("first").alias("a"), F.max("last").alias("z"), F.count("*").alias("n_kinds"))
+    anchors = anchors.where("a < z").select("anchor", (F.col("n_kinds") > 1).alias("differ"))
+    seeds = written(kinds.join(anchors, "anchor").select("anchor", "span", "first", "differ"), "seeds")
+    drop(kinds)
+    # Behind the first document with a span all others repeat it whole. The first ones are compared window by window,
+    # where their anchor has other spans too.
+    same = F.col("id") > F.col("first")
     joined = written(
-        spans.join(seeds, "anchor")
-        .where((F.col("span") == F.col("hub")) & (F.col("first") < F.col("id")) | F.col("differ"))
-        .select("id", "row", "start", "n", ((F.col("span") == F.col("hub")) & (F.col("first") < F.col("id"))).alias("same")),
+        spans.join(seeds, ["anchor", "span"]).where(same | F.col("differ")).select("id", "row", "start", "n", same.alias("same")),
         "anchors",
     )
-    windows = _windows(keyed, joined.where(~F.col("same")), min_words)
-    owners = written(
-        windows.groupBy("w1", "w2")
-        .agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("first < last")
-        .drop("last"),
-        "owners",
+    drop(seeds)
+    windows = written(_windows(keyed, joined.where(~F.col("same")), min_words), "windows")
+    owners = (
+        windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     )
     later = windows.join(owners, ["w1", "w2"]).where(F.col("first") < F.col("id"))
     found = joined.where("same").select("id", "row", "start", "n").unionByName(
         later.select("id", "row", "start", F.lit(min_words).alias("n"))
     )
-    return found.groupBy("id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    found = written(found.groupBy("id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "found")
+    drop(joined, windows)
+    return found
 
 
 def remove_repeats(
