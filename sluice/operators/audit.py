@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,9 +109,32 @@ def run_status(counts: DataFrame) -> DataFrame:
     return counts.withColumn("status", status)
 
 
-def run_rows(outcomes: DataFrame, trigger: str) -> DataFrame:
-    """The audit rows of a batch of runs, in the column order of the run table."""
+def run_facts(entries: DataFrame) -> DataFrame:
+    """What each run says of its input (`about` of its documents), one row per run."""
+    return entries.groupBy("run_id").agg(F.max("about").alias("about"))
+
+
+def run_rows(
+    outcomes: DataFrame, trigger: str, facts: DataFrame | None = None, finished: datetime | Column | None = None
+) -> DataFrame:
+    """The audit rows of a batch of runs, in the column order of the run table.
+
+    With `facts` (see `run_facts`) and the instant the batch was finished they also
+    tell URL, type, size, address, trace, end and duration. The duration is what the
+    source measured, else the time from the run's start to the end of its batch.
+    """
     runs = run_status(run_counts(outcomes))
+    about = []
+    if facts is not None:
+        runs = runs.join(facts, "run_id", "left")
+        end = (finished if isinstance(finished, Column) else F.lit(finished)).cast("timestamp")
+        waited = (F.unix_millis(end) - F.unix_millis("run_created_at")).cast("int")
+        about = [
+            *[F.col(f"about.{c}").alias(c) for c in ("request_url", "content_type", "body_bytes", "source_ip")],
+            F.coalesce("about.elapsed_ms", waited).alias("duration_ms"),
+            end.alias("finished_at"),
+            F.col("about.trace_id").alias("trace_id"),
+        ]
     return runs.select(
         F.col("run_id").alias("id"),
         F.col("run_created_at").alias("created_at"),
@@ -133,6 +157,7 @@ def run_rows(outcomes: DataFrame, trigger: str) -> DataFrame:
         ],
         "error_code",
         F.substring("error_message", 1, 2_000).alias("error_message"),
+        *about,
     )
 
 

@@ -8,6 +8,7 @@ follow one aggregation by key and one join with the ledger.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import cached_property
@@ -81,6 +82,7 @@ def entries(documents: DataFrame, spec: FlowSpec) -> DataFrame:
         F.sha2("_source", 256).alias("dedupe_key"),
         F.when(has_key, canonical_json(item)).alias("payload"),
         F.when(has_key, routes(spec.destinations, value_of)).alias("routes"),
+        *(["about"] if "about" in keyed.columns else []),
     )
 
 
@@ -114,12 +116,14 @@ def plan_intake(
     documents: DataFrame,
     spec: FlowSpec,
     now: datetime | Column,
-    ledger: DataFrame | None = None,
+    ledger: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     route_on: str = "last",
     stage: str | None = None,
 ) -> Intake:
     """All outputs of an intake, lazily.
 
+    `ledger` are the stored events, or a lookup that gives those of a frame of keys.
+
     Outcomes need the entries and the resolved keys more than once. With a
     `stage` folder both are written there first and read back, which cuts the
     lineage and parses every body once; without one, Spark computes them anew
@@ -130,6 +134,8 @@ def plan_intake(
     if stage is not None:
         rows = staged(rows, f"{stage}/entries")
     firsts = dedupe.first_occurrences(rows.filter(F.col("state") == "keyed"), route_on)
+    if not isinstance(ledger, DataFrame):
+        ledger = ledger(rows.filter(F.col("state") == "keyed").select(*dedupe.KEY))
     resolved = dedupe.resolve(firsts, ledger)
     if stage is not None:
         resolved = staged(resolved, f"{stage}/resolved")

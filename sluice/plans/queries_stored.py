@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.operators import audit, delivery
+from sluice.operators.retention import policy_frame
 from sluice.plans import frames
 from sluice.plans.deliver import CycleLimits, add_deliveries, delivery_store, run_cycle
 from sluice.plans.frames import DELIVERY_NOW, millis
+from sluice.plans.metrics import RANK_ERROR, add_counters, counter_table, hourly_sketches, poll_durations, quantiles, sketch_table
 from sluice.plans.queries_delivery import DELIVERIES_SQL, NOW_MS
+from sluice.plans.queries_intake import PAGES_SQL, RUN_ID, sql_uuid7
 from sluice.plans.registry import query
+from sluice.plans.retain import drop_expired_deliveries, purge_events
+from sluice.plans.run import run_batch
 from sluice.sinks.keyed import KeyedTable
+from sluice.sinks.ledger import Ledger, append_events, events_of, open_ledger
+from sluice.sources.pages import page_documents
 
 SECOND = DELIVERY_NOW + timedelta(days=1)
 SECOND_MS = NOW_MS + 86_400_000
@@ -124,3 +132,156 @@ def snk2_dlv_stored_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trf7_requests_of_second_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sent = _store_after_cycles(spark, sf_dir, "requests")
     return sent.select("delivery_id", F.col("headers")["x-delivery-attempt"].alias("attempt"), "body")
+
+
+# --- the event ledger over several batches -----------------------------------
+
+BATCHES = 4
+
+
+def _ledger_after_batches(spark: SparkSession, sf_dir: str, name: str) -> Ledger:
+    """All landed pages in four batches (cycles by turns), merged in pairs on the way; the last batch is repeated."""
+    spec, pages = frames.poll_flow(), frames.landed_pages(spark, sf_dir)
+    folder = frames.work_folder(spark, name)
+    ledger = open_ledger(spark, Ledger(folder, f"q_{folder[-32:]}", buckets=8, fan=2))
+    for batch in [*range(BATCHES), BATCHES - 1]:
+        mine = pages.filter(F.col("cycle_id") % BATCHES == batch)
+        run_batch(page_documents(mine, spec), spec, ledger, f"b{batch}", frames.NOW)
+    return ledger
+
+
+_BATCHED = f"""
+WITH {PAGES_SQL},
+keyed AS (
+  SELECT *, sha256(src) AS key, row_number() OVER w AS nth, first_value(ms) OVER w AS first_ms FROM it WHERE keep
+  WINDOW w AS (PARTITION BY src ORDER BY cycle % {BATCHES}, ms, idx)
+)
+"""
+
+
+@query(
+    "snk1_stored_events",
+    _BATCHED
+    + f"""
+    SELECT {sql_uuid7("ms", "'coleta|' || key")} AS id, ms AS created_ms, key AS dedupe_key, src AS dedupe_source, {RUN_ID} AS run_id
+    FROM keyed WHERE nth = 1
+    """,
+)
+def snk1_stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = _ledger_after_batches(spark, sf_dir, "events")
+    return events_of(spark, ledger).select("id", millis("created_at").alias("created_ms"), "dedupe_key", "dedupe_source", "run_id")
+
+
+@query(
+    "snk3_stored_runs",
+    _BATCHED
+    + f"""
+    SELECT {RUN_ID} AS id, page AS request_page, ms AS created_ms, 'POLL' AS trigger,
+           CASE WHEN error_code IS NULL THEN 'SUCCESS' ELSE 'ERROR' END AS status,
+           (SELECT count(*) FROM it WHERE it.cycle = pg.cycle AND it.page = pg.page) AS items_received,
+           (SELECT count(*) FROM it WHERE it.cycle = pg.cycle AND it.page = pg.page AND NOT keep) AS items_filtered_out,
+           (SELECT count(DISTINCT key) FROM keyed k WHERE k.cycle = pg.cycle AND k.page = pg.page AND k.first_ms <> k.ms) AS items_duplicate,
+           (SELECT count(*) FROM keyed k WHERE k.cycle = pg.cycle AND k.page = pg.page AND nth = 1) AS items_new,
+           'https://origin.example/itens' AS request_url, 1706745600000 AS finished_ms, 1706745600000 - ms AS duration_ms, error_code
+    FROM pg
+    """,
+)
+def snk3_stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = _ledger_after_batches(spark, sf_dir, "runs")
+    counts = [F.col(c).cast("bigint").alias(c) for c in ("items_received", "items_filtered_out", "items_duplicate", "items_new")]
+    return spark.table(ledger.table("runs")).select(
+        "id",
+        F.col("request_page").cast("bigint").alias("request_page"),
+        millis("created_at").alias("created_ms"),
+        "trigger",
+        "status",
+        *counts,
+        "request_url",
+        millis("finished_at").alias("finished_ms"),
+        F.col("duration_ms").cast("bigint").alias("duration_ms"),
+        "error_code",
+    )
+
+
+# --- retention, counters, durations ------------------------------------------
+
+PURGE_DAYS, PURGE_BATCH = 2_000, 3_000
+
+
+@query(
+    "ret1_ret3_applied",
+    f"""
+    WITH {DELIVERIES_SQL},
+    stored AS (SELECT * FROM d WHERE created_at >= TIMESTAMP '1995-06-01'),
+    old AS (SELECT id, event_id FROM stored WHERE created_ms < {NOW_MS} - CAST({PURGE_DAYS} AS BIGINT) * 86400000 ORDER BY created_ms, event_id LIMIT {PURGE_BATCH}),
+    gone AS (SELECT old.event_id FROM old JOIN d USING (id) WHERE status IN ('DELIVERED', 'DISCARDED'))
+    SELECT 'event' AS kind, event_id AS id FROM stored WHERE event_id NOT IN (SELECT event_id FROM gone)
+    UNION ALL
+    SELECT 'delivery', id FROM d WHERE created_at >= TIMESTAMP '2001-02-01'
+    """,
+)
+def ret1_ret3_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of events and deliveries after a purge of old events and of expired months, each done twice over."""
+    folder = frames.work_folder(spark, "retention")
+    ledger = open_ledger(spark, Ledger(folder, f"q_{folder[-32:]}", buckets=8))
+    events = frames.stored_events(spark, sf_dir)
+    for batch in (0, 1):
+        append_events(events.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == batch), ledger, f"b{batch}")
+    store = delivery_store(spark, folder)
+    add_deliveries(store, frames.deliveries(spark, sf_dir), "orders")
+    purge_events(spark, ledger, store, DELIVERY_NOW, PURGE_DAYS, PURGE_BATCH)
+    policy = policy_frame(spark)
+    for _ in range(2):
+        drop_expired_deliveries(store, policy, DELIVERY_NOW)
+    left = events_of(spark, ledger).select(F.lit("event").alias("kind"), "id")
+    return left.unionByName(store.read().select(F.lit("delivery").alias("kind"), "id"))
+
+
+@query(
+    "agg8_counters_kept",
+    f"""
+    WITH {DELIVERIES_SQL},
+    a AS (
+      SELECT pipeline_id, destination_id, owned, CASE WHEN kind = 'SUCCESS' THEN 'ok' WHEN next_status = 'DISCARDED' THEN 'dead' ELSE 'retry' END AS outcome,
+             CASE WHEN kind = 'SUCCESS' THEN NULL WHEN kind = 'RETRYABLE' AND next_status = 'DISCARDED' THEN 'ATTEMPTS_EXHAUSTED' ELSE why END AS reason FROM routed WHERE lease_s IS NOT NULL
+    )
+    SELECT 'gateway.deliveries' AS metric, pipeline_id, destination_id, outcome, reason, count(*) AS value FROM a GROUP BY ALL
+    UNION ALL
+    SELECT 'gateway.delivery.duplicate_detected', pipeline_id, destination_id, NULL, NULL, count(*) FROM a WHERE outcome = 'ok' AND NOT owned GROUP BY ALL
+    """,
+)
+def agg8_counters_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts in five batches, the last one twice: the kept totals are those of all attempts."""
+    table = counter_table(spark, frames.work_folder(spark, "counters"), fan=2)
+    attempts = delivery.attempt_results(
+        frames.deliveries(spark, sf_dir), frames.attempt_outcomes(spark, sf_dir), DELIVERY_NOW, frames.delivery_flows()
+    )
+    for batch in (0, 1, 2, 3, 4, 4):
+        mine = attempts.filter(F.substring("delivery_id", 2, 30).cast("bigint") % 5 == batch)
+        add_counters(table, audit.metrics_counters(attempts=mine), f"b{batch}")
+    return table.read().select("metric", "pipeline_id", "destination_id", "outcome", "reason", "value")
+
+
+@query(
+    "agg9_poll_duration_kept",
+    f"""
+    WITH {PAGES_SQL},
+    cycle AS (SELECT cycle, max(ms) - min(ms) AS took FROM pg GROUP BY cycle)
+    SELECT 'coleta' AS pipeline_id, count(*) AS n, true AS within_error FROM cycle
+    """,
+)
+def agg9_poll_duration_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations of all poll cycles as hourly sketches in three batches, merged upwards; compared with exact ranks."""
+    durations = poll_durations(page_documents(frames.landed_pages(spark, sf_dir), frames.poll_flow()))
+    table = sketch_table(spark, frames.work_folder(spark, "durations"), fan=2)
+    for batch in range(3):
+        mine = durations.filter(F.pmod(F.xxhash64("at"), F.lit(3)) == batch)
+        table.upsert(f"b{batch}", hourly_sketches(mine, "poll_duration"))
+        table.compact()
+    found = quantiles(table.read(), ["pipeline_id"], (0.5, 0.9, 0.99))
+    below = durations.join(F.broadcast(found), "pipeline_id").groupBy("pipeline_id", "n")
+    inside = [
+        (F.avg((F.col("value") < F.col(q)).cast("double")) <= F.lit(share + RANK_ERROR)) & (F.avg((F.col("value") <= F.col(q)).cast("double")) >= F.lit(share - RANK_ERROR))
+        for q, share in (("q_50", 0.5), ("q_90", 0.9), ("q_99", 0.99))
+    ]
+    return below.agg((inside[0] & inside[1] & inside[2]).alias("within_error"))

@@ -140,6 +140,36 @@ class KeyedTable:
                     files.remove(self.spark, f"{self.data}/{folder}/{p}")
 
 
+@dataclass(frozen=True)
+class SummedTable(KeyedTable):
+    """Counters kept up to date: a batch stores its increments, equal keys add up, a repeated batch replaces its own.
+
+    `sums` are the columns that add up; key columns may be null. Merging adds too, so reading sums a few entries per part.
+    """
+
+    sums: tuple[str, ...] = ()
+
+    def _merged(self, by_part: dict[str, list[Entry]], split: str | None) -> DataFrame:
+        rows = self._scan([e for entries in by_part.values() for e in entries])
+        if split is not None:
+            rows = rows.filter(F.col(self.split) == split)
+        return rows.groupBy(self.part, self.split, *self.keys).agg(*(F.sum(c).alias(c) for c in self.sums))
+
+
+@dataclass(frozen=True)
+class SketchTable(KeyedTable):
+    """Quantile sketches kept up to date: a batch stores its own, equal keys merge (KLL sketches of doubles)."""
+
+    sketch: str = "sketch"
+
+    def _merged(self, by_part: dict[str, list[Entry]], split: str | None) -> DataFrame:
+        rows = self._scan([e for entries in by_part.values() for e in entries])
+        if split is not None:
+            rows = rows.filter(F.col(self.split) == split)
+        merged = F.kll_merge_agg_double(self.sketch).alias(self.sketch)
+        return rows.groupBy(self.part, self.split, *self.keys).agg(merged)
+
+
 def changed_rows(after: DataFrame, tags: Sequence[str], tag: str) -> DataFrame:
     """Rows whose `tags` columns no longer hash to what `tagged` noted before the steps."""
     return after.filter(F.xxhash64(*tags) != F.col(tag)).drop(tag)

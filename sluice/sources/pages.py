@@ -70,6 +70,7 @@ def read_pages(
     for name, kind in (("http_status", "int"), ("net_code", "string")):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(200 if name == "http_status" else None).cast(kind))
+    pages = pages.withColumn("body_bytes", F.octet_length("body"))
     read = with_document(pages, "body").drop("body")
     code = page_error(F.col("net_code"), F.col("http_status"), F.col("parsed"))
     return read.withColumn("error_code", code)
@@ -154,4 +155,27 @@ def page_documents(
         "error_code",
         _error_message(F.col("error_code"), F.col("net_code"), F.col("http_status"), page).alias("error_message"),
         F.when(F.col("error_code").isNull(), F.col("doc")).alias("doc"),
+        about(kept, F.lit(spec.source.url)).alias("about"),
     )
+
+
+# What a run row says of its input besides counts, and the column of the landed rows it comes from.
+ABOUT = {
+    "request_url": ("url", "string"),
+    "content_type": ("content_type", "string"),
+    "body_bytes": ("body_bytes", "int"),
+    "source_ip": ("source_ip", "string"),
+    "trace_id": ("trace_id", "string"),
+    "elapsed_ms": ("elapsed_ms", "int"),
+}
+
+
+def about(rows: DataFrame, url: Column | None = None) -> Column:
+    """The facts of `ABOUT` as one struct; columns the rows lack are NULL, a missing URL is `url`."""
+    facts = []
+    for name, (column, kind) in ABOUT.items():
+        value = F.col(column) if column in rows.columns else F.lit(None)
+        if name == "request_url" and url is not None:
+            value = F.coalesce(value.cast(kind), url)
+        facts.append(value.cast(kind).alias(name))
+    return F.struct(*facts)

@@ -13,7 +13,7 @@ from sluice import messages as M
 from sluice.functions.ids import uuid7_of
 from sluice.functions.redact import lower_keys
 from sluice.functions.variants import with_document
-from sluice.sources.pages import _load
+from sluice.sources.pages import _load, about
 
 
 def read_requests(
@@ -60,4 +60,5 @@ def request_documents(requests: DataFrame, pipeline_id: str | None = None) -> Da
         F.lit(None).cast("string").alias("error_message"),
         lower_keys(F.col("headers")).alias("headers"),
         "doc",
+        about(requests).alias("about"),
     )
