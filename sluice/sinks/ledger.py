@@ -162,7 +162,7 @@ def compact_events(spark: SparkSession, ledger: Ledger) -> Version:
         return version
     level, parts = 1 + max(e.level for e in due), [e.part for e in due]
     name = f"level{level}-{version.number + 1:012d}"
-    rows = _write_partition(_partitions(spark, ledger, parts), ledger, version.layout, name)
+    rows = _write_partition(_plain(spark, ledger, version.layout, parts), ledger, version.layout, name)
     rest = [e for e in version.entries if e not in due]
     # The newest batch is part of the merge: it can no longer be repeated on its own, and need not be.
     made = manifest.commit(version, None, 0, [*rest, Entry(version.number + 1, name, level, rows)], version.layout)
@@ -182,7 +182,7 @@ def rebucket(spark: SparkSession, ledger: Ledger, rows_per_bucket: int = 4_000_0
     level = max(e.level for e in version.entries)
     name = f"level{level}-{version.number + 1:012d}"
     _register_events(spark, ledger, layout, "events_next")
-    rows = _write_partition(_partitions(spark, ledger, version.parts()), ledger, layout, name, "events_next")
+    rows = _write_partition(_plain(spark, ledger, version.layout, version.parts()), ledger, layout, name, "events_next")
     made = manifest.commit(version, None, 0, [Entry(version.number + 1, name, level, rows)], layout)
     for table in ("events", "events_next"):
         spark.sql(f"DROP TABLE {ledger.table(table)}")
@@ -205,7 +205,7 @@ def remove_events(spark: SparkSession, ledger: Ledger, victims: DataFrame) -> in
     due = [e for e in version.entries if e.part in touched]
     level = max(e.level for e in due)
     name = f"level{level}-{version.number + 1:012d}"
-    kept = _partitions(spark, ledger, sorted(touched)).join(victims.select(*KEY), list(KEY), "left_anti")
+    kept = _plain(spark, ledger, version.layout, sorted(touched)).join(victims.select(*KEY), list(KEY), "left_anti")
     rows = _write_partition(kept, ledger, version.layout, name)
     rest = [e for e in version.entries if e.part not in touched]
     manifest.commit(version, None, 0, [*rest, Entry(version.number + 1, name, level, rows)])
@@ -220,6 +220,13 @@ def _drop_partitions(spark: SparkSession, ledger: Ledger, layout: int, parts: li
         files.remove(spark, f"{ledger.path('sketches')}/{layout}/batch_id={part}")
 
 
+def _plain(spark: SparkSession, ledger: Ledger, layout: int, parts: list[str]) -> DataFrame:
+    """The rows of batch partitions as plain files: rewriting them clusters them anew, whatever their buckets are."""
+    folder = ledger.path(_events_folder(layout))
+    reader = spark.read.schema(f"{EVENT_SCHEMA}, batch_id string").option("basePath", folder)
+    return reader.parquet(*[f"{folder}/batch_id={p}" for p in parts])
+
+
 def _partitions(spark: SparkSession, ledger: Ledger, parts: list[str]) -> DataFrame:
     return spark.table(ledger.table("events")).filter(F.col("batch_id").isin(parts))
 
