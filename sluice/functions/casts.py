@@ -20,6 +20,7 @@ from sluice.functions.variants import (
     is_blank,
     js_trim,
     number_of_text,
+    rarely,
     scalar_text,
 )
 
@@ -94,7 +95,7 @@ def cast_result(value: Value, cast: str, given: dict[str, Column]) -> tuple[Colu
         return json_string(shape(text)), F.when(text.isNull(), M.NOT_SCALAR.format(cast=cast))
     if cast in _BY_NUMBER:
         number = given["number"]
-        fragment = F.when(value.is_number, text).otherwise(double_text(number))
+        fragment = F.when(value.is_number, text).otherwise(rarely(number.isNotNull(), number, double_text))
         problem = problem_if(number.isNull(), M.NOT_NUMBER)
         if cast == "integer":
             broken = F.floor(number) != number

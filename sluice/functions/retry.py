@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice import messages as M
 from sluice.functions.casts import parse_instant
-from sluice.functions.variants import js_trim, number_of_text
+from sluice.functions.variants import js_trim, number_of_text, rarely
 
 SUCCESS = "SUCCESS"
 RETRYABLE = "RETRYABLE"
@@ -52,13 +52,15 @@ def http_date(text: Column) -> Column:
 
 def retry_after_ms(header: Column, now: Column) -> Column:
     """Milliseconds a Retry-After header asks for (DOUBLE); NULL when it asks for nothing."""
-    text = js_trim(header)
-    seconds = F.when(text == "", F.lit(0.0)).otherwise(number_of_text(text))
-    until = F.coalesce(http_date(text), parse_instant(text))
-    wait = (F.unix_millis(until) - F.unix_millis(now)).cast("double")
-    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)) * 1000).when(
-        wait.isNotNull(), F.greatest(wait, F.lit(0.0))
-    )
+
+    def read(text: Column) -> Column:
+        seconds = F.when(text == "", F.lit(0.0)).otherwise(number_of_text(text))
+        until = F.coalesce(http_date(text), parse_instant(text))
+        wait = (F.unix_millis(until) - F.unix_millis(now)).cast("double")
+        asked = F.coalesce(seconds * 1000, wait)
+        return F.when(asked.isNotNull(), F.greatest(asked, F.lit(0.0)))
+
+    return rarely(header.isNotNull(), js_trim(header), read)
 
 
 def unit_draw(*material: Column) -> Column:

@@ -240,6 +240,15 @@ def is_number(doc: Column) -> Column:
     return _is_number_kind(F.schema_of_variant(doc))
 
 
+def rarely(when: Column, value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` where `when` holds, else NULL, for work that few rows need.
+
+    It is the body of a higher-order function: evaluated for these rows only, and
+    no part of the generated code, which would grow beyond what Java compiles.
+    """
+    return F.when(when, F.get(F.transform(F.array(value), then), F.lit(0)))
+
+
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
@@ -254,12 +263,13 @@ def number_of_text(text: Column) -> Column:
     Spark's own cast takes `1d`, `NaN` and `Infinity` and refuses hexadecimal,
     hence the check of the shape first. Plain digits go the short way.
     """
-    t = js_trim(text)
-    return (
-        F.when(text.rlike(_PLAIN_TEXT), text.try_cast("double"))
-        .when(t.rlike(_DECIMAL_TEXT), finite(t.try_cast("double")))
-        .when(t.rlike(_BASED_TEXT), finite(_based_number(t)))
-    )
+    plain = text.rlike(_PLAIN_TEXT)
+
+    def read(t: Column) -> Column:
+        decimal = F.when(t.rlike(_DECIMAL_TEXT), finite(t.try_cast("double")))
+        return F.coalesce(decimal, F.when(t.rlike(_BASED_TEXT), finite(_based_number(t))))
+
+    return F.when(plain, text.try_cast("double")).otherwise(rarely(~plain, js_trim(text), read))
 
 
 def _based_number(text: Column) -> Column:
@@ -315,9 +325,8 @@ def scalar_text(value: Value) -> Column:
     text = value.text
     tiny = text.startswith("0.000000") | text.startswith("-0.000000")
     exact = (value.kind != "DOUBLE") & (F.length(text) <= 16) & ~tiny
-    return F.when(value.kind.isin("STRING", "BOOLEAN") | exact, text).otherwise(
-        double_text(text.try_cast("double"))
-    )
+    short = value.kind.isin("STRING", "BOOLEAN") | exact
+    return F.when(short, text).otherwise(rarely(~short, text.try_cast("double"), double_text))
 
 
 def canonical_json(doc: Column) -> Column:
