@@ -93,6 +93,16 @@ def carried(
         held = [(a + b if end["groups"] == 1 else b) % (1 << 64) for a, b in zip(before, end["at_end"], strict=True)]
         last = end["last"] if group else ()
 
+    names = ", ".join([*(f"`{c}` {t}" for c, t in fields.items()), "nth bigint, rank bigint"])
+    if not ends:
+        return spark.createDataFrame([], names)
+    if not sums:
+        # One row per partition, whatever the table holds.
+        table = spark.createDataFrame([(p, r, n[0]) for p, (r, n) in offsets.items()], "pass_part int, more_rank bigint, more_nth bigint")
+        nth = F.col("pass_nth") + F.when(F.col("pass_group") == 1, F.col("more_nth")).otherwise(0)
+        joined = local.join(F.broadcast(table), "pass_part")
+        return joined.select(*fields, nth.alias("nth"), (F.col("pass_group") + F.col("more_rank")).alias("rank"))
+
     def carry_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, at = np.unique(batch.column("pass_part").to_numpy(), return_inverse=True)
@@ -107,7 +117,4 @@ def carried(
                 [*(out[c] for c in fields), out["pass_nth"], pa.array(groups + rank)], names=[*fields, "nth", "rank"]
             )
 
-    names = ", ".join([*(f"`{c}` {t}" for c, t in fields.items()), "nth bigint, rank bigint"])
-    if not ends:
-        return spark.createDataFrame([], names)
     return local.mapInArrow(carry_on, names)

@@ -149,6 +149,7 @@ def long_names(pieces: DataFrame, stride: int, strides: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=[*_SPAN, "i", "away", "part"])
 
     samples = pieces.select(*_SPAN, "at", "piece").mapInArrow(sampled, "anchor bigint, span bigint, i int, away int, part binary")
+    samples = written(samples, "samples")  # a sort by range reads its input twice
     named = carried(samples, ["anchor", "away", "part"], ["span"], name="characters").select(*_SPAN, "i", "rank")
     reach = 1
     while reach < strides:
@@ -231,7 +232,8 @@ def repeats(
     pieces = written(_pieces(keyed, distinct.join(anchors, "anchor").drop("kinds")), "pieces")
     named = written(long_names(pieces, stride, core // stride), "names")
     shared = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    edges = carried(_edges(named.join(shared, "name"), pieces, stride, core, min_bytes), ["name", "left", "edge"], list(_SPAN), name="edges")
+    around = written(_edges(named.join(shared, "name"), pieces, stride, core, min_bytes), "around")
+    edges = carried(around, ["name", "left", "edge"], list(_SPAN), name="edges")
     edges = edges.withColumnRenamed("rank", "number")
     different = edges.groupBy("number", "name", "left", "edge").agg(F.sum("copies").alias("total"))
     different = written(different, "different")
