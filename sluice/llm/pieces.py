@@ -37,7 +37,9 @@ from sluice.llm.words import chunks, small_batches
 N_BEST = 4
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_PARTS = 1_000_000
+#: What a worker keeps of parts and their segmentations, as an estimate of their size in memory.
+CACHE_BYTES = 96 << 20
+_ENTRY_BYTES = 320
 INF = math.inf
 
 
@@ -59,6 +61,7 @@ class Pieces:
     model: bytes
     scoring: str = "zipf"
     cache: dict[str, Part] = field(default_factory=dict)
+    held: int = 0
     ranked: dict[tuple[str, int], list[tuple[float, list[int]]]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -178,9 +181,7 @@ class Pieces:
                 end = start
             ids.reverse()
             found = (ids.tobytes(), best[-1], least)
-            if len(self.cache) >= CACHE_PARTS:
-                self.cache.clear()
-            self.cache[text] = found
+            self.keep(self.cache, text, found, _ENTRY_BYTES + 4 * len(text) + len(found[0]))
         return found
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
@@ -204,11 +205,19 @@ class Pieces:
                 count += 1
                 score = done + step
                 heapq.heappush(queue, (-(best[start] + score), count, start, score, (text[start:end], path)))
-        if len(self.ranked) >= CACHE_PARTS // 20:
-            self.ranked.clear()
-        self.ranked[text, n] = out
+        self.keep(self.ranked, (text, n), out, _ENTRY_BYTES + 4 * len(text) + sum(120 + 8 * len(ids) for _, ids in out))
         return out
 
+    def keep(self, cache: dict, key: object, value: object, size: int) -> None:
+        """Remember a result; both caches start anew when they would hold more than CACHE_BYTES."""
+        if self.held + size > CACHE_BYTES:
+            self.cache.clear()
+            self.ranked.clear()
+            self.held = 0
+        if size <= CACHE_BYTES:
+            cache[key] = value
+            self.held += size
+
     def parts(self, text: str) -> list[str]:
         """Parts of a text; a U+2581 of its own stands as the empty part."""
         if SPACE not in text:

@@ -133,3 +133,15 @@ def test_round_trip_and_defined_cases(spark):
 
 def test_empty_table(spark):
     assert encode(frame(spark, [])).collect() == []
+
+
+def test_the_cache_is_bounded_by_bytes(monkeypatch):
+    from sluice.llm import pieces
+
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 20_000)
+    small, plain = pieces.Pieces(open(pieces.default_model(), "rb").read()), pieces.Pieces(open(pieces.default_model(), "rb").read())
+    monkeypatch.setattr(plain, "keep", lambda *_: None)
+    for i in range(300):
+        word = f"part{i % 90}" * (1 + i % 40)
+        assert small.part(word) == plain.part(word) and small.n_best(word[:40], 2) == plain.n_best(word[:40], 2)
+        assert small.held <= 20_000 and len(small.cache) + len(small.ranked) <= 20_000 / 320
