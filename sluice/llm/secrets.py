@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from sluice.llm.scratch import written
 
 REACH = 400
+BLOCK = 64
 MASK = "<secret>"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What is looked for. `probe` is a cheap sign that a text may hold a match; `keep` is what a match must satisfy."""
+    """What is looked for: `pattern`, or in its place `long` where matches are maximal runs of some length. `probe` is a cheap sign that a text may hold a match; `keep` is what a match must satisfy."""
 
     name: str
     role: str
@@ -36,6 +37,12 @@ class Kind:
     probe: str
     keep: tuple[str, ...]
     weak: bool = False
+    long: str | None = None
+
+    @property
+    def scanned(self) -> str:
+        """What is searched for: `long` finds the matches of `pattern` that are long enough. Both match whole runs."""
+        return self.long or self.pattern
 
 
 # Fixed patterns of the three base kinds.
@@ -45,8 +52,8 @@ HEX = r"[0-9a-f]+"
 
 KINDS = (
     Kind("assign", "secret", ASSIGN, ASSIGN[:-2] + "{6})", ("[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}$",)),
-    Kind("access", "identity", ACCESS, r"AKIA[A-Z0-9]{16}", (r"^.{20}",)),
-    Kind("hex", "secret", HEX, r"[0-9a-f]{24}", (r"^.{24}",)),
+    Kind("access", "identity", ACCESS, r"AKIA[A-Z0-9]{16}", (r"^.{20}",), long=r"AKIA[A-Z0-9]{16,}"),
+    Kind("hex", "secret", HEX, r"[0-9a-f]{24}", (r"^.{24}",), long=r"[0-9a-f]{24,}"),
     Kind(
         "ident",
         "identity",
@@ -55,7 +62,7 @@ KINDS = (
         ("[:=]\\x20*[\"']?[A-Za-z0-9@._-]{3,}$",),
         True,
     ),
-    Kind("blob", "secret", r"[A-Za-z0-9+/_-]+", r"[A-Za-z0-9+/_-]{24}", (r"^.{24}", "[a-z]", "[A-Z]", "[0-9]"), True),
+    Kind("blob", "secret", r"[A-Za-z0-9+/_-]+", r"[A-Za-z0-9+/_-]{24}", (r"^.{24}", "[a-z]", "[A-Z]", "[0-9]"), True, r"[A-Za-z0-9+/_-]{24,}"),
     Kind(
         "endpoint",
         "place",
@@ -71,37 +78,41 @@ SPAN = "array<struct<start: int, rank: int, end: int>>"
 
 def spans_of(text: Column, kind: Kind) -> Column:
     """Spans of one kind: leftmost matches that do not overlap, those that fail `keep` left out afterwards."""
-    pattern = F.lit(kind.pattern)
-    around = F.transform(F.split(text, kind.pattern, -1), lambda x: F.length(x))
-    pairs = F.arrays_zip(around.alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    placed = F.aggregate(
-        F.filter(pairs, lambda p: p["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, hit: string>>").alias("out")),
-        lambda state, p: F.struct(
-            (state["at"] + p["gap"] + F.length(p["hit"])).alias("at"),
-            F.concat(
-                state["out"],
-                F.array(
-                    F.struct(
-                        (state["at"] + p["gap"]).alias("start"),
-                        (state["at"] + p["gap"] + F.length(p["hit"])).alias("end"),
-                        p["hit"].alias("hit"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
+    around = F.transform(F.split(text, kind.scanned, -1), lambda x: F.length(x))
+    found = F.arrays_zip(around.alias("gap"), F.regexp_extract_all(text, F.lit(kind.scanned), F.lit(0)).alias("hit"))
+    pairs = F.filter(found, lambda p: p["hit"].isNotNull())
 
-    def kept(span: Column) -> Column:
-        passes = F.lit(True)
+    def passes(hit: Column) -> Column:
+        good = F.lit(True)
         for condition in kind.keep:
-            passes = passes & span["hit"].rlike(condition)
-        return passes
+            good = good & hit.rlike(condition)
+        return good
 
-    shaped = F.transform(
-        F.filter(placed, kept),
-        lambda s: F.struct(s["start"].alias("start"), F.lit(RANK[kind.name]).alias("rank"), s["end"].alias("end")),
-    )
+    # Matches are placed by running sums, first of blocks and then inside each: arrays that grow by one element per match
+    # are as long as a block at most, so the work stays near the length of the text.
+    count = F.greatest(F.ceil(F.size(pairs) / BLOCK).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def width(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + F.length(p["hit"]))
+
+    starts = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda state, block: F.struct((state["at"] + width(block)).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out")),
+    )["out"]
+
+    def placed(block: Column) -> Column:
+        def step(state: Column, p: Column) -> Column:
+            start = state["at"] + p["gap"]
+            end = start + F.length(p["hit"])
+            span = F.struct(start.alias("start"), F.lit(RANK[kind.name]).alias("rank"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(passes(p["hit"]), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+        first = F.struct(block["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+        return F.aggregate(block["block"], first, step)["out"]
+
+    shaped = F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), starts.alias("at")), placed))
     return F.when(text.rlike(kind.probe), shaped).otherwise(F.array().cast(SPAN))
 
 

@@ -80,3 +80,16 @@ def test_masks_reach_beyond_base_spans(spark):
     ]
     got = {r.doc_id: r.text for r in mask_secrets(frame(spark, texts)).collect()}
     assert got == {1: "see <secret> now", 2: "<secret> <secret> end", 3: "<secret>' end"}
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A megabyte of short words, and very many matches of one kind, among them ones that are too short."""
+    import time
+
+    words = " ".join(f"w{i % 90}" for i in range(250_000)) + " " + "0123456789abcdef" * 2
+    many = " ".join(f"token={'abc123' if i % 3 else 'ab'}" for i in range(30_000))
+    started = time.time()
+    rows = {r.doc_id: r for r in find_secrets(frame(spark, [(1, words), (2, many)])).collect()}
+    assert time.time() - started < 60
+    assert [(s.start, s.end) for s in rows[1].spans] == [(len(words) - 32, len(words))]
+    assert len(rows[2].base) == 20_000 and rows[2].base[-1].end == len(many)
