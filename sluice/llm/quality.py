@@ -40,7 +40,8 @@ SURE_ODDS = 1.5
 HELD_OUT = 4
 META_SLOTS = 256
 KEEP_FROM = 0.5
-META = ("_meta_lang", "_meta_source", "_meta_n_chars")
+FIT_ROWS = 1_000
+META = ("lang", "source", "n_chars")
 ADDED = ("p_content", "p_metadata", "p_quality", "keep")
 
 _CLASSES = np.zeros(256, np.int64)
@@ -106,15 +107,22 @@ class Logistic:
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 1.0) -> Logistic:
-        center, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-        z = np.column_stack([(x - center) / scale, np.ones(len(x))])
-        penalty = np.full(z.shape[1], ridge)
+        center, scale = x.mean(0, dtype=np.float64), np.maximum(x.std(0, dtype=np.float64), 1e-3)
+        weight = np.broadcast_to(np.asarray(weight, float), y.shape)
+        size = x.shape[1] + 1
+        penalty = np.full(size, ridge)
         penalty[-1] = 1e-6
-        w = np.zeros(z.shape[1])
+        w = np.zeros(size)
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            gradient = z.T @ (weight * (y - p)) - penalty * w
-            step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty), gradient)
+            gradient, curvature = -penalty * w, np.diag(penalty)
+            # Rows are standardised some at a time: the driver never holds a second copy of all of them.
+            for at in range(0, len(x), FIT_ROWS):
+                part = slice(at, at + FIT_ROWS)
+                z = np.column_stack([(x[part] - center) / scale, np.ones(len(x[part]))])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                gradient += z.T @ (weight[part] * (y[part] - p))
+                curvature += (z * (weight[part] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z
+            step = np.linalg.solve(curvature, gradient)
             w += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -189,14 +197,16 @@ def _features(rows: DataFrame) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             texts, *meta = (batch.column(c) for c in ("text", "lang", "source", "n_chars"))
-            views = [pa.array(list(f), pa.list_(pa.float64())) for f in (content_features(texts), metadata_features(texts, *meta))]
+            views = [pa.array(list(f), pa.list_(pa.float32())) for f in (content_features(texts), metadata_features(texts, *meta))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *views], names=["id", "content", "metadata"])
 
-    return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, content array<double>, metadata array<double>")
+    return rows.mapInArrow(per_batch, f"id {rows.schema['id'].dataType.simpleString()}, content array<float>, metadata array<float>")
 
 
 def _vectors(table: pa.Table, name: str) -> np.ndarray:
-    return np.stack(table.column(name).to_numpy()) if table.num_rows else np.zeros((0, 1))
+    if not table.num_rows:
+        return np.zeros((0, 1), np.float32)
+    return np.concatenate([c.flatten().to_numpy() for c in table.column(name).chunks]).reshape(table.num_rows, -1)
 
 
 def surest_rows(rows: DataFrame, labels: DataFrame) -> Surest:
@@ -273,32 +283,34 @@ def train(rows: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int
     per_round = min(PER_ROUND, pool_rows // (ROUNDS * (ROUNDS + 1)))
     search = surest_rows(rows, labels)
     views = _vectors(table, "content")[known], _vectors(table, "metadata")[known]
+    del table, ids_found
+    pa.default_memory_pool().release_unused()
     return co_train(*views, y, weight, search, per_round=per_round), share
 
 
-def classify(
+def _scored(
     docs: DataFrame,
     labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "quality",
-    labelled_rows: int = LABELLED_ROWS,
-    pool_rows: int = POOL_ROWS,
-    keep_from: float = KEEP_FROM,
-) -> DataFrame:
-    """Every row of `docs` with all its columns and p_content, p_metadata, p_quality (chances of good quality), keep."""
+    id_col: str,
+    text_col: str,
+    label_col: str,
+    labelled_rows: int,
+    pool_rows: int,
+    keep_from: float,
+) -> tuple[DataFrame, dict[str, str]]:
+    """All columns of `docs` and the results under names no column has: the frame and the names."""
     small_batches(docs.sparkSession)
     named = [F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")]
     n_chars = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.length(text_col).cast("bigint")
-    narrow = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
-        named[0].cast("string").alias("lang"),
-        named[1].cast("string").alias("source"),
-        n_chars.alias("n_chars"),
-    )
+    meta_columns = [named[0].cast("string"), named[1].cast("string"), n_chars]
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(c.alias(n) for c, n in zip(meta_columns, META, strict=True)))
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     model, share = train(narrow, given, labelled_rows, pool_rows)
+    names = docs.columns
+    mark = "_"
+    while any(n.startswith(mark) for n in names):
+        mark += "_"
+    meta, added = [mark + n for n in META], {n: mark + n for n in ADDED}
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
@@ -306,17 +318,36 @@ def classify(
                 scores = [np.full(batch.num_rows, share)] * 3
                 keep = np.ones(batch.num_rows, bool)
             else:
-                texts, meta = batch.column(text_col), [batch.column(c) for c in META]
-                scores = model.score(content_features(texts), metadata_features(texts, *meta))
+                texts, facts = batch.column(text_col), [batch.column(c) for c in meta]
+                scores = model.score(content_features(texts), metadata_features(texts, *facts))
                 keep = scores[2] >= keep_from
             own = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, scores), pa.array(keep)], names=[*names, *ADDED])
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, scores), pa.array(keep)], names=[*names, *added.values()])
 
-    names = docs.columns
-    if clash := set(names) & {*ADDED, *META}:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
     schema = StructType(list(docs.schema.fields))
     for name in ADDED:
-        schema = schema.add(name, "boolean" if name == "keep" else "double")
-    lang, source = (c.cast("string") for c in named)
-    return docs.select("*", *(c.alias(a) for c, a in zip((lang, source, n_chars), META, strict=True))).mapInArrow(per_batch, schema)
+        schema = schema.add(added[name], "boolean" if name == "keep" else "double")
+    rows = docs.select("*", *(c.alias(n) for c, n in zip(meta_columns, meta, strict=True)))
+    return rows.mapInArrow(per_batch, schema), added
+
+
+def classify(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    labelled_rows: int = LABELLED_ROWS,
+    pool_rows: int = POOL_ROWS,
+    keep_from: float = KEEP_FROM,
+) -> DataFrame:
+    """Every row of `docs` with its columns and p_content, p_metadata, p_quality (chances of good quality), keep. These
+    four take the place of columns of the same names."""
+    scored, added = _scored(docs, labels, id_col, text_col, label_col, labelled_rows, pool_rows, keep_from)
+    return scored.select(*(c for c in docs.columns if c not in ADDED), *(F.col(a).alias(n) for n, a in added.items()))
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of `docs` that `classify` keeps, with exactly their own columns."""
+    scored, added = _scored(docs, labels, id_col, text_col, label_col, LABELLED_ROWS, POOL_ROWS, KEEP_FROM)
+    return scored.where(added["keep"]).select(*docs.columns)

@@ -2,8 +2,7 @@ from __future__ import annotations
 
 import random
 
-import pytest
-
+from sluice.llm import quality
 from sluice.llm.quality import classify
 
 from helpers import awkward, frame, prose
@@ -63,8 +62,7 @@ def test_without_both_classes_all_are_kept(spark):
         got = classify(docs, labels(spark, pairs)).collect()
         assert [(r.keep, r.p_quality) for r in got] == [(True, share)] * 2
     assert classify(frame(spark, []), labels(spark, [])).collect() == []
-    with pytest.raises(ValueError):
-        classify(docs.withColumnRenamed("n", "keep"), labels(spark, []))
+
 
 
 def test_every_unlabelled_document_can_give_a_sure_label(spark):
@@ -119,3 +117,11 @@ def test_a_rare_class_is_in_the_sample(spark):
         assert model is not None and share == 300 / 301
     assert quotas({0: 1, 1: 300}, 10) == {0: 1, 1: 9} and quotas({0: 50, 1: 300}, 10) == {0: 5, 1: 5}
     assert quotas({0: 3, 1: 4}, 10) == {0: 3, 1: 4}
+
+
+def test_columns_named_like_the_results_or_the_inner_ones(spark):
+    docs = frame(spark, [(1, "a"), (2, "b")]).selectExpr("*", "'mine' as keep", "1 as p_quality", "2 as _keep", "3 as __lang")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r.keep for r in quality.classify(docs, labels).collect()] == [True, True]
+    rows = quality.kept(docs, labels)
+    assert rows.columns == docs.columns and {r.keep for r in rows.collect()} == {"mine"}
