@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sluice.functions import retry
-from sluice.operators.delivery import with_destination
+from sluice.operators.delivery import OPEN, with_destination
 from sluice.spec import FlowSpec
 
 STATE_SCHEMA = "status string, attempts int"
+INITIAL_SCHEMA = "delivery_id string, status string, attempts int, due_ms bigint"
+FINISHED = ("DELIVERED", "DISCARDED")
 CHANGE_SCHEMA = "delivery_id string, at_ms bigint, status string, attempts int, reason string, due_ms bigint"
 
 
@@ -21,20 +24,32 @@ class DeliveryProcessor(StatefulProcessor):
     """State of one delivery: its status and how often it was tried.
 
     Results are already classified and timed by column expressions; here the
-    count is kept, the limit applied, and a timer set for the next attempt.
+    count is kept, the limit applied, and a timer set for the next attempt. The
+    state of a finished delivery stays for `forget_ms`, so a late result cannot
+    open it again, and is then removed by its timer.
     """
 
+    def __init__(self, forget_ms: int) -> None:
+        self.forget_ms = forget_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("delivery", STATE_SCHEMA)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        # one row per delivery; an attempt that was already due is handed out with the first watermark
+        row = initialState.iloc[0]
+        self.state.update((row["status"], int(row["attempts"])))
+        if not pd.isna(row["due_ms"]):
+            self.handle.registerTimer(int(row["due_ms"]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # a delivery has at most max_attempts results that count
         results = pd.concat(list(rows)).sort_values(["at_ms", "kind"])
         status, attempts = self.state.get() if self.state.exists() else ("PENDING", 0)
         changes = []
         for row in results.itertuples():
-            if status in ("DELIVERED", "DISCARDED"):
+            if status in FINISHED:
                 continue
             attempts += 1
             due, reason = None, None
@@ -50,16 +65,19 @@ class DeliveryProcessor(StatefulProcessor):
                 due = int(row.at_ms + delays[min(attempts, len(delays)) - 1])
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if due is not None:
-                self.handle.registerTimer(due)
+            self.handle.registerTimer(due if due is not None else int(row.at_ms) + self.forget_ms)
             changes.append((key[0], int(row.at_ms), status, attempts, reason, due))
         self.state.update((status, attempts))
         yield _changes(changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        _, attempts = self.state.get()
+        status, attempts = self.state.get() if self.state.exists() else ("", 0)
         due = int(expiredTimerInfo.getExpiryTimeInMs())
-        yield _changes([(key[0], due, "DUE", attempts, None, due)])
+        if status in FINISHED:
+            self.state.clear()
+            yield _changes([])
+        else:
+            yield _changes([(key[0], due, "DUE", attempts, None, due)])
 
     def close(self) -> None:
         pass
@@ -71,11 +89,26 @@ def _changes(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"at_ms": "Int64", "attempts": "Int32", "due_ms": "Int64"})
 
 
+def known_states(deliveries: DataFrame) -> DataFrame:
+    """State to start a stream from: the open deliveries of a store, with the next attempt of those that wait for one."""
+    waits = F.when(F.col("status") == "FAILED", F.unix_millis("next_attempt_at"))
+    return deliveries.filter(F.col("status").isin(*OPEN)).select(
+        F.col("id").alias("delivery_id"), "status", F.col("attempt_count").alias("attempts"), waits.alias("due_ms")
+    )
+
+
 def delivery_state_stream(
-    outcomes: DataFrame, specs: Sequence[FlowSpec], late: str = "10 minutes"
+    outcomes: DataFrame,
+    specs: Sequence[FlowSpec],
+    late: str = "10 minutes",
+    forget: timedelta = timedelta(days=1),
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Stream of status changes per delivery; a `DUE` row when its next attempt is due.
 
+    `known` (see `known_states`) is what the first start of the stream begins with.
+    Finished deliveries are forgotten `forget` after they ended, in event time.
+
     `outcomes` needs delivery_id, pipeline_id, destination_id, max_attempts, finished_at,
     net_code, status, headers. Event time is `finished_at`; timers fire when the
     watermark passes them. Needs the RocksDB state store.
@@ -107,8 +140,9 @@ def delivery_state_stream(
         delays.alias("delays"),
     )
     return rows.groupBy("delivery_id").transformWithStateInPandas(
-        statefulProcessor=DeliveryProcessor(),
+        statefulProcessor=DeliveryProcessor(int(forget.total_seconds() * 1000)),
         outputStructType=CHANGE_SCHEMA,
         outputMode="Append",
         timeMode="EventTime",
+        initialState=None if known is None else known.groupBy("delivery_id"),
     )
