@@ -138,8 +138,9 @@ def append_events(events: DataFrame, ledger: Ledger, batch_id: str) -> None:
     newest, start = ledger.manifest(spark).start_of(batch_id)
     rows = _write_partition(events, ledger, newest.layout, batch_id)
     held = [e for e in start.entries if e.part != batch_id]
-    entry = Entry(newest.number + 1, batch_id, 0, rows)
-    ledger.manifest(spark).commit(newest, batch_id, start.number, [*held, entry])
+    # A batch without new events has no partition.
+    entries = [Entry(newest.number + 1, batch_id, 0, rows)] if rows else []
+    ledger.manifest(spark).commit(newest, batch_id, start.number, [*held, *entries])
 
 
 def _write_partition(rows: DataFrame, ledger: Ledger, layout: int, name: str, table: str = "events") -> int:
@@ -208,7 +209,7 @@ def remove_events(spark: SparkSession, ledger: Ledger, victims: DataFrame) -> in
     kept = _plain(spark, ledger, version.layout, sorted(touched)).join(victims.select(*KEY), list(KEY), "left_anti")
     rows = _write_partition(kept, ledger, version.layout, name)
     rest = [e for e in version.entries if e.part not in touched]
-    manifest.commit(version, None, 0, [*rest, Entry(version.number + 1, name, level, rows)])
+    manifest.commit(version, None, 0, [*rest, *([Entry(version.number + 1, name, level, rows)] if rows else [])])
     _drop_partitions(spark, ledger, version.layout, sorted(touched))
     return sum(touched.values())
 

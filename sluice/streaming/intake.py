@@ -8,7 +8,7 @@ a replayed micro-batch replaces its own partitions.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +19,7 @@ from sluice.sinks.ledger import Ledger, open_ledger
 from sluice.sources.pages import page_documents
 from sluice.sources.requests import read_requests, request_documents
 from sluice.spec import FlowSpec, PollSource
+from sluice.streaming.cycles import hold_cycles
 
 Clock = Callable[[], datetime]
 
@@ -42,16 +43,25 @@ def run_stream(
     clock: Clock = _utc_now,
     route_on: str = "last",
     trigger: dict | None = None,
+    hold: timedelta | None = None,
 ) -> StreamingQuery:
     """Start the intake of a stream of landed pages or requests into a ledger.
 
-    Pages of one poll cycle must land together (one file or one trigger): the
-    cuts after a failed or last page look at the cycle within its micro-batch.
+    The cuts after a failed or last page look at a poll cycle as a whole. With
+    `hold` its pages may land in any order and in several triggers: they wait
+    until none has come for that long (see `sluice.streaming.cycles`). Without it
+    the pages of a cycle must land together.
     """
+    if hold is not None and isinstance(spec.source, PollSource):
+        source = hold_cycles(source, hold, late=f"{int(hold.total_seconds())} seconds")
+
+    opened: list[bool] = []
 
     def take(batch: DataFrame, batch_id: int) -> None:
         spark = configure(batch.sparkSession)
-        open_ledger(spark, ledger)
+        if not opened:  # once per start: later batches find the tables registered
+            open_ledger(spark, ledger)
+            opened.append(True)
         name = f"{spec.id}-{batch_id:012d}"
         run_batch(documents_of(batch, spec), spec, ledger, name, clock(), route_on)
 

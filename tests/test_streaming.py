@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from sluice.sinks.ledger import Ledger, append_deliveries, open_ledger, open_del
 from sluice.sources.pages import page_documents
 from sluice.spec import DedupeSpec, DestinationSpec, FlowSpec, PollSource, RetrySpec
 from sluice.streaming.dedupe import dedupe_stream
-from sluice.streaming.delivery import delivery_state_stream
+from sluice.streaming.delivery import INITIAL_SCHEMA, delivery_state_stream
 from sluice.streaming.intake import run_stream
 from sluice.streaming.rates import rate_counts
 
@@ -206,3 +206,76 @@ def test_delivery_state_stream(spark, tmp_path):
     assert not any(r[0] == "b" and r[2] > 1 for r in got)
     due = {r.due_ms - r.at_ms for r in spark.table("states").collect() if r.delivery_id == "a" and r.status == "FAILED"}
     assert due == {15_000, 60_000}
+
+
+def test_pages_of_a_cycle_over_several_triggers_and_out_of_order(spark, sf_dir, tmp_path):
+    spec = frames.poll_flow()
+    landed = frames.landed_pages(spark, sf_dir)
+    rows = landed.filter("cycle_id < 4").collect()
+    kept = spark.createDataFrame(rows, landed.schema)
+    landing = str(tmp_path / "landing")
+    # later pages first; the last file only moves the watermark on
+    for share in (3, 1, 0, 2):
+        mine = [r for r in rows if r.page % 4 == share]
+        spark.createDataFrame(mine, landed.schema).coalesce(1).write.mode("append").parquet(landing)
+    late = frames.NOW + timedelta(hours=9)
+    for i in range(2):
+        end = [(99, 1 + i, late + timedelta(hours=i), '{"itens":[]}', 200)]
+        spark.createDataFrame(end, landed.schema).coalesce(1).write.mode("append").parquet(landing)
+
+    batch = open_ledger(spark, Ledger(str(tmp_path / "batch"), "t_cycle_batch", buckets=2))
+    run_batch(page_documents(kept, spec), spec, batch, "b", frames.NOW)
+    stream = open_ledger(spark, Ledger(str(tmp_path / "stream"), "t_cycle_stream", buckets=2))
+    source = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    query = run_stream(source, spec, stream, str(tmp_path / "ck"), clock=lambda: frames.NOW, hold=timedelta(minutes=30))
+    query.awaitTermination(600)
+    assert query.exception() is None
+    open_ledger(spark, stream)
+    assert _tables(spark, stream) == _tables(spark, batch)
+
+
+def test_finished_deliveries_are_forgotten_and_a_stream_starts_from_stored_state(spark, tmp_path):
+    flow = FlowSpec(
+        id="f",
+        source=PollSource(url="https://o.example", items_path="itens"),
+        dedupe=DedupeSpec(fields=("id",)),
+        transform={},
+        destinations=(DestinationSpec(id="d", url="https://d.example", retry=RetrySpec(attempts=3, jitter=0)),),
+    )
+    schema = (
+        "delivery_id string, pipeline_id string, destination_id string, max_attempts int, "
+        "finished_at timestamp, net_code string, status int, headers map<string,string>"
+    )
+
+    def at(hour: int) -> datetime:
+        return datetime(2024, 1, 1, hour)
+
+    landing = str(tmp_path / "results")
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(landing)
+
+    known = spark.createDataFrame([("w", "FAILED", 2, None), ("p", "PENDING", 0, None)], INITIAL_SCHEMA)
+
+    def run(first: bool):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        changes = delivery_state_stream(source, [flow], "1 minute", timedelta(hours=1), known)
+        query = (
+            changes.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+            .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination(300)
+        assert query.exception() is None
+        return query
+
+    ok = ("f", "d", 3)
+    land(("w", *ok, at(0), None, 500, None), ("b", *ok, at(0), None, 200, None), ("c", *ok, at(0), None, 404, None))
+    run(True)
+    land(("z", *ok, at(5), None, 500, None))
+    land(("z", *ok, at(6), None, 500, None))
+    run(False)
+    got = {(r.delivery_id, r.status, r.attempts) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert ("w", "DISCARDED", 3) in got, "the stored attempts count"
+    assert {("b", "DELIVERED", 1), ("c", "DISCARDED", 1), ("z", "FAILED", 2)} <= got
+    left = spark.read.format("statestore").option("stateVarName", "delivery").load(str(tmp_path / "ck"))
+    assert {r.key.delivery_id for r in left.select("key").collect()} == {"p", "z"}, "b, c and w are forgotten"
