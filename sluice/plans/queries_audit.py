@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.dates import month_partition
@@ -13,7 +13,7 @@ from sluice.operators import audit, retention
 from sluice.operators.redaction import mask_error
 from sluice.plans import frames
 from sluice.plans.intake import plan_intake
-from sluice.plans.queries_intake import KEYED_SQL, PAGES_SQL, gated_requests, intake
+from sluice.plans.queries_intake import KEYED_SQL, PAGES_SQL, gated_requests, intake, sql_uuid7
 from sluice.plans.registry import query
 from sluice.sources.requests import request_documents
 
@@ -152,13 +152,15 @@ item AS (
 ),
 firsts AS (
   SELECT *, first_value(r) OVER (PARTITION BY src ORDER BY t0, CAST(r AS VARCHAR), idx) AS first_r,
+         first_value(t0) OVER (PARTITION BY src ORDER BY t0, CAST(r AS VARCHAR), idx) AS first_t0,
          row_number() OVER (PARTITION BY src ORDER BY t0, CAST(r AS VARCHAR), idx) AS nth
   FROM item WHERE keep AND src IS NOT NULL
 ),
 outc AS (
   SELECT item.r, item.n, CASE WHEN NOT item.keep THEN 'filtered' WHEN item.src IS NULL THEN 'rejected'
               WHEN firsts.r = firsts.first_r THEN 'accepted' ELSE 'duplicate' END AS status,
-         firsts.src AS key, coalesce(firsts.nth = 1, false) AS is_first
+         firsts.src AS key, coalesce(firsts.nth = 1, false) AS is_first, item.idx,
+         CASE WHEN firsts.src IS NOT NULL THEN @EVENT@ END AS event_id
   FROM item LEFT JOIN firsts USING (n)
 ),
 runs AS (
@@ -169,7 +171,7 @@ runs AS (
          count(n) FILTER (status IN ('accepted', 'duplicate')) AS keyed
   FROM req LEFT JOIN outc USING (r) GROUP BY req.r
 )
-"""
+""".replace("@EVENT@", sql_uuid7("epoch_us(first_t0) // 1000", "'recepcao|' || sha256(firsts.src)"))
 
 
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +190,8 @@ def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(r AS VARCHAR) AS ingest_id, received, accepted, duplicates, filtered, rejected,
            CASE WHEN accepted = 0 AND rejected = 0 AND duplicates > 0 THEN 200
                 WHEN accepted = 0 AND rejected > 0 THEN 400 ELSE 202 END AS http_status,
-           received AS n_items
-    FROM runs
+           coalesce(items, '') AS items
+    FROM runs LEFT JOIN (SELECT r, string_agg(idx || ':' || status || ':' || coalesce(event_id, ''), ',' ORDER BY idx) AS items FROM outc GROUP BY r) USING (r)
     """,
 )
 def agg5_request_response(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +204,14 @@ def agg5_request_response(spark: SparkSession, sf_dir: str) -> DataFrame:
         "filtered",
         "rejected",
         "http_status",
-        F.size("items").alias("n_items"),
+        F.array_join(F.transform("items", _item_text), ",").alias("items"),
     )
 
 
+def _item_text(item: Column) -> Column:
+    return F.concat_ws(":", item["index"].cast("string"), item["status"], F.coalesce(item["event_id"], F.lit("")))
+
+
 @query(
     "agg2_partial_runs",
     _REQUESTS_SQL

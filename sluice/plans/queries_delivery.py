@@ -192,11 +192,12 @@ def dlv2_claim_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN owned AND next_status = 'DELIVERED' THEN {NOW_MS} END AS delivered_ms,
            CASE WHEN NOT owned THEN lease_token END AS lease_token,
            CASE WHEN owned THEN code END AS response_status,
-           CASE WHEN owned AND net_code IS NULL THEN CASE keep WHEN 'FULL' THEN body_length WHEN 'TRUNCATED' THEN CASE WHEN body_length > 4096 THEN 4110 ELSE body_length END END END AS response_length,
+           CASE WHEN owned AND net_code IS NULL THEN CASE keep WHEN 'FULL' THEN repeat('r', body_length) WHEN 'TRUNCATED' THEN
+             CASE WHEN body_length > 4096 THEN repeat('r', 4096) || 'TAIL' ELSE repeat('r', body_length) END END END AS response_body,
            CASE WHEN owned THEN sha256('{{"pedido":"' || n || '"}}') END AS request_body_sha256,
            CASE WHEN owned THEN duration_ms END AS duration_ms
     FROM routed
-    """.replace("4110", str(4096 + len(M.TRUNCATED))),
+    """.replace("TAIL", M.TRUNCATED),
 )
 def dlv4_dlv7_apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = delivery.apply_outcomes(
@@ -212,7 +213,7 @@ def dlv4_dlv7_apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         millis("delivered_at").alias("delivered_ms"),
         "lease_token",
         "response_status",
-        F.length("response_body").alias("response_length"),
+        "response_body",
         "request_body_sha256",
         "duration_ms",
     )
@@ -324,8 +325,8 @@ def dlv10_invalid_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dlv11_retain_body",
     f"""
-    SELECT doc_id, keep, CASE keep WHEN 'FULL' THEN length(text) WHEN 'TRUNCATED' THEN CASE WHEN length(text) > 8192 THEN {8192 + len(M.TRUNCATED)} ELSE length(text) END END AS request_length,
-           CASE keep WHEN 'FULL' THEN length(text) WHEN 'TRUNCATED' THEN CASE WHEN length(text) > 4096 THEN {4096 + len(M.TRUNCATED)} ELSE length(text) END END AS response_length,
+    SELECT doc_id, keep, CASE keep WHEN 'FULL' THEN text WHEN 'TRUNCATED' THEN CASE WHEN length(text) > 8192 THEN substr(text, 1, 8192) || '{M.TRUNCATED}' ELSE text END END AS request_body,
+           CASE keep WHEN 'FULL' THEN text WHEN 'TRUNCATED' THEN CASE WHEN length(text) > 4096 THEN substr(text, 1, 4096) || '{M.TRUNCATED}' ELSE text END END AS response_body,
            strlen(text) AS request_body_bytes, sha256(text) AS request_body_sha256, substr(text, 1, 2000) AS error_message
     FROM documents, (VALUES ('FULL'), ('TRUNCATED'), ('HASH_ONLY')) t(keep)
     """,
@@ -343,8 +344,8 @@ def dlv11_retain_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id",
         F.col("persist_body").alias("keep"),
-        F.length("request_body").alias("request_length"),
-        F.length("response_body").alias("response_length"),
+        "request_body",
+        "response_body",
         "request_body_bytes",
         "request_body_sha256",
         "error_message",

@@ -36,6 +36,13 @@ def sql_uuid7(ms: str, material: str) -> str:
     )
 
 
+# One event as the JSON item of `frames.item_json`.
+ITEM_SQL = """
+'{"type":"' || event_type || '","event_id":' || event_id || ',"code":' || CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '"' || user_id || '"' END ||
+',"value":' || CAST(value AS VARCHAR) || ',"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","props":' || props || ',"flag":' ||
+CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN '"sim"' ELSE '"x"' END ||
+CASE event_id % 5 WHEN 1 THEN ',"note":null' WHEN 2 THEN ',"note":""' WHEN 3 THEN ',"note":"  n' || user_id || ' "' WHEN 4 THEN ',"note":"Nota"' ELSE '' END || '}'
+""".strip()
 # Landed pages as SQL: which pages a cycle keeps, and how each ends.
 PAGES_SQL = """
 ev AS (
@@ -178,13 +185,16 @@ def src1_wrap_non_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "src2_read_requests",
-    """
-    WITH r AS (
-      SELECT event_id // 5 AS request_id, count(*) AS n FROM events GROUP BY 1
+    f"""
+    WITH item AS (SELECT event_id AS n, {ITEM_SQL} AS j FROM events),
+    r AS (SELECT n // 5 AS request_id, string_agg(j, ',' ORDER BY n) AS items FROM item GROUP BY 1),
+    b AS (
+      SELECT request_id, CASE WHEN request_id % 17 = 3 THEN '{{"eventos":[' || items WHEN request_id % 17 = 5 THEN '[' || items || ']'
+                              ELSE '{{"eventos":[' || items || ']}}' END AS body FROM r
     )
     SELECT request_id, request_id % 17 <> 3 AS has_doc, request_id % 17 = 5 AS wrapped,
-           'application/json' AS content_type, 1 AS page, 64 AS hash_length
-    FROM r
+           'application/json' AS content_type, 1 AS page, strlen(body) AS body_bytes, sha256(body) AS body_sha256
+    FROM b
     """,
 )
 def src2_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +205,8 @@ def src2_read_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.try_variant_get("doc", "$.value", "variant").isNotNull(), F.lit(False)).alias("wrapped"),
         "content_type",
         "page",
-        F.length("body_sha256").alias("hash_length"),
+        F.col("body_bytes").cast("bigint").alias("body_bytes"),
+        "body_sha256",
     )
 
 

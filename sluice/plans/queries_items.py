@@ -13,9 +13,9 @@ from sluice.functions.variants import (
     bind,
     canonical_json,
     extract_paths,
+    is_object,
     item_hash,
     number_of_text,
-    parse_body,
     path_get,
     strip_nul,
     type_class,
@@ -24,6 +24,7 @@ from sluice.operators.filtering import filter_items
 from sluice.operators.keys import dedupe_key, with_dedupe_key
 from sluice.plans import frames
 from sluice.plans.registry import query
+from sluice.sources.pages import page_documents
 from sluice.spec import DedupeSpec, compile_transform
 
 NOTE = """CASE event_id % 5 WHEN 2 THEN '' WHEN 3 THEN '  n' || user_id || ' ' WHEN 4 THEN 'Nota' END"""
@@ -515,17 +516,30 @@ def cst2_long_based_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "src1_bodies_past_reader_limits",
-    "SELECT event_id, event_id % 5 IN (0, 1, 4) AS has_doc FROM events",
+    """
+    SELECT CAST(event_id // 50 AS VARCHAR) AS ingest_id, CAST(event_id // 10 % 5 + 1 AS INTEGER) AS page, CAST(NULL AS VARCHAR) AS error_code,
+           CASE WHEN event_id // 10 % 5 = 2 THEN 1 ELSE 2 END AS n_items
+    FROM events GROUP BY ALL
+    """,
 )
 def src1_bodies_past_reader_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long numbers and deep nesting are read; a body that plays the end of the text is not."""
-    n = F.col("event_id") % 5
-    body = (
-        F.when(n == 0, F.concat(F.lit('{"a":'), F.repeat(F.lit("1"), 1_100), F.lit("}")))
-        .when(n == 1, F.concat(F.repeat(F.lit("["), 900), F.repeat(F.lit("]"), 900)))
-        .when(n == 2, F.lit('1,"\u241e"],['))
-        .when(n == 3, F.concat("props", F.lit(" {}")))
-        .otherwise(F.col("props"))
+    """Pages with a number of 1,100 digits, 900 nested levels and, once in 10,000 events, a string of more than
+    20,000,000 characters: they are read, and the pages behind them are not lost."""
+    n = F.col("event_id")
+    cycle, page = F.floor(n / 50), (F.floor(n / 10) % 5 + 1).cast("int")
+    landed = frames.table(spark, sf_dir, "events").groupBy(cycle.alias("cycle_id"), page.alias("page")).agg(F.count("*").alias("n"))
+    text = F.repeat(F.lit("x"), F.when(F.col("cycle_id") % 200 == 0, F.lit(20_000_001)).otherwise(F.lit(1)))
+    deep = F.concat(F.repeat(F.lit("["), 900), F.repeat(F.lit("]"), 900))
+    odd = (
+        F.when(F.col("page") == 1, F.concat(F.lit('{"s":"'), text, F.lit('"}')))
+        .when(F.col("page") == 2, F.concat(F.lit('{"n":'), F.repeat(F.lit("1"), 1_100), F.lit("}")))
+        .when(F.col("page") == 3, deep)
+        .when(F.col("page") == 4, F.concat(F.lit('{"a":'), deep, F.lit("}")))
+        .otherwise(F.lit("{}"))
     )
-    events = frames.table(spark, sf_dir, "events")
-    return events.select("event_id", parse_body(body).isNotNull().alias("has_doc"))
+    body = F.concat(F.lit('{"itens":['), odd, F.lit(',{"k":1}],"totalRegistros":999999}'))
+    at = F.timestamp_seconds(F.unix_seconds(F.lit(frames.NOW).cast("timestamp")) + F.col("cycle_id") * 60 + F.col("page"))
+    pages = landed.select("cycle_id", "page", at.alias("fetched_at"), body.alias("body"), F.lit(200).alias("http_status"))
+    documents = page_documents(pages, frames.poll_flow())
+    found = F.filter(F.try_variant_get("doc", "$.itens", "array<variant>"), is_object)
+    return documents.select("ingest_id", "page", "error_code", F.size(found).alias("n_items"))
