@@ -59,11 +59,46 @@ def cut(text: Column, limit: int = M.MAX_MESSAGE) -> Column:
     ).otherwise(text)
 
 
+def any_of(values: Iterable[str]) -> str:
+    """One pattern for many texts, as a prefix tree: of those that start at a place the longest matches.
+
+    A text is followed down the tree once per start, whatever the number of values.
+    """
+    root: dict = {}
+    for value in values:
+        node = root
+        for character in value:
+            node = node.setdefault(character, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = []
+        for character in sorted(c for c in node if c):
+            run, below = re.escape(character), node[character]
+            while len(below) == 1 and "" not in below:  # a run without branches stays one piece
+                ((only, deeper),) = below.items()
+                run, below = run + re.escape(only), deeper
+            branches.append(run + pattern(below))
+        if not branches:
+            return ""
+        inner = f"(?:{'|'.join(branches)})" if len(branches) > 1 or "" in node else branches[0]
+        return inner + "?" if "" in node else inner
+
+    return pattern(root)
+
+
 def scrub(text: Column, secrets: Iterable[str] = ()) -> Column:
-    """Replace known secret values wherever they appear, then cut at 2000 characters."""
-    for secret in _known(secrets):
-        text = F.replace(text, F.lit(secret), F.lit(_mask_text(secret)))
-    return cut(text)
+    """Replace known secret values wherever they appear, then cut at 2000 characters.
+
+    All values are looked for at once; of two that overlap the one that starts first is replaced.
+    """
+    known = _known(secrets)
+    if not known:
+        return cut(text)
+    pattern = any_of(known)
+    masked = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), mask_value)
+    pieces = F.zip_with(F.split(text, pattern, -1), masked, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return cut(F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text))
 
 
 def secret_name(name: Column) -> Column:
@@ -177,20 +212,20 @@ def _dump(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def _mask_node(node: object, secrets: list[str], depth: int) -> object:
+def _mask_node(node: object, known: re.Pattern | None, depth: int) -> object:
     if depth > M.MAX_MASK_DEPTH:
         return M.TOO_DEEP
     if isinstance(node, str):
-        for secret in secrets:
-            node = node.replace(secret, _mask_text(secret))
+        if known is not None:
+            node = known.sub(lambda m: _mask_text(m[0]), node)
         return node if len(node) <= M.MAX_MESSAGE else node[: M.MAX_MESSAGE] + M.TRUNCATED
     if isinstance(node, list):
-        return [_mask_node(v, secrets, depth + 1) for v in node]
+        return [_mask_node(v, known, depth + 1) for v in node]
     if isinstance(node, dict):
         return {
             k: _mask_text(v if isinstance(v, str) else _dump(v))
             if re.search(SECRET_NAME, k, re.IGNORECASE)
-            else _mask_node(v, secrets, depth + 1)
+            else _mask_node(v, known, depth + 1)
             for k, v in node.items()
         }
     return node
@@ -199,10 +234,11 @@ def _mask_node(node: object, secrets: list[str], depth: int) -> object:
 def mask_body(raw: Column, secrets: Iterable[str] = ()) -> Column:
     """JSON text with sensitive members masked at any depth; text that is not JSON is scrubbed.
 
-    The nesting is open-ended, which column expressions cannot follow, so this
-    is the one Arrow-batched Python function here.
+    Members are masked down to a fixed depth, below it all is cut off. This is the
+    one Arrow-batched Python function here.
     """
-    known = _known(secrets)
+    listed = _known(secrets)
+    known = re.compile(any_of(listed)) if listed else None
 
     @F.pandas_udf("string")
     def masked(bodies: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import audit, delivery
+from sluice.operators.keys import with_dedupe_key
 from sluice.operators.retention import policy_frame
 from sluice.plans import frames
 from sluice.plans.deliver import CycleLimits, add_deliveries, delivery_store, run_cycle
@@ -21,6 +22,10 @@ from sluice.plans.run import run_batch
 from sluice.sinks.keyed import KeyedTable
 from sluice.sinks.ledger import Ledger, append_events, events_of, open_ledger
 from sluice.sources.pages import page_documents
+from sluice.spec import DedupeSpec
+from sluice.streaming.dedupe import dedupe_stream
+from sluice.streaming.delivery import delivery_state_stream
+from sluice.streaming.intake import run_stream
 
 SECOND = DELIVERY_NOW + timedelta(days=1)
 SECOND_MS = NOW_MS + 86_400_000
@@ -203,6 +208,76 @@ def snk3_stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- the same from streams ----------------------------------------------------
+
+
+def _landed(rows: DataFrame, folder: str) -> DataFrame:
+    """Rows written to a landing folder, and the stream that reads it."""
+    rows.write.parquet(f"{folder}/landing")
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/landing")
+
+
+def _written(changes: DataFrame, folder: str) -> DataFrame:
+    """Everything a stream gives for what has landed, as files."""
+    writer = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return changes.sparkSession.read.schema(changes.schema).parquet(f"{folder}/out")
+
+
+@query(
+    "str1_streamed_events",
+    f"""
+    WITH {PAGES_SQL},
+    keyed AS (SELECT *, sha256(src) AS key, row_number() OVER (PARTITION BY src ORDER BY ms, idx) AS nth FROM it WHERE keep)
+    SELECT {sql_uuid7("ms", "'coleta|' || key")} AS id, ms AS created_ms, key AS dedupe_key, src AS dedupe_source, {RUN_ID} AS run_id
+    FROM keyed WHERE nth = 1
+    """,
+)
+def str1_streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages through the continuous intake into a ledger."""
+    spec, folder = frames.poll_flow(), frames.work_folder(spark, "stream")
+    ledger = Ledger(folder, f"q_{folder[-32:]}", buckets=8)
+    source = _landed(frames.landed_pages(spark, sf_dir), folder)
+    run_stream(source, spec, ledger, f"{folder}/checkpoint", clock=lambda: frames.NOW).awaitTermination()
+    stored = events_of(spark, open_ledger(spark, ledger))
+    return stored.select("id", millis("created_at").alias("created_ms"), "dedupe_key", "dedupe_source", "run_id")
+
+
+@query(
+    "str2_deduped_keys",
+    "SELECT DISTINCT 'f' AS pipeline_id, sha256('field:code=' || user_id || '|field:type=' || event_type) AS dedupe_key FROM events",
+)
+def str2_deduped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of all events through the dedupe that forgets (here within its time)."""
+    spec, folder = DedupeSpec(fields=("code", "type")), frames.work_folder(spark, "deduped")
+    items = _landed(frames.table(spark, sf_dir, "events"), folder).select(
+        F.lit("f").alias("pipeline_id"), frames.utc("ts").alias("run_created_at"), F.parse_json(frames.item_json()).alias("item")
+    )
+    return _written(dedupe_stream(with_dedupe_key(items, spec), spec).select("pipeline_id", "dedupe_key"), folder)
+
+
+@query(
+    "str3_streamed_states",
+    f"""
+    WITH {DELIVERIES_SQL}
+    SELECT id AS delivery_id, CASE kind WHEN 'SUCCESS' THEN 'DELIVERED' WHEN 'NON_RETRYABLE' THEN 'DISCARDED' ELSE 'FAILED' END AS status, 1 AS attempts
+    FROM routed WHERE lease_s IS NOT NULL
+    """,
+)
+def str3_streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first result of every delivery through the state stream."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    folder = frames.work_folder(spark, "states")
+    identity = frames.deliveries(spark, sf_dir).select(F.col("id").alias("delivery_id"), "pipeline_id", "destination_id", "max_attempts")
+    results = frames.attempt_outcomes(spark, sf_dir).select("delivery_id", "finished_at", "net_code", "status", "headers")
+    changes = delivery_state_stream(_landed(results.join(identity, "delivery_id"), folder), frames.delivery_flows())
+    found = _written(changes, folder).filter(F.col("status") != "DUE")
+    return found.select("delivery_id", "status", "attempts")
+
+
 # --- retention, counters, durations ------------------------------------------
 
 PURGE_DAYS, PURGE_BATCH = 2_000, 3_000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import json
 from datetime import datetime, timedelta
 
@@ -535,3 +537,27 @@ def test_canonical_numbers_and_escapes(spark):
     texts = [r.t for r in df.select(variants.canonical_json(F.col("doc")).alias("t")).collect()]
     assert texts[0] == texts[1] == '{"a":[5e-7,15000000,1e+21,-2,0.1,12],"b":1000}'
     assert texts[2] == '{"s":"1.0E7 \\" 2.0","t":"\\u001f\\u000b\\\\u001F"}'
+
+
+def test_scrub_of_thousands_of_secrets(spark):
+    import random
+    import re
+
+    from sluice.functions.redact import any_of, scrub
+
+    rng = random.Random(8)
+    secrets = [f"{rng.choice(['sk-', 'tok_', 'a.b*', ''])}{rng.randrange(10**9):09d}{'x' * rng.randrange(4)}" for _ in range(5_000)]
+    secrets += ["prefix-abc", "prefix-abcdef", "short"]
+    pattern = re.compile(any_of(s for s in secrets if len(s) >= 8))
+    assert pattern.sub("#", "prefix-abcdefg prefix-abcx short") == "#g #x short"
+    texts = [f"call {rng.choice(secrets)} and {rng.choice(secrets)}!" for _ in range(40)] + ["nothing here", "", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    scrubbed = frame.select("t", scrub(F.col("t"), secrets).alias("s"))
+    for text, masked in scrubbed.collect():
+        if text is None:
+            assert masked is None
+            continue
+        assert not any(s in masked for s in secrets if len(s) >= 8)
+        assert masked == pattern.sub(lambda m: "***[" + hashlib.sha256(m[0].encode()).hexdigest()[:8] + "]", text)
+    plan = scrubbed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == 0 and "Python" not in plan
