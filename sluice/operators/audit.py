@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.operators.dedupe import KEY
+from sluice.operators.dedupe import KEY, RUN_ORDER
 from sluice.operators.skew import attach_by_key
 from sluice.spec import FlowSpec, PollSource
 
@@ -89,6 +89,40 @@ def run_counts(outcomes: DataFrame) -> DataFrame:
     return by_key.select(*of_run, "items_received", "items_filtered_out", "items_duplicate", *list(counts)[2:])
 
 
+def run_counts_of_entries(entries: DataFrame, ledger: DataFrame, route_on: str = "last") -> DataFrame:
+    """The rows of `run_counts`, from the entries of an intake and the stored events.
+
+    Items are counted per (run, key) first: what meets the ledger and comes back is one
+    row per run and key, not one per item, and bodies are read for it once.
+    """
+    of_run = (*RUN, "http_status", "total_record_count", "error_code", "error_message")
+    by_index = F.col("idx") if route_on == "last" else -F.col("idx")
+    n_routes = F.max_by(F.coalesce(F.size("routes"), F.lit(0)), by_index)
+    per_key = entries.groupBy(*of_run, "state", "dedupe_key").agg(F.count(F.lit(1)).alias("n"), n_routes.alias("n_routes"))
+    # All of a row is asked for here and no row is left out (those without a key find no partner), so that both uses of
+    # the counts are one exchange.
+    first = F.min_by(F.struct("run_id", "state", "n", "n_routes", *of_run[-4:]), F.struct(*RUN_ORDER))
+    firsts = per_key.groupBy(*KEY).agg(first.alias("_first"))
+    seen = ledger.select(*KEY, F.lit(True).alias("_seen"))
+    resolved = firsts.join(seen, list(KEY), "left").select(*KEY, F.when(F.col("_seen").isNull(), F.col("_first")).alias("_new"))
+    rows = per_key.join(resolved, list(KEY), "left")
+    keyed = F.col("state") == "keyed"
+    new = F.coalesce(keyed & (F.col("_new.run_id") == F.col("run_id")), F.lit(False))
+
+    def items(*states: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("state").isin(*states), F.col("n"))), F.lit(0))
+
+    return rows.groupBy(*of_run).agg(
+        items("keyed", "filtered", "rejected").alias("items_received"),
+        items("filtered").alias("items_filtered_out"),
+        F.count_if(keyed & ~new).alias("items_duplicate"),
+        F.count_if(new).alias("items_new"),
+        F.coalesce(F.sum(F.when(new, F.col("n_routes"))), F.lit(0)).alias("deliveries_created"),
+        items("rejected", "unsplit").alias("items_rejected"),
+        items("keyed").alias("items_keyed"),
+    )
+
+
 def run_status(counts: DataFrame) -> DataFrame:
     """Add `status` to run rows.
 
@@ -123,7 +157,14 @@ def run_rows(
     tell URL, type, size, address, trace, end and duration. The duration is what the
     source measured, else the time from the run's start to the end of its batch.
     """
-    runs = run_status(run_counts(outcomes))
+    return run_rows_of_counts(run_counts(outcomes), trigger, facts, finished)
+
+
+def run_rows_of_counts(
+    counts: DataFrame, trigger: str, facts: DataFrame | None = None, finished: datetime | Column | None = None
+) -> DataFrame:
+    """The same from counts per run."""
+    runs = run_status(counts)
     about = []
     if facts is not None:
         runs = runs.join(facts, "run_id", "left")

@@ -14,6 +14,7 @@ from sluice.operators.redaction import mask_error
 from sluice.plans import frames
 from sluice.plans.intake import plan_intake
 from sluice.plans.queries_intake import KEYED_SQL, PAGES_SQL, gated_requests, intake, sql_uuid7
+from sluice.plans.queries_intake import ledger as stored_keys
 from sluice.plans.registry import query
 from sluice.sources.requests import request_documents
 
@@ -67,8 +68,9 @@ def agg4_item_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def agg1_agg2_run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audit.run_rows(intake(spark, sf_dir).outcomes, "POLL")
-    return rows.select(
+    plan = intake(spark, sf_dir)
+    counts = audit.run_counts_of_entries(plan.entries, stored_keys(spark, sf_dir))
+    return audit.run_rows_of_counts(counts, "POLL").select(
         "run_group_id",
         "request_page",
         frames.millis("created_at").alias("created_ms"),
