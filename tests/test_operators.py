@@ -606,3 +606,13 @@ def test_spec_forms(spark):
     twins = [poll(id="one"), poll(id="two")]
     found = audit.double_delivery(spark, [*twins, poll(id="three", enabled=False)]).collect()
     assert [(r.request_url, r.n_pipelines) for r in found] == [("https://d.example/a", 2)]
+
+
+def test_run_counts_of_entries_equal_those_of_outcomes(spark, sf_dir):
+    from sluice.operators.audit import run_counts, run_counts_of_entries
+    from sluice.plans.queries_intake import intake, ledger
+
+    plan = intake(spark, sf_dir)
+    columns = sorted(run_counts(plan.outcomes).columns)
+    got = run_counts_of_entries(plan.entries, ledger(spark, sf_dir))
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, run_counts(plan.outcomes).select(columns).collect()), key=str)
