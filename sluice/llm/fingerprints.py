@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from sluice.llm.words import chunks, grams, rightmost_minima, small_batches, words
 
@@ -98,11 +100,16 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     buckets = int(min(MAX_BUCKETS, 1 + keyed.count() // BUCKET_ROWS))
-    bounds: list[int] = []
-    if buckets > 1:
+    bounds: list = []
+    if buckets > 1 and isinstance(keyed.schema["id"].dataType, IntegralType):
         steps = [i / buckets for i in range(1, buckets)]
         found = keyed.agg(F.percentile_approx("id", steps, max(10_000, 10 * buckets))).first()[0]
         bounds = sorted(set(found or []))
+    elif buckets > 1:
+        # Ids of any other type that has an order: every so many-th of a bounded sample of them.
+        some = keyed.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(10 * MAX_BUCKETS)
+        found = sorted(r[0] for r in some.collect())
+        bounds = sorted({found[i * len(found) // buckets] for i in range(1, buckets)}) if found else []
 
     def numbered(ids: pa.Array) -> list[int]:
         return [0 if i is None else bisect_right(bounds, i) for i in ids.to_pylist()]
@@ -176,7 +183,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    id_type = to_arrow_type(ordered.schema["id"].dataType)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple] = []

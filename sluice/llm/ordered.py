@@ -38,7 +38,8 @@ def carried(
     """The rows with `nth` (place in the group, from 1), `rank` (number of the group in sorted order, from 1) and, for
     each long column in `sums`, its running sum within the group modulo 2**64 in the column's place.
 
-    Group columns must not be null. Rows that tie in group and order come in any order.
+    Group columns must not be null. Rows that tie in group and order come in any order. The result reads a written
+    table that `scratch.drop` removes.
     """
     spark = frame.sparkSession
     fields = {f.name: f.dataType.simpleString() for f in frame.schema}
@@ -95,13 +96,17 @@ def carried(
 
     names = ", ".join([*(f"`{c}` {t}" for c, t in fields.items()), "nth bigint, rank bigint"])
     if not ends:
-        return spark.createDataFrame([], names)
+        empty = spark.createDataFrame([], names)
+        empty.scratch_path = local.scratch_path
+        return empty
     if not sums:
         # One row per partition, whatever the table holds.
         table = spark.createDataFrame([(p, r, n[0]) for p, (r, n) in offsets.items()], "pass_part int, more_rank bigint, more_nth bigint")
         nth = F.col("pass_nth") + F.when(F.col("pass_group") == 1, F.col("more_nth")).otherwise(0)
         joined = local.join(F.broadcast(table), "pass_part")
-        return joined.select(*fields, nth.alias("nth"), (F.col("pass_group") + F.col("more_rank")).alias("rank"))
+        result = joined.select(*fields, nth.alias("nth"), (F.col("pass_group") + F.col("more_rank")).alias("rank"))
+        result.scratch_path = local.scratch_path
+        return result
 
     def carry_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,4 +122,6 @@ def carried(
                 [*(out[c] for c in fields), out["pass_nth"], pa.array(groups + rank)], names=[*fields, "nth", "rank"]
             )
 
-    return local.mapInArrow(carry_on, names)
+    result = local.mapInArrow(carry_on, names)
+    result.scratch_path = local.scratch_path
+    return result

@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.ordered import carried
-from sluice.llm.scratch import written
+from sluice.llm.scratch import drop, written
 from sluice.llm.words import BYTE_POWERS, _BYTES, buffers, chunks, mix, prefix_sums, ranges, signed, small_batches
 
 MIN_BYTES = 200
 ANCHOR_BYTES = 64
 STRIDE = 24
+SCAN_BYTES = 1 << 18
 _DOC = ("d1", "d2")
 _SPAN = ("anchor", "span")
 
@@ -70,7 +71,7 @@ def anchor_spans(keyed: DataFrame, min_bytes: int, anchor_bytes: int) -> DataFra
     width = min_bytes - anchor_bytes + 1
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SCAN_BYTES):
             data, bounds = buffers(batch.column("text"))
             if len(data) < min_bytes:
                 continue
@@ -80,17 +81,15 @@ def anchor_spans(keyed: DataFrame, min_bytes: int, anchor_bytes: int) -> DataFra
             gram ^= gram >> np.uint64(32)
             gram *= np.uint64(0xC2B2AE3D27D4EB4F)
             chosen = window_minima(gram, width)
-            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(chosen)]
-            starts = np.arange(len(chosen))
-            whole = starts + min_bytes <= bounds[text + 1]
-            starts, text, chosen = starts[whole], text[whole], chosen[whole]
-            if not len(starts):
+            whole = np.arange(min_bytes, min_bytes + len(chosen)) <= np.repeat(bounds[1:], np.diff(bounds))[: len(chosen)]
+            # Between whole windows of two texts lie others, so a run of windows with one anchor is within one text.
+            moved = np.concatenate([[True], chosen[1:] != chosen[:-1], [True]])
+            first = np.flatnonzero(whole & (moved[:-1] | ~np.concatenate([[False], whole[:-1]])))
+            if not len(first):
                 continue
-            new = np.ones(len(starts), bool)
-            new[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])
-            at = np.flatnonzero(new)
-            low, high = starts[at], starts[np.append(at[1:], len(starts)) - 1] + min_bytes
-            text, chosen = text[at], chosen[at]
+            last = np.flatnonzero(whole & (moved[1:] | ~np.concatenate([whole[1:], [False]])))
+            low, high, chosen = first, last + min_bytes, chosen[first]
+            text = np.searchsorted(bounds, low, side="right") - 1
             shape = ((high - low) << 20 | (chosen - low)).astype(np.uint64)
             span = mix(ranges(sums, low, high, BYTE_POWERS) + shape * np.uint64(0x9E3779B97F4A7C15))
             yield pa.RecordBatch.from_arrays(
@@ -150,16 +149,21 @@ def long_names(pieces: DataFrame, stride: int, strides: int) -> DataFrame:
 
     samples = pieces.select(*_SPAN, "at", "piece").mapInArrow(sampled, "anchor bigint, span bigint, i int, away int, part binary")
     samples = written(samples, "samples")  # a sort by range reads its input twice
-    named = carried(samples, ["anchor", "away", "part"], ["span"], name="characters").select(*_SPAN, "i", "rank")
+    named = carried(samples, ["anchor", "away", "part"], ["span"], name="characters")
+    drop(samples)
     reach = 1
     while reach < strides:
         steps = [0, reach, 2 * reach] if 3 * reach <= strides else [0, min(reach, strides - reach), strides - reach]
         spread = _regrouped(named).select(*_SPAN, "names", F.posexplode("names").alias("i", "t0"))
         later = [F.coalesce(F.get("names", F.col("i") + s), F.lit(-1)).alias(f"t{j}") for j, s in enumerate(steps) if j]
         triples = spread.select(*_SPAN, "i", "t0", *later)
-        named = carried(triples, ["t0", "t1", "t2"], list(_SPAN), name="triples").select(*_SPAN, "i", "rank")
+        longer = carried(triples, ["t0", "t1", "t2"], list(_SPAN), name="triples")
+        drop(named)
+        named = longer
         reach = min(3 * reach, strides)
-    return named.withColumnRenamed("rank", "name")
+    names = written(named.select(*_SPAN, "i", F.col("rank").alias("name")), "names")
+    drop(named)
+    return names
 
 
 def _edges(kept: DataFrame, pieces: DataFrame, stride: int, core: int, min_bytes: int) -> DataFrame:
@@ -187,8 +191,8 @@ def _edges(kept: DataFrame, pieces: DataFrame, stride: int, core: int, min_bytes
     return pieces.join(places, list(_SPAN)).mapInArrow(around, schema)
 
 
-def _merged(edges: DataFrame, stride: int, core: int, min_bytes: int) -> DataFrame:
-    """The remaining suffixes of every distinct edge, sorted: which distances to the sample (bits of `mask`) repeat."""
+def _sorted_suffixes(edges: DataFrame, stride: int, core: int, min_bytes: int) -> DataFrame:
+    """The remaining suffixes of every distinct edge, sorted by name, distance to the sample and the bytes around."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,9 +207,16 @@ def _merged(edges: DataFrame, stride: int, core: int, min_bytes: int) -> DataFra
                 yield pa.RecordBatch.from_arrays(arrays, names=["number", "name", "away", "around"])
 
     rows = edges.select("number", "name", "left", "edge").mapInArrow(suffixes, "number bigint, name bigint, away int, around binary")
-    placed = carried(rows, ["name", "away", "around"], ["number"], name="suffixes").select("number", "away", "nth", "rank")
+    rows = written(rows, "remaining")
+    placed = carried(rows, ["name", "away", "around"], ["number"], name="suffixes")
+    drop(rows)
+    return placed
+
+
+def _masks(placed: DataFrame) -> DataFrame:
+    """Per edge the distances (bits of `mask`) whose suffix has an equal neighbour."""
     repeated = placed.where("nth = 2").select("rank")
-    return placed.join(repeated, "rank").groupBy("number").agg(F.expr("bit_or(shiftleft(1, away))").alias("mask"))
+    return placed.select("number", "away", "rank").join(repeated, "rank").groupBy("number").agg(F.expr("bit_or(shiftleft(1, away))").alias("mask"))
 
 
 def repeats(
@@ -224,21 +235,33 @@ def repeats(
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     spans = anchor_spans(keyed, min_bytes, anchor_bytes)
-    distinct = spans.groupBy(*_SPAN).agg(
-        F.count("*").alias("copies"), F.min(F.struct(*_DOC, "start")).alias("one"), F.max("n").alias("n"), F.max("at").alias("at")
-    )
-    distinct = written(distinct.select(*_SPAN, "copies", "one.*", "n", "at"), "spans")
+    # Maxima of a span that occurs once are its place; the others get theirs below. (Plain numbers keep it a hash aggregate.)
+    place = (*_DOC, "start", "n", "at")
+    distinct = written(spans.groupBy(*_SPAN).agg(F.count("*").alias("copies"), *(F.max(c).alias(c) for c in place)), "spans")
     anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    pieces = written(_pieces(keyed, distinct.join(anchors, "anchor").drop("kinds")), "pieces")
-    named = written(long_names(pieces, stride, core // stride), "names")
+    unclear = written(distinct.join(anchors, "anchor").drop("kinds"), "unclear")
+    copied = written(distinct.where("copies > 1").select(*_SPAN), "copied")
+    drop(distinct)
+    occurrences = written(spans.join(copied, list(_SPAN)).select(*_DOC, *_SPAN, "start", "n"), "occurrences")
+    drop(copied)
+    several = unclear.where("copies > 1").select(*_SPAN, "copies", "n", "at")
+    one = several.join(occurrences.drop("n"), list(_SPAN)).groupBy(*_SPAN, "copies", "n", "at").agg(F.min(F.struct(*_DOC, "start")).alias("one"))
+    single = unclear.where("copies = 1")
+    wanted = single.unionByName(one.select(*_SPAN, "copies", "n", "at", "one.*"))
+    pieces = written(_pieces(keyed, wanted), "pieces")
+    drop(unclear)
+    named = long_names(pieces, stride, core // stride)
     shared = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     around = written(_edges(named.join(shared, "name"), pieces, stride, core, min_bytes), "around")
+    drop(pieces, named)
     edges = carried(around, ["name", "left", "edge"], list(_SPAN), name="edges")
-    edges = edges.withColumnRenamed("rank", "number")
+    drop(around)
+    table, edges = edges, edges.withColumnRenamed("rank", "number")
     different = edges.groupBy("number", "name", "left", "edge").agg(F.sum("copies").alias("total"))
     different = written(different, "different")
-    several = different.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    masks = _merged(different.join(several, "name"), stride, core, min_bytes)
+    mixed = different.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    suffixes = _sorted_suffixes(different.join(mixed, "name"), stride, core, min_bytes)
+    masks = _masks(suffixes)
     everything = F.lit((1 << stride) - 1)
     judged = different.select("number", "total").join(masks, "number", "left")
     judged = judged.select("number", F.when(F.col("total") > 1, everything).otherwise(F.col("mask")).alias("mask")).where("mask is not null")
@@ -246,11 +269,13 @@ def repeats(
         *_DOC, F.col("place").alias("start"), F.lit(None).cast("int").alias("n"), "mask",
         F.least("left", F.lit(stride - 1)).alias("far"), (F.lit(min_bytes - core) - (F.length("edge") - F.col("left"))).alias("near"),
     )
-    copied = spans.join(distinct.where("copies > 1").select(*_SPAN), list(_SPAN)).select(
+    whole = occurrences.select(
         *_DOC, "start", "n", F.lit(None).cast("int").alias("mask"), F.lit(0).alias("far"), F.lit(0).alias("near")
     )
-    both = written(copied.unionByName(single), "found")
-    return both.groupBy(*_DOC).agg(F.collect_set(F.struct("start", "n", "mask", "far", "near")).alias("found"))
+    found = whole.unionByName(single).groupBy(*_DOC).agg(F.collect_set(F.struct("start", "n", "mask", "far", "near")).alias("found"))
+    found = written(found, "found")
+    drop(occurrences, table, different, suffixes)
+    return found
 
 
 def covered(size: int, found: list[dict], min_bytes: int) -> np.ndarray:

@@ -66,3 +66,17 @@ def test_equal_texts_and_empty_table(spark):
     got = {r.doc_id: r.grams for r in fingerprints(frame(spark, rows)).collect()}
     assert got[1] == got[2] != got[3]
     assert fingerprints(frame(spark, [])).collect() == with_next(frame(spark, [])).collect() == []
+
+
+def test_ids_of_any_type_with_an_order(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sluice.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
+    rows = [(i, prose(i, 30 + i % 9)) for i in range(60)]
+    plain = {r.doc_id: r for r in fingerprints.with_next(frame(spark, rows)).collect()}
+    for kind, made in (("string", F.format_string("%03d", F.col("doc_id"))), ("decimal(10,0)", F.col("doc_id").cast("decimal(10,0)")), ("date", F.date_from_unix_date(F.col("doc_id").cast("int")))):
+        docs = frame(spark, rows).withColumn("doc_id", made.cast(kind))
+        got = sorted(fingerprints.with_next(docs).collect(), key=lambda r: r.doc_id)
+        assert [(r.edited_sha256, r.near_next) for r in got] == [(plain[i].edited_sha256, plain[i].near_next) for i in range(60)]
