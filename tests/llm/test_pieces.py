@@ -144,4 +144,4 @@ def test_the_cache_is_bounded_by_bytes(monkeypatch):
     for i in range(300):
         word = f"part{i % 90}" * (1 + i % 40)
         assert small.part(word) == plain.part(word) and small.n_best(word[:40], 2) == plain.n_best(word[:40], 2)
-        assert small.held <= 20_000 and len(small.cache) + len(small.ranked) <= 20_000 / 320
+        assert small.held <= 10_000 and len(small.cache) + len(small.older) + len(small.ranked) <= 20_000 / 320
