@@ -38,7 +38,7 @@ N_BEST = 4
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: What a worker keeps of parts and their segmentations, as an estimate of their size in memory.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 96 << 20
 _ENTRY_BYTES = 320
 INF = math.inf
 
@@ -61,7 +61,6 @@ class Pieces:
     model: bytes
     scoring: str = "zipf"
     cache: dict[str, Part] = field(default_factory=dict)
-    older: dict[str, Part] = field(default_factory=dict)
     held: int = 0
     ranked: dict[tuple[str, int], list[tuple[float, list[int]]]] = field(default_factory=dict)
 
@@ -166,10 +165,6 @@ class Pieces:
 
     def part(self, text: str) -> Part:
         found = self.cache.get(text)
-        if found is None:
-            found = self.older.get(text)
-            if found is not None:
-                self.keep(self.cache, text, found, _ENTRY_BYTES + 4 * len(text) + len(found[0]))
         if found is None:
             best, back, loss = self.forward(text)
             ids, known = array("i"), self.pieces.get
@@ -214,14 +209,12 @@ class Pieces:
         return out
 
     def keep(self, cache: dict, key: object, value: object, size: int) -> None:
-        """Remember a result. At half of CACHE_BYTES a new generation begins: parts asked for again move into it, the
-        others go with the generation after."""
-        if self.held + size > CACHE_BYTES // 2:
-            self.older, self.cache = self.cache, {}
+        """Remember a result; both caches start anew when they would hold more than CACHE_BYTES."""
+        if self.held + size > CACHE_BYTES:
+            self.cache.clear()
             self.ranked.clear()
             self.held = 0
-            cache = self.cache if cache is self.older else cache
-        if size <= CACHE_BYTES // 2:
+        if size <= CACHE_BYTES:
             cache[key] = value
             self.held += size
 
