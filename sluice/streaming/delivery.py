@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +17,7 @@ STATE_SCHEMA = "status string, attempts int"
 INITIAL_SCHEMA = "delivery_id string, status string, attempts int, due_ms bigint"
 FINISHED = ("DELIVERED", "DISCARDED")
 CHANGE_SCHEMA = "delivery_id string, at_ms bigint, status string, attempts int, reason string, due_ms bigint"
+CHANGE = Row("delivery_id", "at_ms", "status", "attempts", "reason", "due_ms")
 
 
 class DeliveryProcessor(StatefulProcessor):
@@ -26,7 +26,8 @@ class DeliveryProcessor(StatefulProcessor):
     Results are already classified and timed by column expressions; here the
     count is kept, the limit applied, and a timer set for the next attempt. The
     state of a finished delivery stays for `forget_ms`, so a late result cannot
-    open it again, and is then removed by its timer.
+    open it again, and is then removed by its timer. Keys are many and rows per
+    key few, so rows are taken and given as rows, not as a frame per key.
     """
 
     def __init__(self, forget_ms: int) -> None:
@@ -36,59 +37,55 @@ class DeliveryProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("delivery", STATE_SCHEMA)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         # one row per delivery; an attempt that was already due is handed out with the first watermark
-        row = initialState.iloc[0]
-        self.state.update((row["status"], int(row["attempts"])))
-        if not pd.isna(row["due_ms"]):
-            self.handle.registerTimer(int(row["due_ms"]))
+        self.state.update((initialState.status, initialState.attempts))
+        if initialState.due_ms is not None:
+            self.handle.registerTimer(initialState.due_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # a delivery has at most max_attempts results that count
-        results = pd.concat(list(rows)).sort_values(["at_ms", "kind"])
-        status, attempts = self.state.get() if self.state.exists() else ("PENDING", 0)
-        changes = []
-        for row in results.itertuples():
+        results = sorted(rows, key=lambda r: (r.at_ms is None, r.at_ms or 0, r.kind))
+        known = self.state.get()  # asking the state store is what a delivery costs, so each question is asked once
+        status, attempts = known or ("PENDING", 0)
+        before, timer = attempts, None
+        for row in results:
             if status in FINISHED:
-                continue
+                break
             attempts += 1
             due, reason = None, None
             if row.kind == retry.SUCCESS:
                 status = "DELIVERED"
             elif row.kind == retry.NON_RETRYABLE:
                 status, reason = "DISCARDED", "NON_RETRYABLE_STATUS"
-            elif attempts >= row.max_attempts:
+            elif row.max_attempts is not None and attempts >= row.max_attempts:
                 status, reason = "DISCARDED", "ATTEMPTS_EXHAUSTED"
             else:
                 delays = row.delays
                 status, reason = "FAILED", row.why
-                due = int(row.at_ms + delays[min(attempts, len(delays)) - 1])
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due if due is not None else int(row.at_ms) + self.forget_ms)
-            changes.append((key[0], int(row.at_ms), status, attempts, reason, due))
+                due = row.at_ms + delays[min(attempts, len(delays)) - 1]
+            timer = due if due is not None else row.at_ms + self.forget_ms
+            yield CHANGE(key[0], row.at_ms, status, attempts, reason, due)
+        if attempts == before:
+            return
+        if known:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+        self.handle.registerTimer(timer)
         self.state.update((status, attempts))
-        yield _changes(changes)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempts = self.state.get() if self.state.exists() else ("", 0)
-        due = int(expiredTimerInfo.getExpiryTimeInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        status, attempts = self.state.get() or ("", 0)
         if status in FINISHED:
             self.state.clear()
-            yield _changes([])
         else:
-            yield _changes([(key[0], due, "DUE", attempts, None, due)])
+            due = int(expiredTimerInfo.getExpiryTimeInMs())
+            yield CHANGE(key[0], due, "DUE", attempts, None, due)
 
     def close(self) -> None:
         pass
 
 
-def _changes(rows: list[tuple]) -> pd.DataFrame:
-    columns = ["delivery_id", "at_ms", "status", "attempts", "reason", "due_ms"]
-    frame = pd.DataFrame(rows, columns=columns)
-    return frame.astype({"at_ms": "Int64", "attempts": "Int32", "due_ms": "Int64"})
-
-
 def known_states(deliveries: DataFrame) -> DataFrame:
     """State to start a stream from: the open deliveries of a store, with the next attempt of those that wait for one."""
     waits = F.when(F.col("status") == "FAILED", F.unix_millis("next_attempt_at"))
@@ -139,7 +136,7 @@ def delivery_state_stream(
         "max_attempts",
         delays.alias("delays"),
     )
-    return rows.groupBy("delivery_id").transformWithStateInPandas(
+    return rows.groupBy("delivery_id").transformWithState(
         statefulProcessor=DeliveryProcessor(int(forget.total_seconds() * 1000)),
         outputStructType=CHANGE_SCHEMA,
         outputMode="Append",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sluice.operators.keys import with_dedupe_key
@@ -13,7 +14,7 @@ from sluice.sinks.ledger import Ledger, append_deliveries, open_ledger, open_del
 from sluice.sources.pages import page_documents
 from sluice.spec import DedupeSpec, DestinationSpec, FlowSpec, PollSource, RetrySpec
 from sluice.streaming.dedupe import dedupe_stream
-from sluice.streaming.delivery import INITIAL_SCHEMA, delivery_state_stream
+from sluice.streaming.delivery import INITIAL_SCHEMA, DeliveryProcessor, delivery_state_stream
 from sluice.streaming.intake import run_stream
 from sluice.streaming.rates import rate_counts
 
@@ -279,3 +280,54 @@ def test_finished_deliveries_are_forgotten_and_a_stream_starts_from_stored_state
     assert {("b", "DELIVERED", 1), ("c", "DISCARDED", 1), ("z", "FAILED", 2)} <= got
     left = spark.read.format("statestore").option("stateVarName", "delivery").load(str(tmp_path / "ck"))
     assert {r.key.delivery_id for r in left.select("key").collect()} == {"p", "z"}, "b, c and w are forgotten"
+
+
+class _Asked:
+    """The state of one delivery, and what was asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def update(self, value):
+        self.asked.append("update")
+        self.value = value
+
+    def clear(self):
+        self.asked.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.asked.append("register")
+        self.timers.append(at)
+
+    def listTimers(self):
+        self.asked.append("list")
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.asked.append("delete")
+        self.timers.remove(at)
+
+
+def test_a_delivery_asks_its_state_as_little_as_it_can():
+    state, processor = _Asked(), DeliveryProcessor(1_000)
+    processor.init(state)
+
+    def come(*results):
+        state.asked.clear()
+        rows = [Row(at_ms=at, kind=kind, why="w", max_attempts=3, delays=[5, 7, 9]) for at, kind in results]
+        return [tuple(r) for r in processor.handleInputRows(("a",), iter(rows), None)], list(state.asked)
+
+    assert come((20, "RETRYABLE"), (10, "RETRYABLE")) == ([("a", 10, "FAILED", 1, "w", 15), ("a", 20, "FAILED", 2, "w", 27)], ["get", "register", "update"])
+    assert state.timers == [27]
+    assert come((30, "SUCCESS")) == ([("a", 30, "DELIVERED", 3, None, None)], ["get", "list", "delete", "register", "update"])
+    assert state.timers == [1_030]
+    assert come((40, "RETRYABLE")) == ([], ["get"])
+    assert list(processor.handleExpiredTimer(("a",), None, None)) == [] and state.value is None
