@@ -20,7 +20,7 @@ from sluice.functions.ids import uuid7_of
 from sluice.functions.redact import cut
 from sluice.functions.reshape import apply_transform
 from sluice.functions.variants import read_json
-from sluice.operators.skew import within_first
+from sluice.operators.skew import spread_by_key, within_first
 from sluice.operators.tables import DESTINATION_SCHEMA, destination_rows, keys_fit, spec_table
 from sluice.spec import FlowSpec
 
@@ -207,11 +207,18 @@ def retain_body(rows: DataFrame) -> DataFrame:
     )
 
 
+def _tie() -> Column:
+    """Order of results of one lease that came in at the same instant."""
+    return F.xxhash64("status", "net_code", "body")
+
+
 def first_results(outcomes: DataFrame) -> DataFrame:
-    """One result per (delivery, lease), the first to come in, packed as `r`."""
-    tie = F.xxhash64("status", "net_code", "body")
-    grouped = outcomes.groupBy("delivery_id", "lease_token").agg(
-        F.min_by(F.struct(*outcomes.columns), F.struct("finished_at", tie)).alias("r")
+    """One result per (delivery, lease), the first to come in, packed as `r`.
+
+    Bodies are sorted with their keys once, and `spread_by_key` keeps a task's share of them small.
+    """
+    grouped = spread_by_key(outcomes, "delivery_id", "lease_token").groupBy("delivery_id", "lease_token").agg(
+        F.min_by(F.struct(*outcomes.columns), F.struct("finished_at", _tie())).alias("r")
     )
     return grouped
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import audit, dedupe, delivery, retention
-from sluice.operators.skew import attach_by_key, within_first
+from sluice.operators.skew import PARTS_PER_CORE, attach_by_key, within_first
 from sluice.operators.split import split_entries
 from sluice.plans import frames
 from sluice.plans.intake import dry_run_summary, plan_intake
@@ -616,3 +616,13 @@ def test_run_counts_of_entries_equal_those_of_outcomes(spark, sf_dir):
     columns = sorted(run_counts(plan.outcomes).columns)
     got = run_counts_of_entries(plan.entries, ledger(spark, sf_dir))
     assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(map(tuple, run_counts(plan.outcomes).select(columns).collect()), key=str)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_grouped_in_many_small_parts(spark, sf_dir):
+    parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    after = delivery.apply_outcomes(frames.deliveries(spark, sf_dir), frames.attempt_outcomes(spark, sf_dir), NOW, frames.delivery_flows())
+    assert f", {parts}), REPARTITION_BY_NUM" in _plan(after)
