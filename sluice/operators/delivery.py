@@ -68,6 +68,8 @@ OUTCOME_COLUMNS = {
     "request_body": "string",
     "duration_ms": "int",
 }
+# What of a result decides where its delivery goes.
+_ROUTED_BY = ("delivery_id", "lease_token", "finished_at", "net_code", "status", "headers", "duration_ms")
 OPEN = ("PENDING", "FAILED", "IN_FLIGHT")
 
 
@@ -322,16 +324,18 @@ def attempt_results(
 
     Of several results for one lease only the first can own the row.
     """
+    # bodies are not asked for here: what orders the results is taken from them before anything is shuffled
+    asked = as_outcomes(outcomes).select(*_ROUTED_BY, _tie().alias("_tie"))
     results = within_first(
-        as_outcomes(outcomes),
+        asked,
         group=[F.col("delivery_id"), F.col("lease_token")],
-        order=[F.col("finished_at"), F.xxhash64("status", "net_code", "body")],
+        order=[F.col("finished_at"), F.col("_tie")],
         limit=1,
         salt_by=F.struct("finished_at", "status", "net_code", "duration_ms"),
         name="_turn",
     )
     packed = results.select(
-        F.col("delivery_id").alias("id"), "_turn", F.struct(*OUTCOME_COLUMNS).alias("r")
+        F.col("delivery_id").alias("id"), "_turn", F.struct(*_ROUTED_BY[1:]).alias("r")
     )
     state = deliveries.select(
         "id",

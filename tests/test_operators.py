@@ -622,6 +622,12 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_routing_of_attempts_shuffles_no_bodies(spark, sf_dir):
+    routed = delivery.attempt_results(frames.deliveries(spark, sf_dir), frames.attempt_outcomes(spark, sf_dir), NOW, frames.delivery_flows())
+    sent = _plan(routed).split("Exchange hashpartitioning")[0]
+    assert "_tie" in sent and "request_body" not in sent and "net_message" not in sent
+
+
 def test_bodies_are_grouped_in_many_small_parts(spark, sf_dir):
     parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
     after = delivery.apply_outcomes(frames.deliveries(spark, sf_dir), frames.attempt_outcomes(spark, sf_dir), NOW, frames.delivery_flows())
