@@ -632,3 +632,11 @@ def test_bodies_are_grouped_in_many_small_parts(spark, sf_dir):
     parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
     after = delivery.apply_outcomes(frames.deliveries(spark, sf_dir), frames.attempt_outcomes(spark, sf_dir), NOW, frames.delivery_flows())
     assert f", {parts}), REPARTITION_BY_NUM" in _plan(after)
+
+
+def test_outcomes_of_an_intake_hold_no_contents(spark, sf_dir):
+    spec = frames.endpoint_flow()
+    docs = request_documents(read_requests(frames.landed_requests(spark, sf_dir)), spec.id)
+    made = plan_intake(docs, spec, NOW)
+    assert "AS payload" not in _plan(made.outcomes) and "AS payload" in _plan(made.events)
+    assert "distinct" not in _plan(audit.request_response(made.outcomes))
