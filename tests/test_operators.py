@@ -640,3 +640,10 @@ def test_outcomes_of_an_intake_hold_no_contents(spark, sf_dir):
     made = plan_intake(docs, spec, NOW)
     assert "AS payload" not in _plan(made.outcomes) and "AS payload" in _plan(made.events)
     assert "distinct" not in _plan(audit.request_response(made.outcomes))
+
+
+def test_a_batch_of_attempts_is_chosen_before_the_shuffle(spark, sf_dir):
+    routed = delivery.attempt_results(frames.deliveries(spark, sf_dir), frames.attempt_outcomes(spark, sf_dir), NOW, frames.delivery_flows())
+    chosen = routed.filter(F.substring("delivery_id", 2, 30).cast("bigint") % 5 == 4)
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 5) = 4" in plan.replace("cast(substring", "").rsplit("Window [", 1)[1]
