@@ -634,6 +634,25 @@ def test_bodies_are_grouped_in_many_small_parts(spark, sf_dir):
     assert f", {parts}), REPARTITION_BY_NUM" in _plan(after)
 
 
+def test_pages_are_dealt_by_cycle_before_their_bodies_are_parsed(spark):
+    parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    full, cut = {"itens": [item(1), item(2)], "totalRegistros": 5}, {"itens": [item(3)]}
+    landed = pages(
+        spark,
+        *[("c1", p, full) for p in (1, 2, 3, 4)],
+        *[("c2", p, cut) for p in (1, 2)],
+        ("c2", 3, 500),
+        ("c2", 4, cut),
+        *[("c3", p, {"itens": [item(4)][: p != 2]}) for p in (1, 2, 3)],
+    )
+    kept = page_documents(landed, poll())
+    found = {(r.ingest_id, r.page, r.error_code) for r in kept.collect()}
+    assert found == {*(("c1", p, None) for p in (1, 2, 3)), ("c2", 1, None), ("c2", 2, None), ("c2", 3, "HTTP_500"), ("c3", 1, None), ("c3", 2, None)}
+    lines = [x.strip(" +-:") for x in _plan(kept).splitlines()]
+    dealt = next(i for i, x in enumerate(lines) if x.startswith("Exchange"))
+    assert f", {parts}), REPARTITION_BY_NUM" in lines[dealt] and "from_json" in "".join(lines[:dealt])
+
+
 def test_outcomes_of_an_intake_hold_no_contents(spark, sf_dir):
     spec = frames.endpoint_flow()
     docs = request_documents(read_requests(frames.landed_requests(spark, sf_dir)), spec.id)
