@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.ordered import carried
 from sluice.llm.scratch import drop, written
-from sluice.llm.words import BYTE_POWERS, _BYTES, buffers, chunks, mix, prefix_sums, ranges, signed, small_batches
+from sluice.llm.words import BYTE_POWERS, _BYTES, buffers, chunks, large_batches, mix, prefix_sums, ranges, signed, small_batches
 
 MIN_BYTES = 200
 ANCHOR_BYTES = 64
@@ -132,20 +132,39 @@ def _regrouped(named: DataFrame) -> DataFrame:
     return named.groupBy(*_SPAN).agg(F.transform(F.array_sort(F.collect_set(F.struct("i", "rank"))), lambda x: x["rank"]).alias("names"))
 
 
+def _numbered(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `counts[row]` members of every row: the row, and the member's number in it."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Strings of bytes that lie one behind the other in `data`, up to `ends[1:]`."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def long_names(pieces: DataFrame, stride: int, strides: int) -> DataFrame:
     """anchor, span, i (number of the sampled place in its span) and name: equal names at equal distance from equal
     anchors mean equal `strides * stride` bytes from there on."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for anchor, span, at, piece in zip(*(batch.column(c).to_pylist() for c in (*_SPAN, "at", "piece")), strict=True):
-                first = at % stride
-                out += [(anchor, span, i, i - at // stride, piece[t : t + stride]) for i, t in enumerate(range(first, len(piece), stride))]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*_SPAN, "i", "away", "part"])
+            data, bounds = buffers(batch.column("piece"))
+            at = batch.column("at").to_numpy().astype(np.int64)
+            head = np.minimum(at % stride, np.diff(bounds))
+            row, i = _numbered(-(-(np.diff(bounds) - head) // stride))
+            if not len(row):
+                continue
+            start = bounds[row] + head[row] + stride * i
+            ends = np.concatenate([[0], np.cumsum(np.minimum(start + stride, bounds[row + 1]) - start)])
+            # The parts of a piece lie one behind the other, all but the bytes before its first one.
+            step = np.zeros(len(data) + 1, np.int32)
+            np.add.at(step, bounds[:-1], 1)
+            np.add.at(step, bounds[:-1] + head, -1)
+            parts = _binary(ends, data[np.cumsum(step[:-1]) == 0])
+            keys = (batch.column(c).take(pa.array(row)) for c in _SPAN)
+            away = (i - (at // stride)[row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(i.astype(np.int32)), pa.array(away), parts], names=[*_SPAN, "i", "away", "part"])
 
     samples = pieces.select(*_SPAN, "at", "piece").mapInArrow(sampled, "anchor bigint, span bigint, i int, away int, part binary")
     samples = written(samples, "samples")  # a sort by range reads its input twice
@@ -194,17 +213,21 @@ def _edges(kept: DataFrame, pieces: DataFrame, stride: int, core: int, min_bytes
 def _sorted_suffixes(edges: DataFrame, stride: int, core: int, min_bytes: int) -> DataFrame:
     """The remaining suffixes of every distinct edge, sorted by name, distance to the sample and the bytes around."""
 
+    width = min_bytes - core
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for number, name, left, edge in zip(*(batch.column(c).to_pylist() for c in ("number", "name", "left", "edge")), strict=True):
-                right = len(edge) - left
-                for away in range(max(0, min_bytes - core - right), left + 1):
-                    out.append((number, name, away, edge[left - away : left + min_bytes - core - away]))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["number", "name", "away", "around"])
+            data, bounds = buffers(batch.column("edge"))
+            left = batch.column("left").to_numpy().astype(np.int64)
+            least = np.maximum(0, width - (np.diff(bounds) - left))
+            row, i = _numbered(np.maximum(0, left + 1 - least))
+            if not len(row):
+                continue
+            away = least[row] + i
+            around = np.lib.stride_tricks.sliding_window_view(data, width)[bounds[row] + left[row] - away]
+            keys = (batch.column(c).take(pa.array(row)) for c in ("number", "name"))
+            strings = _binary(np.arange(len(row) + 1) * width, around.reshape(-1))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(away.astype(np.int32)), strings], names=["number", "name", "away", "around"])
 
     rows = edges.select("number", "name", "left", "edge").mapInArrow(suffixes, "number bigint, name bigint, away int, around binary")
     rows = written(rows, "remaining")
@@ -250,17 +273,18 @@ def repeats(
     wanted = single.unionByName(one.select(*_SPAN, "copies", "n", "at", "one.*"))
     pieces = written(_pieces(keyed, wanted), "pieces")
     drop(unclear)
-    named = long_names(pieces, stride, core // stride)
-    shared = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    around = written(_edges(named.join(shared, "name"), pieces, stride, core, min_bytes), "around")
-    drop(pieces, named)
-    edges = carried(around, ["name", "left", "edge"], list(_SPAN), name="edges")
-    drop(around)
-    table, edges = edges, edges.withColumnRenamed("rank", "number")
-    different = edges.groupBy("number", "name", "left", "edge").agg(F.sum("copies").alias("total"))
-    different = written(different, "different")
-    mixed = different.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    suffixes = _sorted_suffixes(different.join(mixed, "name"), stride, core, min_bytes)
+    with large_batches(docs.sparkSession):  # no whole texts from here on
+        named = long_names(pieces, stride, core // stride)
+        shared = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+        around = written(_edges(named.join(shared, "name"), pieces, stride, core, min_bytes), "around")
+        drop(pieces, named)
+        edges = carried(around, ["name", "left", "edge"], list(_SPAN), name="edges")
+        drop(around)
+        table, edges = edges, edges.withColumnRenamed("rank", "number")
+        different = edges.groupBy("number", "name", "left", "edge").agg(F.sum("copies").alias("total"))
+        different = written(different, "different")
+        mixed = different.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+        suffixes = _sorted_suffixes(different.join(mixed, "name"), stride, core, min_bytes)
     masks = _masks(suffixes)
     everything = F.lit((1 << stride) - 1)
     judged = different.select("number", "total").join(masks, "number", "left")
@@ -280,16 +304,18 @@ def repeats(
 
 def covered(size: int, found: list[dict], min_bytes: int) -> np.ndarray:
     """Which of `size` bytes lie in a repeated string."""
-    step = np.zeros(size + 1, np.int32)
+    step = np.zeros(size + 1, np.int64)
     for f in found:
         if f["mask"] is None:
             step[f["start"]] += 1
             step[f["start"] + f["n"]] -= 1
-            continue
-        for away in range(max(0, f["near"]), f["far"] + 1):
-            if f["mask"] >> away & 1:
-                step[f["start"] - away] += 1
-                step[f["start"] - away + min_bytes] -= 1
+    parts = [(f["start"], f["mask"], f["far"], f["near"]) for f in found if f["mask"] is not None]
+    if parts:
+        start, mask, far, near = np.array(parts, np.int64).T
+        away = np.arange(far.max() + 1)
+        row, away = np.nonzero((mask[:, None] >> away & 1 > 0) & (away >= near[:, None]) & (away <= far[:, None]))
+        at = start[row] - away
+        step += np.bincount(at, minlength=size + 1) - np.bincount(at + min_bytes, minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
 
 

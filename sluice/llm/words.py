@@ -8,6 +8,7 @@ one seed: every task of every job gives equal words equal hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 SEED = 20_011
 CHUNK_BYTES = 1 << 21
 ARROW_ROWS = 1_000
+SHORT_ROWS = 10_000
 
 _U = np.uint64
 
@@ -163,5 +165,17 @@ def small_batches(spark) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+@contextmanager
+def large_batches(spark) -> Iterator[None]:
+    """Arrow batches of Spark's own size for jobs within that carry rows of some hundred bytes, whatever held before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(SHORT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))

@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sluice.llm.suffixes import repeats, window_minima, without_repeats
+from sluice.llm import suffixes
+from sluice.llm.suffixes import covered, repeats, window_minima, without_repeats
 
 from helpers import awkward, edited, frame, prose
 
@@ -70,3 +71,29 @@ def test_window_minima():
     for width in (1, 2, 7, 64, 200, 201):
         want = [s + width - 1 - int(np.argmin(values[s : s + width][::-1])) for s in range(200 - width + 1)]
         assert window_minima(values, width).tolist() == want
+
+
+def test_covered_places():
+    """Both kinds of places, bit by bit; distances beyond `near` and `far` do not count."""
+    rng = random.Random(5)
+    for _ in range(50):
+        found = [{"start": s, "n": rng.randrange(10, 40), "mask": None, "far": 0, "near": 0} for s in rng.sample(range(60), rng.randrange(3))]
+        for s in rng.sample(range(30, 60), rng.randrange(4)):
+            found.append({"start": s, "n": None, "mask": rng.randrange(1 << 8), "far": rng.randrange(8), "near": rng.randrange(-3, 8)})
+        want = np.zeros(100, bool)
+        for f in found:
+            for away in range(8):
+                if f["mask"] is None:
+                    want[f["start"] : f["start"] + f["n"]] = True
+                elif f["mask"] >> away & 1 and f["near"] <= away <= f["far"]:
+                    want[f["start"] - away : f["start"] - away + 30] = True
+        assert (covered(100, found, 30) == want).all()
+
+
+def test_passes_over_short_rows_take_large_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    plain = suffixes.carried
+    monkeypatch.setattr(suffixes, "carried", lambda *a, **k: seen.append(int(spark.conf.get(key))) or plain(*a, **k))
+    rows = [(i, prose(1, 60) + prose(50 + i, 20)) for i in range(4)]
+    assert run(spark, rows) == brute(rows, 200)
+    assert seen and set(seen) == {10_000} and int(spark.conf.get(key)) <= 1_000
