@@ -214,15 +214,23 @@ def _tie() -> Column:
     return F.xxhash64("status", "net_code", "body")
 
 
-def first_results(outcomes: DataFrame) -> DataFrame:
+def first_results(outcomes: DataFrame, leases: DataFrame | None = None) -> DataFrame:
     """One result per (delivery, lease), the first to come in, packed as `r`.
 
-    Bodies are sorted with their keys once, and `spread_by_key` keeps a task's share of them small.
+    Bodies are sorted with their keys once, and `spread_by_key` keeps a task's share of them small. Results of no lease in
+    `leases` (delivery_id, lease_token), when given, go before the sort: the keys are hashed, the bodies only pass by.
     """
-    grouped = spread_by_key(outcomes, "delivery_id", "lease_token").groupBy("delivery_id", "lease_token").agg(
-        F.min_by(F.struct(*outcomes.columns), F.struct("finished_at", _tie())).alias("r")
-    )
-    return grouped
+    keys = ["delivery_id", "lease_token"]
+    spread = spread_by_key(outcomes, *keys)
+    if leases is not None:
+        spread = spread.join(leases.hint("shuffle_hash"), keys, "left_semi")
+    return spread.groupBy(*keys).agg(F.min_by(F.struct(*outcomes.columns), F.struct("finished_at", _tie())).alias("r"))
+
+
+def held_results(deliveries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The first result of each lease that a delivery still holds: delivery_id, lease_token and `r`."""
+    leases = deliveries.filter(F.col("lease_token").isNotNull()).select(F.col("id").alias("delivery_id"), "lease_token")
+    return first_results(as_outcomes(outcomes), leases)
 
 
 def _routing(rows: DataFrame, now: Column, specs: Sequence[FlowSpec], in_turn: Column) -> DataFrame:
@@ -275,8 +283,15 @@ def apply_outcomes(
     Only the first result carrying the row's own lease token changes it, so the
     join on id and token meets at most one result per delivery.
     """
+    return apply_results(deliveries, held_results(deliveries, outcomes), now, specs)
+
+
+def apply_results(
+    deliveries: DataFrame, results: DataFrame, now: datetime | Column, specs: Sequence[FlowSpec]
+) -> DataFrame:
+    """`apply_outcomes` with the rows of `held_results`, which a caller may have written."""
     now = instant(now)
-    results = first_results(as_outcomes(outcomes)).withColumnRenamed("lease_token", "_token")
+    results = results.withColumnRenamed("lease_token", "_token")
     fits = (F.col("id") == F.col("delivery_id")) & (F.col("lease_token") == F.col("_token"))
     rows = _routing(deliveries.join(results, fits, "left"), now, specs, F.lit(True))
     retention = F.col("persist_body")

@@ -74,13 +74,15 @@ def run_cycle(
     """
     _, start = store.manifest.start_of(cycle)
     oldest = f"{now - timedelta(days=limits.lookback_days):%Y%m}"
+    folder = f"{store.root}/work/{cycle}"
     deliveries = tagged(store.read(start, OPEN_STATE), _TAGS, "_before")
     if outcomes is not None:
-        deliveries = delivery.apply_outcomes(deliveries, outcomes, now, specs)
+        # Written, so that the search for lost leases reads what routes a result, and no bodies.
+        results = staged(delivery.held_results(deliveries, outcomes), f"{folder}/results")
+        deliveries = delivery.apply_results(deliveries, results, now, specs)
     deliveries = delivery.reap(deliveries, now, limits.lookback_days, limits.reap).drop("reaped")
     deliveries = delivery.reconcile_spec(deliveries, specs, now).drop("action")
     # Written, so that neither the claim nor the rendering repeats what came before.
-    folder = f"{store.root}/work/{cycle}"
     deliveries = staged(deliveries, f"{folder}/settled")
     due = delivery.drain_candidates(
         deliveries.filter(F.col("created_month") >= oldest), now, limits.grace_seconds, limits.lookback_days, limits.claim

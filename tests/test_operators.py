@@ -634,6 +634,17 @@ def test_bodies_are_grouped_in_many_small_parts(spark, sf_dir):
     assert f", {parts}), REPARTITION_BY_NUM" in _plan(after)
 
 
+def test_results_of_no_held_lease_go_before_the_sort(spark, sf_dir):
+    row = one_delivery(spark, status="IN_FLIGHT", attempt_count=1, lease_token="t")
+    twice = outcome(spark, {"token": "x", "status": 500}, {"token": "t", "status": 204}, {"token": "t", "status": 204})
+    held = delivery.held_results(row, twice).collect()
+    assert [(r.lease_token, r.r.status) for r in held] == [("t", 204)]
+    assert delivery.apply_outcomes(row, twice, NOW, FLOW).first().status == "DELIVERED"
+    rows, results = frames.deliveries(spark, sf_dir), frames.attempt_outcomes(spark, sf_dir)
+    sorted_after = _plan(delivery.apply_outcomes(rows, results, NOW, frames.delivery_flows())).rsplit("Sort [delivery_id", 1)[1]
+    assert "ShuffledHashJoin" in sorted_after and "LeftSemi" in sorted_after
+
+
 def test_pages_are_dealt_by_cycle_before_their_bodies_are_parsed(spark):
     parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
     full, cut = {"itens": [item(1), item(2)], "totalRegistros": 5}, {"itens": [item(3)]}
