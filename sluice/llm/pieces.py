@@ -52,6 +52,8 @@ def default_model() -> str:
 # Best ids (as int32 bytes), their score and the loss of the second segmentation. A plain tuple of such values is not
 # followed by the garbage collector, which matters with a million of them.
 Part = tuple[bytes, float, float]
+# Score, id and what follows of a start of pieces.
+Node = tuple[float, int, "dict[str, Node] | None"]
 
 
 @dataclass
@@ -93,9 +95,21 @@ class Pieces:
         # Every start of a piece, with the piece's score; -inf where it only goes on to longer ones.
         self.starts = {name[:n]: -INF for name in self.pieces for n in range(1, len(name))}
         self.starts |= {name: score for name, (_, score) in self.pieces.items()}
+        self.tree = self._tree()
         self.longest = max(map(len, self.pieces))
         self.splitter = self._splitter()
 
+    def _tree(self) -> dict[str, Node]:
+        """The starts by their signs: each with score, id (-1 if it is no piece) and the signs it goes on with.
+
+        A first sign that is no piece has the score of an unknown one.
+        """
+        below: dict[str, dict[str, Node]] = {"": {}}
+        for name in sorted(self.starts, key=len, reverse=True):
+            id_, score = self.pieces.get(name, (-1, -INF))
+            below.setdefault(name[:-1], {})[name[-1]] = (score, id_, below.pop(name, None))
+        return {sign: (score if id_ >= 0 else self.unknown, id_, more) for sign, (score, id_, more) in below[""].items()}
+
     def _splitter(self) -> re.Pattern[str]:
         """Cuts a text where no piece lies across; as fine as the vocabulary allows."""
         pairs = {(a, b) for name in self.pieces for a, b in zip(name, name[1:], strict=False)}
@@ -115,37 +129,35 @@ class Pieces:
         known = self.pieces.get(piece)
         return (known[0],) if known else tuple(self.byte_ids[b] for b in piece.encode())
 
-    def forward(self, part: str) -> tuple[list[float], list[int], list[float]]:
-        """Per end position: best score, start of the last piece, and loss of the second best last piece."""
-        n, known, lowest = len(part), self.starts.get, -INF
-        best, back, loss = [0.0] + [lowest] * n, list(range(-1, n)), [INF] * (n + 1)
-        for start in range(n):
+    def forward(self, part: str) -> tuple[list[float], list[int], list[int], list[float]]:
+        """Per end position: best score, start and id of the last piece (-1: none), and loss of the second best last piece."""
+        n, signs, first, unknown = len(part), list(part), self.tree.get, (self.unknown, -1, None)
+        best, back, last, loss = [0.0] + [-INF] * n, list(range(-1, n)), [-1] * (n + 1), [INF] * (n + 1)
+        for start, sign in enumerate(signs):
             at = best[start]
             end = start + 1
-            step = known(part[start])
-            score = at + (self.unknown if step is None or step == lowest else step)
-            before = best[end]
-            if score > before:
-                loss[end] = score - before
-                best[end], back[end] = score, start
-            elif before - score < loss[end]:
-                loss[end] = before - score
-            if step is None:
-                continue
-            for end in range(start + 2, n + 1):
-                step = known(part[start:end])
-                if step is None:
+            step, id_, more = first(sign, unknown)
+            score = at + step
+            lead = score - best[end]
+            if lead > 0:
+                loss[end], best[end], back[end], last[end] = lead, score, start, id_
+            elif -lead < loss[end]:
+                loss[end] = -lead
+            while more is not None and end < n:
+                node = more.get(signs[end])
+                if node is None:
                     break
-                if step == lowest:
+                end += 1
+                step, id_, more = node
+                if id_ < 0:
                     continue
                 score = at + step
-                before = best[end]
-                if score > before:
-                    loss[end] = score - before
-                    best[end], back[end] = score, start
-                elif before - score < loss[end]:
-                    loss[end] = before - score
-        return best, back, loss
+                lead = score - best[end]
+                if lead > 0:
+                    loss[end], best[end], back[end], last[end] = lead, score, start, id_
+                elif -lead < loss[end]:
+                    loss[end] = -lead
+        return best, back, last, loss
 
     def lattice(self, part: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
         """Per end position the best score of what is before it, and all pieces that end there: start and score."""
@@ -166,21 +178,20 @@ class Pieces:
     def part(self, text: str) -> Part:
         found = self.cache.get(text)
         if found is None:
-            best, back, loss = self.forward(text)
-            ids, known = array("i"), self.pieces.get
+            best, back, last, loss = self.forward(text)
+            ids: list[int] = []
             end, least = len(text), INF
             while end:
                 if loss[end] < least:
                     least = loss[end]
-                start = back[end]
-                piece = known(text[start:end])
-                if piece is not None:
-                    ids.append(piece[0])
+                start, id_ = back[end], last[end]
+                if id_ >= 0:
+                    ids.append(id_)
                 else:
                     ids.extend(reversed(self.units_of(text[start:end])))
                 end = start
             ids.reverse()
-            found = (ids.tobytes(), best[-1], least)
+            found = (array("i", ids).tobytes(), best[-1], least)
             self.keep(self.cache, text, found, _ENTRY_BYTES + 4 * len(text) + len(found[0]))
         return found
 
@@ -236,7 +247,9 @@ class Pieces:
         names = self.parts(text)
         own = (np.array([self.byte_ids[b] for b in SPACE.encode()], np.int32).tobytes(), self.unknown, INF)
         cache = self.cache
-        parts = [cache.get(p) or (self.part(p) if p else own) for p in names]
+        parts = list(map(cache.get, names))
+        if None in parts:
+            parts = [found or cache.get(p) or (self.part(p) if p else own) for p, found in zip(names, parts, strict=True)]
         coded, scores, lost = zip(*parts, strict=True)
         ids = np.frombuffer(b"".join(coded), np.int32)
         score = math.fsum(scores)

@@ -145,3 +145,29 @@ def test_the_cache_is_bounded_by_bytes(monkeypatch):
         word = f"part{i % 90}" * (1 + i % 40)
         assert small.part(word) == plain.part(word) and small.n_best(word[:40], 2) == plain.n_best(word[:40], 2)
         assert small.held <= 20_000 and len(small.cache) + len(small.ranked) <= 20_000 / 320
+
+
+def test_a_part_is_searched_sign_by_sign_without_cutting_it(pieces):
+    def walk(nodes, before=""):
+        for sign, (score, id_, more) in nodes.items():
+            yield before + sign, score, id_
+            yield from walk(more or {}, before + sign)
+
+    found = {name: (score, id_) for name, score, id_ in walk(pieces.tree)}
+    assert found.keys() == pieces.starts.keys()
+    for name, (score, id_) in found.items():
+        piece = pieces.pieces.get(name)
+        assert (id_, score) == (piece or (-1, pieces.unknown if len(name) == 1 else -float("inf")))
+
+    class Whole(str):
+        def __getitem__(self, at):
+            raise AssertionError("cut")
+
+    for text in ("▁palavra", "▁zz中\U0001f600q", "x"):
+        best, back, last, loss = pieces.forward(Whole(text))
+        assert best == pieces.lattice(text)[0]
+        end, ids = len(text), []
+        while end:
+            ids[:0] = [last[end]] if last[end] >= 0 else pieces.units_of(text[back[end] : end])
+            end = back[end]
+        assert ids == np.frombuffer(pieces.part(text)[0], np.int32).tolist()
