@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,11 @@ def anchor_spans(keyed: DataFrame, min_bytes: int, anchor_bytes: int) -> DataFra
     )
 
 
+def _hashed(keys: DataFrame) -> DataFrame:
+    """Rows of numbers only, one per key: the other side of the join passes by their hash table and is not sorted."""
+    return keys.hint("shuffle_hash")
+
+
 def _pieces(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the given spans; the texts of other documents do not take part in the shuffle's output."""
 
@@ -239,7 +245,7 @@ def _sorted_suffixes(edges: DataFrame, stride: int, core: int, min_bytes: int) -
 def _masks(placed: DataFrame) -> DataFrame:
     """Per edge the distances (bits of `mask`) whose suffix has an equal neighbour."""
     repeated = placed.where("nth = 2").select("rank")
-    return placed.select("number", "away", "rank").join(repeated, "rank").groupBy("number").agg(F.expr("bit_or(shiftleft(1, away))").alias("mask"))
+    return placed.select("number", "away", "rank").join(_hashed(repeated), "rank").groupBy("number").agg(F.expr("bit_or(shiftleft(1, away))").alias("mask"))
 
 
 def repeats(
@@ -262,10 +268,10 @@ def repeats(
     place = (*_DOC, "start", "n", "at")
     distinct = written(spans.groupBy(*_SPAN).agg(F.count("*").alias("copies"), *(F.max(c).alias(c) for c in place)), "spans")
     anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    unclear = written(distinct.join(anchors, "anchor").drop("kinds"), "unclear")
+    unclear = written(distinct.join(_hashed(anchors), "anchor").drop("kinds"), "unclear")
     copied = written(distinct.where("copies > 1").select(*_SPAN), "copied")
     drop(distinct)
-    occurrences = written(spans.join(copied, list(_SPAN)).select(*_DOC, *_SPAN, "start", "n"), "occurrences")
+    occurrences = written(spans.join(_hashed(copied), list(_SPAN)).select(*_DOC, *_SPAN, "start", "n"), "occurrences")
     drop(copied)
     several = unclear.where("copies > 1").select(*_SPAN, "copies", "n", "at")
     one = several.join(occurrences.drop("n"), list(_SPAN)).groupBy(*_SPAN, "copies", "n", "at").agg(F.min(F.struct(*_DOC, "start")).alias("one"))
@@ -276,7 +282,7 @@ def repeats(
     with large_batches(docs.sparkSession):  # no whole texts from here on
         named = long_names(pieces, stride, core // stride)
         shared = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-        around = written(_edges(named.join(shared, "name"), pieces, stride, core, min_bytes), "around")
+        around = written(_edges(named.join(_hashed(shared), "name"), pieces, stride, core, min_bytes), "around")
         drop(pieces, named)
         edges = carried(around, ["name", "left", "edge"], list(_SPAN), name="edges")
         drop(around)
@@ -284,7 +290,7 @@ def repeats(
         different = edges.groupBy("number", "name", "left", "edge").agg(F.sum("copies").alias("total"))
         different = written(different, "different")
         mixed = different.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-        suffixes = _sorted_suffixes(different.join(mixed, "name"), stride, core, min_bytes)
+        suffixes = _sorted_suffixes(different.join(_hashed(mixed), "name"), stride, core, min_bytes)
     masks = _masks(suffixes)
     everything = F.lit((1 << stride) - 1)
     judged = different.select("number", "total").join(masks, "number", "left")
@@ -304,18 +310,28 @@ def repeats(
 
 def covered(size: int, found: list[dict], min_bytes: int) -> np.ndarray:
     """Which of `size` bytes lie in a repeated string."""
-    step = np.zeros(size + 1, np.int64)
-    for f in found:
-        if f["mask"] is None:
-            step[f["start"]] += 1
-            step[f["start"] + f["n"]] -= 1
-    parts = [(f["start"], f["mask"], f["far"], f["near"]) for f in found if f["mask"] is not None]
-    if parts:
-        start, mask, far, near = np.array(parts, np.int64).T
+    fields = [(c, pa.int32()) for c in ("start", "n", "mask", "far", "near")]
+    return covered_in(np.array([size]), pa.array([found], pa.list_(pa.struct(fields))), min_bytes)
+
+
+def covered_in(sizes: np.ndarray, found: pa.ListArray, min_bytes: int) -> np.ndarray:
+    """`covered` for texts of these sizes, one behind the other, with one list each."""
+    size, ends = int(sizes.sum()), np.cumsum(sizes)
+    counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy()
+    flat = found.flatten()
+    base = np.repeat(ends - sizes, counts) + flat.field("start").to_numpy(zero_copy_only=False)
+    part = flat.field("mask").is_valid().to_numpy(zero_copy_only=False)
+    n = flat.field("n").filter(pa.array(~part)).to_numpy().astype(np.int64)
+    begin, end = [base[~part]], [base[~part] + n]
+    if part.any():
+        mask, far, near = (flat.field(c).filter(pa.array(part)).to_numpy().astype(np.int64) for c in ("mask", "far", "near"))
         away = np.arange(far.max() + 1)
         row, away = np.nonzero((mask[:, None] >> away & 1 > 0) & (away >= near[:, None]) & (away <= far[:, None]))
-        at = start[row] - away
-        step += np.bincount(at, minlength=size + 1) - np.bincount(at + min_bytes, minlength=size + 1)
+        at = base[part][row] - away
+        begin.append(at)
+        end.append(at + min_bytes)
+    step = np.bincount(np.concatenate(begin), minlength=size + 1)
+    step -= np.bincount(np.concatenate(end), minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -334,23 +350,25 @@ def without_repeats(
     """
     keyed = _keyed(docs, id_col, text_col)
     found = repeats(docs, id_col, text_col, min_bytes, anchor_bytes, stride)
-    run = pa.struct([("start", pa.int32()), ("n", pa.int32())])
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            sizes, removed, kept = [], [], []
-            for text, places in zip(batch.column("text"), batch.column("found"), strict=True):
-                raw = (text.as_py() or "").encode()
-                sizes.append(len(raw))
-                if not places.is_valid:
-                    removed.append([])
-                    kept.append(raw)
-                    continue
-                gone = covered(len(raw), places.as_py(), min_bytes)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                removed.append([{"start": s, "n": e - s} for s, e in edge.reshape(-1, 2).tolist()])
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-            columns = [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(run)), pa.array(kept, pa.binary())]
+            data, bounds = buffers(batch.column("text"))
+            sizes = np.diff(bounds)
+            gone = covered_in(sizes, batch.column("found"), min_bytes)
+            # A run ends with its text.
+            edge = np.zeros(len(data) + 1, bool)
+            edge[bounds] = True
+            edge[1:-1] |= gone[1:] != gone[:-1]
+            at = np.flatnonzero(edge)
+            first = at[:-1][gone[at[:-1]]]
+            last = at[1:][gone[at[:-1]]]
+            text = np.searchsorted(bounds, first, side="right") - 1
+            runs = [pa.array(x.astype(np.int32)) for x in (first - bounds[text], last - first)]
+            offsets = np.searchsorted(text, np.arange(len(sizes) + 1))
+            removed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(runs, ["start", "n"]))
+            kept = _binary(np.concatenate([[0], np.cumsum(~gone)])[bounds], data[~gone])
+            columns = [pa.array(sizes.astype(np.int64)), removed, kept]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=[id_col, "n_bytes", "removed", "kept"])
 
     kind = keyed.schema["id"].dataType.simpleString()

@@ -4,10 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import suffixes
-from sluice.llm.suffixes import covered, repeats, window_minima, without_repeats
+from sluice.llm.suffixes import covered, covered_in, repeats, window_minima, without_repeats
 
 from helpers import awkward, edited, frame, prose
 
@@ -97,3 +98,28 @@ def test_passes_over_short_rows_take_large_batches(spark, monkeypatch):
     rows = [(i, prose(1, 60) + prose(50 + i, 20)) for i in range(4)]
     assert run(spark, rows) == brute(rows, 200)
     assert seen and set(seen) == {10_000} and int(spark.conf.get(key)) <= 1_000
+
+
+def test_covered_places_of_many_texts_at_once():
+    sizes, whole, part = [50, 0, 40, 45], {"n": 30, "mask": None, "far": 0, "near": 0}, {"n": None, "far": 5, "near": 1}
+    found = [[{"start": 20, **whole}], None, [{"start": 0, **whole}], [{"start": 6, "mask": 0b11, **part}, {"start": 12, "mask": 0b100, **part}]]
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "n", "mask", "far", "near")]))
+    want = [covered(n, f or [], 30) for n, f in zip(sizes, found, strict=True)]
+    shifted = pa.array([[{"start": 1, **whole}], *found], kind)[1:]
+    assert (covered_in(np.array(sizes), shifted, 30) == np.concatenate(want)).all()
+    assert [int(w.sum()) for w in want] == [30, 0, 30, 35]
+
+
+def test_runs_end_with_their_texts(spark):
+    text = prose(7, 60)
+    rows = [(1, text), (2, ""), (3, text), (4, "x"), (5, None), (6, text + "é")]
+    assert run(spark, rows) == brute(rows, 200)
+
+
+def test_key_joins_do_not_sort_the_spans(spark, monkeypatch):
+    plans, plain = {}, suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda f, name: plans.update({name: f._jdf.queryExecution().toString()}) or plain(f, name))
+    rows = [(i, prose(1, 60) + prose(50 + i, 20)) for i in range(4)]
+    assert run(spark, rows) == brute(rows, 200)
+    for name in ("unclear", "occurrences", "around"):
+        assert "strategy=shuffle_hash" in plans[name]
